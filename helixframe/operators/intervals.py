@@ -24,16 +24,21 @@ def covered_and_gaps(df: DataFrame, keys: Sequence[str], start: str, end: str, b
     ``n_intervals`` counts the distinct intervals of the stretch.
     """
     ks = [f"_k{i}" for i in range(len(keys))]
+    blocks = F.array_distinct(F.array(F.floor(F.col("_a") / block), F.floor(F.col("_z") / block)))
+    # one shuffle: an interval goes to the block of its start and that of its end, is made distinct there, and gives
+    # each block the events that lie in it
     spans = (
         df.select(*[F.col(k).alias(a) for k, a in zip(keys, ks)], F.col(start).alias("_a"), F.col(end).alias("_z"))
         .where(" AND ".join(f"{a} IS NOT NULL" for a in ks) + " AND _a < _z")
-        .distinct()
+        .select(*ks, F.explode(blocks).alias("_b"), "_a", "_z")
+        .repartition(*ks, "_b")
+        .groupBy(*ks, "_b", "_a", "_z")
+        .agg(F.lit(1).alias("_one"))
     )
-    event = lambda at, delta, opened: F.struct(F.col(at).alias("pos"), F.lit(delta).alias("delta"), F.lit(opened).alias("opened"))
+    event = lambda at, delta, opened: F.when(F.floor(F.col(at) / block) == F.col("_b"), F.struct(F.col(at).alias("pos"), F.lit(delta).alias("delta"), F.lit(opened).alias("opened")))
     events = (
-        spans.select(*ks, F.explode(F.array(event("_a", 1, 1), event("_z", -1, 0))).alias("e"))
-        .select(*ks, F.floor(F.col("e.pos") / block).alias("_b"), "e.pos", "e.delta", "e.opened")
-        .repartition(*ks, "_b")
+        spans.select(*ks, "_b", F.explode(F.array_compact(F.array(event("_a", 1, 1), event("_z", -1, 0)))).alias("e"))
+        .select(*ks, "_b", "e.pos", "e.delta", "e.opened")
         .groupBy(*ks, "_b", "pos")
         .agg(F.sum("delta").alias("delta"), F.sum("opened").alias("opened"))
     )
