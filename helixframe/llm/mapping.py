@@ -12,7 +12,7 @@ Digits are never guessed: a pair must agree in all its digits, since names of on
 closest key wins, among equal distances the name of the better kind; a value whose best keys belong to different targets
 is reported as unmatched.
 
-The join runs over the distinct values, so a name typed a million times is one row of it, and hot names cause no skew.
+The join runs over the distinct values (checkpointed: they are asked for three times), so a name typed a million times is one row of it, and hot names cause no skew.
 
 Defined cases: null values take no part; an empty key (punctuation only) is unmatched; repeated reference rows count
 once; a reference key shared by two targets matches neither unless a better kind decides.
@@ -25,6 +25,7 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from .lookalikes import MARKS, TWINS, is_invisible
 
 #: Words that curators add to a name, and months as spreadsheets write them.
@@ -72,8 +73,10 @@ def comparison_key(value: Column) -> Column:
         c = F.replace(c, F.lit(ch), F.lit(two))
     singles = {k: v for k, v in GREEK_LETTERS.items() if v != "?"}
     c = F.translate(c, "".join(singles), "".join(singles.values()))
-    for word in sorted(GREEK_NAMES, key=len, reverse=True):
-        c = F.regexp_replace(c, rf"(?<=[a-z0-9])[\s_.-]*{word}\W*$", GREEK_NAMES[word])
+    words = sorted(GREEK_NAMES, key=len, reverse=True)
+    tail = rf"(?<=[a-z0-9])[\s_.-]*({'|'.join(words)})\W*$"
+    letter = F.create_map(*[F.lit(x) for w in words for x in (w, GREEK_NAMES[w])])
+    c = F.transform(F.array(c), lambda x: F.concat(F.regexp_replace(x, tail, ""), F.coalesce(letter[F.regexp_extract(x, tail, 1)], F.lit(""))))[0]
     return F.regexp_replace(c, r"[^0-9a-z]+", "")
 
 
@@ -82,51 +85,44 @@ def reference_keys(names: DataFrame, target: str, name: str, rank: str) -> DataF
     return names.select(comparison_key(F.col(name)).alias("key"), F.col(target).alias("target"), F.col(rank).alias("rank")).where("key <> '' AND target IS NOT NULL").groupBy("key", "target").agg(F.min("rank").alias("rank"))
 
 
-def _digits(c: Column) -> Column:
-    return F.regexp_replace(c, r"\D", "")
-
-
 def pigeonhole_pairs(values: DataFrame, keys: DataFrame, edits: int = 1) -> DataFrame:
     """``v`` (distinct keys of values), ``key``, ``target``, ``rank`` and ``distance`` of every pair within ``edits`` slips.
 
     A swap touches two neighbours, so ``edits`` slips leave one of ``2 * edits + 1`` segments whole.
     """
-    n = 2 * edits + 1
-    size = F.length("key")
-    cut = lambda i: F.floor(size * i / n).cast("int")
-    segments = keys.select("key", "target", "rank", size.alias("len"), F.explode(F.array(*[F.struct(F.lit(i).alias("no"), F.substring(F.col("key"), cut(i) + 1, cut(i + 1) - cut(i)).alias("seg")) for i in range(n)])).alias("s")).select("key", "target", "rank", "len", "s.no", "s.seg")
-    own = F.length("v")
-    probes = []
-    for delta in range(-edits, edits + 1):
-        length = own + delta
-        at = lambda i, length=length: F.floor(length * i / n).cast("int")
-        for i in range(n):
-            for shift in range(-edits, edits + 1):
-                start = at(i) + 1 + shift
-                probes.append(F.when((start >= 1) & (length > 0), F.struct(length.alias("len"), F.lit(i).alias("no"), F.substring(F.col("v"), start, at(i + 1) - at(i)).alias("seg"))))
-    asked = values.select("v", F.explode(F.array_distinct(F.array_compact(F.array(*probes)))).alias("p")).select("v", "p.len", "p.no", "p.seg")
+    n, e = 2 * edits + 1, edits
+    segments = keys.selectExpr("key", "target", "rank", "length(key) AS len", f"explode(sequence(0, {n - 1})) AS no").selectExpr(
+        "key", "target", "rank", "len", "no", f"substring(key, len * no DIV {n} + 1, len * (no + 1) DIV {n} - len * no DIV {n}) AS seg"
+    )
+    asked = (
+        values.selectExpr("v", f"explode(sequence(length(v) - {e}, length(v) + {e})) AS len")
+        .where("len > 0")
+        .selectExpr("v", "len", f"explode(sequence(0, {n - 1})) AS no")
+        .selectExpr("v", "len", "no", f"explode(sequence(greatest(len * no DIV {n} + 1 - {e}, 1), len * no DIV {n} + 1 + {e})) AS at")
+        .selectExpr("v", "len", "no", f"substring(v, CAST(at AS INT), CAST(len * (no + 1) DIV {n} - len * no DIV {n} AS INT)) AS seg")
+        .distinct()
+    )
     pairs = asked.join(segments, ["len", "no", "seg"]).select("v", "key", "target", "rank").distinct()
-    d = F.levenshtein("v", "key", 2 * edits)
-    pairs = pairs.withColumn("d", d).where("d >= 0").where(_digits(F.col("v")) == _digits(F.col("key")))
-    # a swap is the one case of distance 2 that is a single slip: equal letters, two neighbouring places differ
-    places = F.filter(F.sequence(F.lit(1), F.greatest(F.length("v"), F.lit(1))), lambda i: F.col("v").substr(i, F.lit(1)) != F.col("key").substr(i, F.lit(1)))
-    p0, p1 = F.get(places, F.lit(0)), F.get(places, F.lit(1))
-    swapped = (F.length("v") == F.length("key")) & (F.size(places) == 2) & (p1 - p0 == 1) & (F.col("v").substr(p0, F.lit(1)) == F.col("key").substr(p1, F.lit(1))) & (F.col("v").substr(p1, F.lit(1)) == F.col("key").substr(p0, F.lit(1)))
-    slips = F.when((F.col("d") == 2) & swapped, 1).otherwise(F.col("d"))
-    return pairs.withColumn("distance", slips).where(F.col("distance") <= edits).select("v", "key", "target", "rank", "distance")
+    pairs = pairs.selectExpr("*", f"levenshtein(v, key, {2 * e}) AS d").where(r"d >= 0 AND regexp_replace(v, '\\D', '') = regexp_replace(key, '\\D', '')")
+    # a swap is the one case of distance 2 that is a single slip: equal lengths, two neighbouring places differ crosswise
+    pairs = pairs.selectExpr("*", "CASE WHEN d = 2 AND length(v) = length(key) THEN filter(sequence(1, length(v)), i -> substr(v, i, 1) <> substr(key, i, 1)) END AS at")
+    swapped = "d = 2 AND size(at) = 2 AND get(at, 1) - get(at, 0) = 1 AND substr(v, get(at, 0), 1) = substr(key, get(at, 1), 1) AND substr(v, get(at, 1), 1) = substr(key, get(at, 0), 1)"
+    return pairs.selectExpr("v", "key", "target", "rank", f"CASE WHEN {swapped} THEN 1 ELSE d END AS distance").where(f"distance <= {e}")
 
 
 def map_values(values: DataFrame, value: str, names: DataFrame, target: str, name: str, rank: str, edits: int = 1) -> DataFrame:
     """``value`` (distinct, not null), ``target`` (null where unmatched) and ``distance``."""
     distinct = values.where(F.col(value).isNotNull()).select(F.col(value).alias("value")).distinct()
-    keyed = distinct.withColumn("v", comparison_key(F.col("value")))
+    keyed = checkpointed(distinct.withColumn("v", comparison_key(F.col("value"))))
     pairs = pigeonhole_pairs(keyed.where("v <> ''").select("v").distinct(), reference_keys(names, target, name, rank), edits)
-    best = pairs.groupBy("v").agg(F.min(F.struct("distance", "rank")).alias("b"))
     chosen = (
-        pairs.join(best, "v").where("distance = b.distance AND rank = b.rank")
-        .groupBy("v").agg(F.min("target").alias("lo"), F.max("target").alias("hi"), F.min("distance").alias("distance"))
-        .where("lo = hi").select("v", F.col("lo").alias("target"), "distance")
-    )
+        pairs.groupBy("v", "distance", "rank")
+        .agg(F.min("target").alias("lo"), F.max("target").alias("hi"))
+        .groupBy("v")
+        .agg(F.min(F.struct("distance", "rank", "lo", "hi")).alias("b"))
+        .where("b.lo = b.hi")
+        .select("v", F.col("b.lo").alias("target"), F.col("b.distance").alias("distance"))
+    )
     matched = keyed.join(chosen, "v").select("value", "target", "distance")
     missing = keyed.join(chosen, "v", "left_anti").select("value", F.lit(None).cast("string").alias("target"), F.lit(None).cast("int").alias("distance"))
     return matched.unionByName(missing)
