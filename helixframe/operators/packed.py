@@ -23,6 +23,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 #: Candidate delimiters: name and Java pattern. The blank comes last: it is judged inside the pieces the others leave.
 CANDIDATES: dict[str, str] = {
     "comma": ",", "semicolon": ";", "pipe": r"\|", "slash": "/", "ampersand": "&", "plus": r"\+", "tab": r"\t", "newline": r"[\r\n]",
@@ -74,10 +76,10 @@ def score_delimiters(df: DataFrame, source: str, value: str) -> DataFrame:
     # piece-count consistency
     cuts = F.array_compact(F.array(*[F.when(F.col("_m").rlike(p), F.struct(F.lit(n).alias("delimiter"), (F.size(pieces(p)) > 1).cast("int").alias("cut"))) for n, p in CANDIDATES.items()]))
     rows = base.where(F.size("has") > 0).select("source", F.explode(cuts).alias("c")).groupBy("source", "c.delimiter").agg(F.count(F.lit(1)).alias("rows"), F.avg("c.cut").alias("consistency"))
-    # piece types by the set of delimiters that their row has; a handful of sets and types per source
+    # piece types by the set of delimiters that their row has: a handful of sets and types per source, used four times
     inner = F.when(F.col("a").rlike(rf"\S{BLANK}+\S"), F.split("a", f"{BLANK}+")).otherwise(F.array().cast("array<string>"))
     parts = F.concat(F.array(F.struct(F.lit(False).alias("sub"), F.col("a").alias("t"))), F.transform(inner, lambda x: F.struct(F.lit(True).alias("sub"), x.alias("t"))))
-    types = (
+    types = checkpointed(
         base.select("source", "has", F.explode(pieces(any_of)).alias("a"))
         .select("source", "has", F.explode(parts).alias("p"))
         .groupBy("source", "has", F.col("p.sub").alias("sub"), F.regexp_replace("p.t", r"\d+", "9").alias("t"))
