@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import general_queries
+from . import general_queries, network_queries, omics_queries
 
-QUERIES = {**general_queries.QUERIES}
-ORACLES = {**general_queries.ORACLES}
+_MODULES = (general_queries, network_queries, omics_queries)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
