@@ -31,6 +31,7 @@ CANDIDATES: dict[str, str] = {
     "wide_comma": "，", "wide_semicolon": "；", "list_comma": "、", "and": r"(?<=\s)and(?=\s)",
 }
 BLANK = r"[ \u00a0\u2000-\u200a\u202f\u3000]"
+PLAIN = r"^[A-Za-z0-9:._-]+$"
 MARK = "\ue000"  # stands for a quoted value while delimiters are counted
 _EDGE = r"\s,;|/&+，；、"
 _DOUBLE, _SINGLE = r'"[^"]*+(?:""[^"]*+)*+"', r"'[^']*+(?:''[^']*+)*+'"
@@ -62,16 +63,15 @@ def _body(c: Column) -> Column:
 
 def score_delimiters(df: DataFrame, source: str, value: str) -> DataFrame:
     """One row per ``source``: an array ``scores`` of (delimiter, rows, regularity, consistency, score)."""
-    any_of = "|".join(f"(?:{p})" for p in CANDIDATES.values())
+    any_of, none = "|".join(f"(?:{p})" for p in CANDIDATES.values()), F.array().cast("array<string>")
 
     def pieces(pattern: str) -> Column:
         return F.filter(F.transform(F.split("_m", pattern), _strip), lambda x: x != "")
 
     base = (
-        df.select(F.col(source).alias("source"), _body(F.col(value)).alias("_b"))
-        .where(F.col("_b") != "")
-        .select("source", F.regexp_replace("_b", QUOTED, MARK).alias("_m"))
-        .withColumn("has", F.array_compact(F.array(*[F.when(F.col("_m").rlike(p), F.lit(n)) for n, p in CANDIDATES.items()])))
+        df.select(F.col(source).alias("source"), F.when(F.col(value).rlike(PLAIN), F.col(value)).otherwise(F.regexp_replace(_body(F.col(value)), QUOTED, MARK)).alias("_m"))
+        .where(F.col("_m") != "")
+        .withColumn("has", F.when(F.col("_m").rlike(PLAIN), none).otherwise(F.array_compact(F.array(*[F.when(F.col("_m").rlike(p), F.lit(n)) for n, p in CANDIDATES.items()]))))
     )
     # piece-count consistency
     cuts = F.array_compact(F.array(*[F.when(F.col("_m").rlike(p), F.struct(F.lit(n).alias("delimiter"), (F.size(pieces(p)) > 1).cast("int").alias("cut"))) for n, p in CANDIDATES.items()]))
@@ -80,7 +80,7 @@ def score_delimiters(df: DataFrame, source: str, value: str) -> DataFrame:
     inner = F.when(F.col("a").rlike(rf"\S{BLANK}+\S"), F.split("a", f"{BLANK}+")).otherwise(F.array().cast("array<string>"))
     parts = F.concat(F.array(F.struct(F.lit(False).alias("sub"), F.col("a").alias("t"))), F.transform(inner, lambda x: F.struct(F.lit(True).alias("sub"), x.alias("t"))))
     types = checkpointed(
-        base.select("source", "has", F.explode(pieces(any_of)).alias("a"))
+        base.select("source", "has", F.explode(F.when(F.col("_m").rlike(PLAIN), F.array("_m")).otherwise(pieces(any_of))).alias("a"))
         .select("source", "has", F.explode(parts).alias("p"))
         .groupBy("source", "has", F.col("p.sub").alias("sub"), F.regexp_replace("p.t", r"\d+", "9").alias("t"))
         .agg(F.count(F.lit(1)).alias("n"))
@@ -130,7 +130,8 @@ def split_values(value: Column, delimiters: Sequence[str]) -> Column:
         pairs = F.arrays_zip(F.split(body, QUOTED, -1).alias("p"), F.regexp_extract_all(body, F.lit(QUOTED), F.lit(0)).alias("q"))
         return F.flatten(F.transform(pairs, lambda x: F.concat(F.coalesce(plain(x["p"]), none), F.when(x["q"].isNotNull(), F.array(unquoted(x["q"]))).otherwise(none))))
 
-    return F.filter(_let(_body(value), cut_up), lambda v: v != "")
+    # most fields hold one plain value: no delimiter, quotation mark, bracket or blank to look at
+    return F.when(value.rlike(PLAIN), F.array(value)).otherwise(F.filter(_let(_body(value), cut_up), lambda v: v != ""))
 
 
 def explode_packed(df: DataFrame, columns: Mapping[str, Sequence[str]], keep: Sequence[str]) -> DataFrame:
