@@ -1,7 +1,8 @@
 """Splitting oversized items at natural boundaries: balanced targets, each snapped to the strongest boundary nearby.
 
-For a document of more than ``limit`` tokens the smallest number of pieces follows from the limit and the overlap. Equal
-targets are set, every target moves to the strongest boundary within ``limit / 8`` tokens that keeps this piece and the
+For a document of more than ``limit`` tokens the smallest number of pieces follows from the overlap and the limit less
+``room`` (an eighth: pieces filled to the last token would leave nothing to move the cuts by). Equal
+targets are set, every target moves to the strongest boundary within ``limit / 4`` tokens that keeps this piece and the
 rest within the limit (file, hunk, paragraph, line, word; among equals the nearest), and the next piece begins ``overlap``
 tokens before the cut. Every piece is tokenised by itself; if one exceeds the limit, the document is cut again into one
 piece more. Documents are independent: one narrow pass, no shuffle.
@@ -58,7 +59,7 @@ def cut(data: bytes, ends: np.ndarray, limit: int, overlap: int, pieces: int, at
     n, out, begin, begin_tok, new = len(ends), [], 0, 0, 0
     tok_at = np.searchsorted(ends, at, "left") + 1  # tokens needed to reach each boundary
     step = (n + (pieces - 1) * overlap) / pieces
-    reach = max(1, limit // 8)
+    reach = max(1, limit // 4)
     for i in range(pieces):
         left = pieces - i - 1
         if not left:
@@ -86,7 +87,7 @@ def cut(data: bytes, ends: np.ndarray, limit: int, overlap: int, pieces: int, at
     return out
 
 
-def split_text(text: str, tokenizer: Tokenizer, limit: int, overlap: int) -> list[tuple[int, int, int, int, str, str]]:
+def split_text(text: str, tokenizer: Tokenizer, limit: int, overlap: int, room: float = 0.125) -> list[tuple[int, int, int, int, str, str]]:
     """(start, end, first new byte, tokens, kind of the end, text) of every piece; empty if the text is within the limit."""
     data = text.encode("utf-8", "surrogatepass")
     if len(data) <= limit:  # a token has a byte at least
@@ -95,7 +96,7 @@ def split_text(text: str, tokenizer: Tokenizer, limit: int, overlap: int) -> lis
     if len(ends) <= limit:
         return []
     at, strength = boundaries(data)
-    pieces = -(-(len(ends) - overlap) // (limit - overlap))
+    pieces = max(2, -(-(len(ends) - overlap) // max(1, int(limit * (1 - room)) - overlap)))
     while True:
         plan = cut(data, ends, limit, overlap, pieces, at, strength)
         if plan is not None:
@@ -113,7 +114,7 @@ def split_text(text: str, tokenizer: Tokenizer, limit: int, overlap: int) -> lis
         pieces += 1
 
 
-def split_documents(docs: DataFrame, limit: int, overlap: int, doc_id: str = "doc_id", text: str = "text", ranks: str = DEFAULT_RANKS) -> DataFrame:
+def split_documents(docs: DataFrame, limit: int, overlap: int, doc_id: str = "doc_id", text: str = "text", ranks: str = DEFAULT_RANKS, room: float = 0.125) -> DataFrame:
     """``doc_id``, ``piece_no``, ``n_pieces``, ``byte_start``, ``byte_new``, ``byte_end``, ``n_tokens``, ``ends_at``, ``piece``."""
     import pandas as pd
 
@@ -130,7 +131,7 @@ def split_documents(docs: DataFrame, limit: int, overlap: int, doc_id: str = "do
             for d, x in zip(b.doc_id, b.text):
                 if not x:
                     continue
-                parts = split_text(x, t, limit, overlap)
+                parts = split_text(x, t, limit, overlap, room)
                 rows += [(d, i, len(parts), a, new, z, n, kind, piece) for i, (a, z, new, n, kind, piece) in enumerate(parts, 1)]
                 held += len(x) if parts else 0
                 if held > 8_000_000:
