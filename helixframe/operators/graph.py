@@ -50,11 +50,12 @@ def bypass(edges: DataFrame, compounds: DataFrame) -> DataFrame:
 
     ``edges`` has ``src``, ``dst``, ``pathway``; ``compounds`` has ``node``.
     """
-    into = edges.join(compounds, F.col("dst") == F.col("node"), "left_semi").join(compounds, F.col("src") == F.col("node"), "left_anti").select(F.col("src").alias("a"), F.col("dst").alias("via"), F.col("pathway").alias("p1")).distinct()
-    out = edges.join(compounds, F.col("src") == F.col("node"), "left_semi").join(compounds, F.col("dst") == F.col("node"), "left_anti").select(F.col("src").alias("via"), F.col("dst").alias("b"), F.col("pathway").alias("p2")).distinct()
-    hop = into.join(out, "via").where("a <> b")
-    r = hop.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.max("via").alias("via"), F.array_sort(F.collect_set("p1")).alias("s1"), F.array_sort(F.collect_set("p2")).alias("s2"))
-    return r.select("src", "dst", "via", F.array_join(F.array_sort(F.array_union("s1", "s2")), ",").alias("pathways"))
+    # provenance is folded per hop first, so the join forms one row per (gene, compound, gene)
+    into = edges.join(compounds, F.col("dst") == F.col("node"), "left_semi").join(compounds, F.col("src") == F.col("node"), "left_anti").groupBy(F.col("src").alias("a"), F.col("dst").alias("via")).agg(F.collect_set("pathway").alias("s1"))
+    out = edges.join(compounds, F.col("src") == F.col("node"), "left_semi").join(compounds, F.col("dst") == F.col("node"), "left_anti").groupBy(F.col("src").alias("via"), F.col("dst").alias("b")).agg(F.collect_set("pathway").alias("s2"))
+    hop = into.join(out, "via").where("a <> b").select("a", "b", "via", F.array_sort(F.array_union("s1", "s2")).alias("s"))
+    r = hop.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.max("via").alias("via"), F.flatten(F.collect_set("s")).alias("s"))
+    return r.select("src", "dst", "via", F.array_join(F.array_sort(F.array_distinct("s")), ",").alias("pathways"))
 
 
 def collapse_compounds(edges: DataFrame, compounds: DataFrame) -> DataFrame:
@@ -145,11 +146,12 @@ def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
     Ties go to the least label, and each round is checkpointed.
     """
     both = checkpointed(edges.select("i", "j", "w").union(edges.select("j", "i", "w")).where("i <> j"))
-    labels = both.select(F.col("i").alias("node")).distinct().withColumn("label", F.col("node"))
+    labels = strength = both.groupBy(F.col("i").alias("node")).agg(F.max("w").alias("w")).withColumn("label", F.col("node"))
+    labels = labels.select("node", "label")
     for _ in range(rounds):
         votes = both.join(labels, F.col("j") == F.col("node")).groupBy(F.col("i").alias("node"), "label").agg(F.sum("w").alias("w"))
-        # a node's own label has a small vote, so that pairs do not swap for ever
-        own = labels.select("node", "label", F.lit(0.5).alias("w"))
+        # a node's own label votes like its strongest neighbour, so that pairs do not swap for ever
+        own = labels.join(strength.select("node", "w"), "node").select("node", "label", "w")
         votes = votes.unionByName(own).groupBy("node", "label").agg(F.sum("w").alias("w"))
         best = votes.groupBy("node").agg(F.max("w").alias("top"))
         labels = checkpointed(votes.join(best, "node").where("w = top").groupBy("node").agg(F.min("label").alias("label")))

@@ -51,7 +51,7 @@ def mtx(spark: SparkSession, matrix: str, barcodes: str, features: str) -> DataF
     e = lines.join(F.broadcast(head), F.col("n") != F.col("h")).select(f[0].cast("long").alias("r"), f[1].cast("long").alias("c"), f[2].cast("double").alias("value"))
 
     def names(path: str, name: str) -> DataFrame:
-        d = spark.read.option("wholetext", True).text(path)
+        d = spark.read.text(path, wholetext=True)
         return d.select(F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n"))).select((F.col("pos") + 1).cast("long").alias(f"{name}_no"), F.split("col", "\t")[0].alias(name))
 
     return e.join(names(features, "feature"), F.col("r") == F.col("feature_no")).join(names(barcodes, "cell"), F.col("c") == F.col("cell_no")).select("feature", "cell", "value")
