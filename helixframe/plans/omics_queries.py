@@ -224,7 +224,7 @@ def subsample_70(s: SparkSession, d: str) -> DataFrame:
 
 def group_profile(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "events")
-    return e.groupBy("event_type", F.hour("ts").cast("long").alias("hour_of_day")).agg(F.round(F.avg("value"), 4).alias("mean_value"))
+    return e.groupBy("event_type", F.hour("ts").cast("long").alias("hour_of_day")).agg(F.round(F.avg("value"), 6).alias("mean_value"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -300,7 +300,7 @@ SELECT label, CAST(CASE WHEN hi = lo THEN 1 ELSE least(floor((score - lo) * 74 /
     "class_balance": sql("""WITH t AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || id)) AS r FROM @scored), m AS (SELECT min(n) AS n FROM (SELECT count(*) AS n FROM @scored GROUP BY label))
 SELECT id, label, score FROM t, m WHERE r <= n"""),
     "subsample_70": "SELECT c_custkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY md5('1:' || c_custkey)) AS r FROM customer) WHERE r <= round((SELECT count(*) FROM customer) * 0.7)",
-    "group_profile": "SELECT event_type, hour(ts) AS hour_of_day, round(avg(value), 4) AS mean_value FROM events GROUP BY 1, 2",
+    "group_profile": "SELECT event_type, hour(ts) AS hour_of_day, round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2",
     "kde": sql("""WITH g AS (SELECT label, score, count(*) AS w FROM @scored GROUP BY 1, 2), s AS (SELECT label, count(*) AS m, stddev_samp(score) * pow(count(*), -0.2) AS h FROM @scored GROUP BY 1),
  r AS (SELECT min(score) AS lo, max(score) AS hi FROM @scored), x AS (SELECT lo + i * (hi - lo) / 49 AS x FROM r, range(50) k(i))
 SELECT g.label, round(x, 8) AS x, round(sum(w * exp(-((x - score) / h) * ((x - score) / h) / 2) / h) / max(m) / sqrt(2 * pi()), 6) AS density FROM g JOIN s ON g.label = s.label, x GROUP BY g.label, x.x"""),
