@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import table
+from ..sources.tables import spread_table, table
 from . import leaks, lookalikes, mapping, packing, splitting, topn
 
 NAMED = {"trrust_raw": "record_id", "trrust_pkn": "pkn_id", "kegg_pkn": "edge_id"}
@@ -23,6 +23,10 @@ def _typed(spark: SparkSession, d: str, tables: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread_table(spark, d, "documents", "doc_id", "text")
+
+
 def gene_names(genes: DataFrame, taxon: str = TAXON) -> DataFrame:
     """``gene_id``, ``name``, ``rank`` (0 symbol, 1 identifiers, 2 synonyms) of every name of the taxon's genes."""
     xrefs = F.split(F.coalesce("dbxrefs", F.lit("")), r"\|")
@@ -64,7 +68,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     """Every document's place in containers of 2,048 tokens."""
-    return packing.pack_documents(table(spark, d, "documents"), capacity=2048)
+    return packing.pack_documents(_documents(spark, d), capacity=2048)
 
 
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
@@ -74,17 +78,17 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.leaked(table(spark, d, "documents"), table(spark, d, "bench_items")).where("kind = 'quoted'").select("doc_id", "item_id")
+    return leaks.leaked(_documents(spark, d), table(spark, d, "bench_items")).where("kind = 'quoted'").select("doc_id", "item_id")
 
 
 def p9_kinds(spark: SparkSession, d: str) -> DataFrame:
     """Quoted and re-parameterised items in every document."""
-    return leaks.leaked(table(spark, d, "documents"), table(spark, d, "bench_items"), reparam=True)
+    return leaks.leaked(_documents(spark, d), table(spark, d, "bench_items"), reparam=True)
 
 
 def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Pieces of at most 512 tokens, 32 of them shared with the piece before, of every longer document."""
-    return splitting.split_documents(table(spark, d, "documents"), limit=512, overlap=32)
+    return splitting.split_documents(_documents(spark, d), limit=512, overlap=32)
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p4_found, p6_found, p8_containers, p8_fill, p9_found, p9_kinds, p10_pieces)}
