@@ -22,40 +22,26 @@ def range_join(intervals: DataFrame, points: DataFrame, point: str = "tss", befo
     return left.join(right, ["chrom", "_bin"]).where((F.col(point) >= lo) & (F.col(point) <= hi)).drop("_bin")
 
 
-def nearest(peaks: DataFrame, tss: DataFrame, bin_width: int = 200_000) -> DataFrame:
+def nearest(peaks: DataFrame, tss: DataFrame, bin_width: int = 50_000) -> DataFrame:
     """Per peak (``peak_id``, ``chrom``, ``start``, ``end``) the closest site (``tss``, ``ord``, ``gene``), least ``ord`` on ties.
 
-    Sites inside a peak come from a range join. The sites left and right of it come from two ordered passes over the union
-    of both tables, each ``last(ignore nulls)`` over a running frame, so no pair of peak and site is formed. Passes are
-    blocked: inside a (chrom, block) they run side by side, and a small table of the blocks' last sites fills in from the
-    blocks before, so a chromosome is never one task.
+    Sites are folded to one row per (chrom, bin): those in the bin, the last one before it and the first one after it,
+    for every bin of the range in use (a genome in bins of 50,000 has 60,000 rows). A peak meets the rows of its own bins by
+    equality and picks the best site there, so no pair list per chromosome and no order over the peaks is needed.
     """
-    site = F.struct(F.col("tss"), F.col("ord"), F.col("gene"))
-    one = tss.groupBy("chrom", "tss").agg(F.min(F.struct("ord", "gene")).alias("m")).select("chrom", "tss", F.col("m.ord").alias("ord"), F.col("m.gene").alias("gene"))
-    inside = range_join(peaks, one, "tss").groupBy("peak_id").agg(F.min(F.struct(F.lit(0).cast("long").alias("absd"), F.col("ord"), F.col("tss"), F.col("gene"))).alias("c"))
-
-    def side(name: str, down: bool) -> DataFrame:
-        key = F.col("start") if down else F.col("end")
-        both = peaks.select("chrom", key.cast("long").alias("pos"), "peak_id", F.lit(None).cast(one.select(site.alias("s")).schema["s"].dataType).alias("s")).unionByName(
-            one.select("chrom", F.col("tss").cast("long").alias("pos"), F.lit(None).cast(peaks.schema["peak_id"].dataType).alias("peak_id"), site.alias("s"))
-        )
-        both = both.withColumn("b", F.floor(F.col("pos") / bin_width))
-        sign = F.col("pos") if down else -F.col("pos")
-        block = F.col("b") if down else -F.col("b")
-        # at an equal position the peak comes first, so the site there is not to its side
-        within = Window.partitionBy("chrom", "b").orderBy(sign, F.col("s").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-        best = F.max if down else F.min
-        ends = both.where("s IS NOT NULL").groupBy("chrom", "b").agg(best("s").alias("e"))
-        blocks = both.select("chrom", "b").distinct().join(ends, ["chrom", "b"], "left")
-        earlier = blocks.select("chrom", "b", F.last("e", True).over(Window.partitionBy("chrom").orderBy(block).rowsBetween(Window.unboundedPreceding, -1)).alias("e"))
-        found = both.withColumn("l", F.last("s", True).over(within)).where("peak_id IS NOT NULL").join(earlier, ["chrom", "b"], "left")
-        return found.select("peak_id", F.coalesce("l", "e").alias(name))
-
-    left, right = side("l", True), side("r", False)
-    r = peaks.join(left, "peak_id", "left").join(right, "peak_id", "left").join(inside, "peak_id", "left")
-    cand = lambda s, d: F.when(F.col(s).isNotNull(), F.struct(d.cast("long").alias("absd"), F.col(f"{s}.ord").alias("ord"), F.col(f"{s}.tss").alias("tss"), F.col(f"{s}.gene").alias("gene")))
-    r = r.withColumn("n", F.array_min(F.array_compact(F.array(F.col("c"), cand("l", F.col("start") - F.col("l.tss")), cand("r", F.col("r.tss") - F.col("end"))))))
-    return r.where("n IS NOT NULL").select(*peaks.columns, F.col("n.tss").alias("tss"), F.col("n.ord").alias("ord"), F.col("n.gene").alias("gene"), F.col("n.absd").alias("absd"))
+    one = tss.groupBy("chrom", "tss").agg(F.min(F.struct("ord", "gene")).alias("m")).select("chrom", F.struct(F.col("tss"), F.col("m.ord").alias("ord"), F.col("m.gene").alias("gene")).alias("s"))
+    per = one.groupBy("chrom", F.floor(F.col("s.tss") / bin_width).alias("_bin")).agg(F.array_sort(F.collect_list("s")).alias("sites"))
+    used = peaks.select("chrom", F.floor(F.col("start") / bin_width).alias("lo"), F.floor(F.col("end") / bin_width).alias("hi")).unionByName(per.select("chrom", F.col("_bin").alias("lo"), F.col("_bin").alias("hi")))
+    dense = used.groupBy("chrom").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select("chrom", F.explode(F.sequence("lo", "hi")).alias("_bin"))
+    before = Window.partitionBy("chrom").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("chrom").orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)
+    bins = dense.join(per, ["chrom", "_bin"], "left")
+    bins = bins.select("chrom", "_bin", F.array_compact(F.concat(F.coalesce("sites", F.array()), F.array(F.last(F.element_at("sites", -1), True).over(before), F.last(F.element_at("sites", 1), True).over(after)))).alias("near")).where(F.size("near") > 0)
+    apart = lambda s: F.greatest(F.col("start") - s["tss"], s["tss"] - F.col("end"), F.lit(0)).cast("long")
+    best = F.array_min(F.transform("near", lambda s: F.struct(apart(s).alias("absd"), s["ord"].alias("ord"), s["tss"].alias("tss"), s["gene"].alias("gene"))))
+    met = peaks.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start") / bin_width), F.floor(F.col("end") / bin_width)))).join(bins, ["chrom", "_bin"])
+    r = met.select(*peaks.columns, best.alias("n")).groupBy(*peaks.columns).agg(F.min("n").alias("n"))
+    return r.select(*peaks.columns, F.col("n.tss").alias("tss"), F.col("n.ord").alias("ord"), F.col("n.gene").alias("gene"), F.col("n.absd").alias("absd"))
 
 
 def promoters(peaks: DataFrame, tss: DataFrame, upstream: int = 1000, downstream: int = 100) -> DataFrame:
