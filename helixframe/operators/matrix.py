@@ -172,7 +172,7 @@ def rank_features(counts: DataFrame, clusters: DataFrame) -> DataFrame:
     total = clusters.agg(F.count(F.lit(1)).alias("n"))
     per = x.groupBy("cluster", "feature").agg(F.sum("value").alias("a1"), F.sum(F.col("value") * F.col("value")).alias("a2"))
     allf = per.groupBy("feature").agg(F.sum("a1").alias("t1"), F.sum("a2").alias("t2"))
-    r = per.join(allf, "feature").join(F.broadcast(size), "cluster").join(F.broadcast(total)).where("n1 > 1 AND n - n1 > 1")
+    r = per.join(allf, "feature").join(size, "cluster").join(F.broadcast(total)).where("n1 > 1 AND n - n1 > 1")
     n1, n2 = F.col("n1"), F.col("n") - F.col("n1")
     m1, m2 = F.col("a1") / n1, (F.col("t1") - F.col("a1")) / n2
     v1 = (F.col("a2") - n1 * m1 * m1) / (n1 - 1)

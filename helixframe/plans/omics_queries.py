@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import genomic, graph, matrix, metrics, sampling
+from ..operators import genomic, graph, matrix, metrics, pipelines, sampling
 from ..sources.tables import table
 from .views import sql, view
 
@@ -173,6 +173,17 @@ def rank_features(s: SparkSession, d: str) -> DataFrame:
     return matrix.rank_features(n.select("cell", "feature", F.col("log1p").alias("value")), clusters)
 
 
+def rna_pipeline(s: SparkSession, d: str) -> DataFrame:
+    r = pipelines.rna_qc(_counts(s, d), _mt(), 20, (10, 60), (200, 2000), 8.0)
+    return r.select("cell", "feature", F.round("norm", 5).alias("norm"), F.round("log1p", 6).alias("log1p"), "variable")
+
+
+def joint_clusters(s: SparkSession, d: str) -> DataFrame:
+    r = view(s, d, "counts2")
+    a = _counts(s, d).where(F.substring("feature", 2, 9).cast("int") < 50)
+    return pipelines.integrate(a, r.where(F.substring("feature", 2, 9).cast("int") < 50), 5, 10)[1]
+
+
 def _scored(s: SparkSession, d: str) -> DataFrame:
     return view(s, d, "scored")
 
@@ -230,7 +241,7 @@ def group_profile(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     peak_parse, peak_normalise, promoter_peaks, nearest_tss, peak_annotation, intergenic_peaks, tss_clean, nucleosome_signal, first_fragment_window, tss_enrichment, cell_qc, gene_qc, qc_filtered,
     lib_normalise, tfidf, hvg, feature_guard, row_normalise, diffuse_hop1, metacell_hop2, intersect_cells, scaled_counts, pca_embed, lsi_embed, knn_exact, cluster, rank_features, confusion_metrics,
-    auroc, avg_precision, early_precision, roc_points, pr_points, score_histogram, kde, random_scores, class_balance, subsample_70, group_profile,
+    rna_pipeline, joint_clusters, auroc, avg_precision, early_precision, roc_points, pr_points, score_histogram, kde, random_scores, class_balance, subsample_70, group_profile,
 )}
 _WAYS = {"sum": "sum(value)", "mean": "avg(value)", "max": "max(value)", "min": "min(value)", "median": "median(value)", "first": "arg_min(value, feature)"}
 for _how in _WAYS:
