@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,13 +66,46 @@ def stability_samples(tables: list[DataFrame], fraction: float = 0.7, repeats: i
     return [[t.join(sampling.exact_fraction(cells, "cell", fraction, seed), "cell", "left_semi") for t in shared] for seed in range(repeats)]
 
 
-def build_networks(spark: SparkSession, code: str, regulation: str, links: str, info: str, pathways: str, out: str, min_score: int | None = None, case: str = "upper") -> dict[str, DataFrame]:
-    """All three edge lists of an organism, written as CSV under ``out`` with their source named; existing ones are kept."""
+#: Names of nodes, in upper case, that stand for a whole pathway.
+PATHWAY_NODES = r"^(PATH:|TITLE:|(MMU|HSA|KO)\d{5}$)"
+
+
+def pathway_network(tables: dict[str, DataFrame], names: DataFrame | None = None) -> DataFrame:
+    """``src``, ``dst``, ``signal``, ``pathway``, ``ord`` of pathway XML: no pathway nodes, compounds bypassed and removed.
+
+    A bypass has signal '0' and replaces a direct edge of the same ends. It is made once, over all pathways: that holds
+    every bypass within one pathway, with its provenance. Only genes are bypassed to; other neighbours of a compound go with it.
+    """
+    edges = checkpointed(files.kgml_edges(tables, names).withColumn("ord", F.xxhash64("pathway", "kind")))
+    typed = files.kgml_nodes(tables, names)
+    x = tables["reactions"]
+    made = x.select(F.explode("substrates").alias("node")).union(x.select(F.explode("products")))
+    genes = typed.where("type = 'gene'").select("node").distinct()
+    compounds = checkpointed(typed.where("type = 'compound' OR rlike(upper(node), '^CPD:C[0-9]{5}$')").select("node").union(made).distinct().join(genes, "node", "left_anti"))
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    edges = graph.without_pathway_nodes(nodes, edges, "node", "src", "dst", PATHWAY_NODES)[1]
+    both = genes.union(compounds)
+    hop = lambda a, b: edges.join(compounds, F.col(a) == F.col("node"), "left_semi").join(both, F.col(b) == F.col("node"), "left_semi")
+    plain = edges.join(compounds, F.col("src") == F.col("node"), "left_anti").join(compounds, F.col("dst") == F.col("node"), "left_anti")
+    edges = checkpointed(plain.unionByName(hop("src", "dst")).unionByName(hop("dst", "src")))
+    signals = graph.last_writer_wins(plain, ["src", "dst"], "ord", ["signal"])
+    whole = graph.collapse_compounds(edges, compounds).join(signals, ["src", "dst"], "left")
+    signal = F.when(F.col("via").isNotNull(), "0").otherwise(F.col("signal"))
+    return whole.select("src", "dst", signal.alias("signal"), F.explode(F.split("pathways", ",")).alias("pathway"), F.lit(0).alias("ord"))
+
+
+def build_networks(spark: SparkSession, code: str, regulation: str, links: str, info: str, pathways: str, out: str, min_score: int | None = None, case: str = "upper", genes: str | None = None, orthologs: str | None = None) -> dict[str, DataFrame]:
+    """All three edge lists of an organism, written as CSV under ``out`` with their source named; existing ones are kept.
+
+    ``genes`` (the organism's gene list) and ``orthologs`` (the flat hierarchy) are the dictionaries of the pathways' codes.
+    """
     networks.organism(code)
+    dicts = [read(spark, path) for read, path in ((files.organism_genes, genes), (files.flat_hierarchy, orthologs)) if path is not None]
+    names = reduce(DataFrame.unionByName, dicts) if dicts else None
     made = {
         "trrust": lambda: networks.regulation_edges(files.regulation_tsv(spark, regulation), case),
         "string": lambda: networks.association_edges(files.protein_links(spark, links), files.protein_info(spark, info), min_score, case),
-        "kegg": lambda: networks.pathway_edges(files.kgml_edges(files.kgml(spark, pathways)).withColumn("ord", F.xxhash64("pathway", "kind")), case),
+        "kegg": lambda: networks.pathway_edges(pathway_network(files.kgml(spark, pathways), names), case),
     }
     result = {}
     for name, build in made.items():

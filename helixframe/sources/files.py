@@ -138,24 +138,36 @@ def kgml(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     }
 
 
+def kgml_nodes(tables: dict[str, DataFrame], names: DataFrame | None = None) -> DataFrame:
+    """``pathway``, ``id``, ``node``, ``type``: one row per name of every plain entry.
+
+    Codes of the pathway's organism and of ``ko`` go through the dictionary (``code``, ``name``), paths lose their prefix,
+    all other names (compounds) stay as they are; so does a code that the dictionary lacks.
+    """
+    plain = tables["entries"].select("pathway", "id", "type", F.explode("names").alias("raw"))
+    own = F.substring_index("raw", ":", 1).isin("ko", "path") | (F.substring_index("raw", ":", 1) == F.regexp_extract("pathway", "^[a-z]+", 0))
+    genes = plain.withColumn("code", F.when(own, F.substring_index("raw", ":", -1)).otherwise(F.col("raw")))
+    if names is None:
+        return genes.select("pathway", "id", F.col("code").alias("node"), "type")
+    one = names.groupBy("code").agg(F.max("name").alias("named"))
+    return genes.join(one, "code", "left").select("pathway", "id", F.coalesce("named", "code").alias("node"), "type")
+
+
 def kgml_edges(tables: dict[str, DataFrame], names: DataFrame | None = None) -> DataFrame:
-    """Edges of pathway XML: relations over group members and gene names, reactions over substrates and products.
+    """Edges of pathway XML: relations over group members at any depth and gene names, reactions over substrates and products.
 
     ``src``, ``dst``, ``signal``, ``kind``, ``pathway``; a name that the dictionary (``code``, ``name``) lacks stays.
     """
-    from ..operators.graph import relation_signal
+    from ..operators.graph import expand_groups, relation_signal
 
     e, m = tables["entries"], tables["members"]
-    plain = e.select("pathway", "id", F.explode("names").alias("raw"))
-    inner = m.select("pathway", F.col("parent").alias("id"), "child").join(plain.withColumnRenamed("id", "child"), ["pathway", "child"]).select("pathway", "id", "raw")
+    key = lambda c: F.struct("pathway", F.col(c).alias("id"))
+    members = m.select(key("parent").alias("parent"), key("child").alias("child"))
+    leaves = expand_groups(members, members.select(F.col("parent").alias("root")).distinct())
+    nodes = kgml_nodes(tables, names).select("pathway", "id", "node")
+    inner = leaves.select("root.pathway", F.col("root.id").alias("id"), F.col("leaf.id").alias("child")).join(nodes.withColumnRenamed("id", "child"), ["pathway", "child"]).select("pathway", "id", "node")
     grouped = m.select("pathway", F.col("parent").alias("id")).distinct()
-    genes = plain.join(grouped, ["pathway", "id"], "left_anti").unionByName(inner).withColumn("code", F.substring_index("raw", ":", -1))
-    if names is not None:
-        one = names.groupBy("code").agg(F.max("name").alias("named"))
-        genes = genes.join(one, "code", "left").withColumn("node", F.coalesce("named", "code"))
-    else:
-        genes = genes.withColumn("node", F.col("code"))
-    g = genes.select("pathway", "id", "node")
+    g = nodes.join(grouped, ["pathway", "id"], "left_anti").unionByName(inner)
     r = tables["relations"]
     a, b = g.select("pathway", F.col("id").alias("entry1"), F.col("node").alias("src")), g.select("pathway", F.col("id").alias("entry2"), F.col("node").alias("dst"))
     rel = r.join(a, ["pathway", "entry1"]).join(b, ["pathway", "entry2"]).select("src", "dst", relation_signal(F.col("subtypes")).alias("signal"), F.lit("relation").alias("kind"), "pathway")

@@ -44,3 +44,27 @@ def test_build_networks(spark, tmp_path):
     assert rows(got["trrust"].select("TF", "TG", "trrust_sign", "trrust_pmids", "trrust_support_n")) == [("A", "B", 1, "1,2,3", 2)]
     assert rows(got["string"].select("TF", "TG", "string_combined_score")) == [("X", "Y", 0.8)]
     assert got["kegg"].where("kegg_signal = -1").count() == 3 and got["kegg"].select("source_db").distinct().first()[0] == "kegg"
+
+
+METABOLIC = """<?xml version="1.0"?><pathway name="path:x">
+<entry id="1" name="mmu:1" type="gene" reaction="rn:R1"/><entry id="2" name="mmu:2" type="gene" reaction="rn:R2"/><entry id="3" name="mmu:3 ko:K00009" type="gene"/>
+<entry id="4" name="undefined" type="group"><component id="5"/></entry><entry id="5" name="undefined" type="group"><component id="3"/></entry>
+<entry id="6" name="path:mmu00020" type="map"/><entry id="7" name="cpd:C00002" type="compound"/>
+<relation entry1="4" entry2="1" type="PPrel"><subtype name="activation"/></relation>
+<relation entry1="1" entry2="2" type="PPrel"><subtype name="activation"/></relation>
+<relation entry1="6" entry2="7" type="maplink"><subtype name="compound"/></relation><relation entry1="6" entry2="3" type="maplink"><subtype name="compound"/></relation>
+<relation entry1="7" entry2="3" type="PCrel"><subtype name="activation"/></relation>
+<reaction id="8" name="rn:R1" type="irreversible"><substrate name="cpd:C00001"/><product name="cpd:C00002"/></reaction>
+<reaction id="9" name="rn:R2" type="irreversible"><substrate name="cpd:C00002"/><product name="cpd:C00003"/></reaction></pathway>"""
+
+
+def test_build_networks_bypasses_compounds(spark, tmp_path):
+    write(tmp_path, "k/mmu00010.xml", METABOLIC)
+    write(tmp_path, "k/mmu00011.xml", METABOLIC.replace('reaction="rn:R1"', ""))
+    got = pipelines.build_networks(
+        spark, "mm10", write(tmp_path, "r.tsv", "a\tb\tActivation\t2,1\n"), write(tmp_path, "l.txt", "protein1 protein2 combined_score\np1 p2 800\n"), write(tmp_path, "i.tsv", "#id\tpreferred_name\np1\tx\np2\ty\n"),
+        str(tmp_path / "k"), str(tmp_path / "out"), genes=write(tmp_path, "g.tsv", "mmu:1\tCDS\t1\tGa, Gz; x\nmmu:2\tCDS\t1\tGb; y\nmmu:3\tCDS\t1\tGc; z\n"), orthologs=write(tmp_path, "ko.txt", "D      K00009  KOA, KOB; w\n"),
+    )
+    both = "mmu00010,mmu00011"
+    want = [("GA", "GB", 0, both), ("GA", "GC", 0, both), ("GA", "KOA", 0, both), ("GC", "GA", 1, both), ("KOA", "GA", 1, both)]
+    assert rows(got["kegg"].select("TF", "TG", "kegg_signal", "kegg_pathways")) == want
