@@ -179,9 +179,7 @@ def rna_pipeline(s: SparkSession, d: str) -> DataFrame:
 
 
 def joint_clusters(s: SparkSession, d: str) -> DataFrame:
-    r = view(s, d, "counts2")
-    a = _counts(s, d).where(F.substring("feature", 2, 9).cast("int") < 50)
-    return pipelines.integrate(a, r.where(F.substring("feature", 2, 9).cast("int") < 50), 5, 10)[1]
+    return pipelines.integrate(_counts(s, d), view(s, d, "counts2"), 5, 10)[1]
 
 
 def _scored(s: SparkSession, d: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from helixframe.operators import pipelines
+from helixframe.plans import omics_queries
 
 from .conftest import rows
 from .test_files import KGML, write
@@ -68,3 +69,12 @@ def test_build_networks_bypasses_compounds(spark, tmp_path):
     both = "mmu00010,mmu00011"
     want = [("GA", "GB", 0, both), ("GA", "GC", 0, both), ("GA", "KOA", 0, both), ("GC", "GA", 1, both), ("KOA", "GA", 1, both)]
     assert rows(got["kegg"].select("TF", "TG", "kegg_signal", "kegg_pathways")) == want
+
+
+def test_joint_clusters_takes_every_feature(spark, monkeypatch):
+    views = {"counts": counts(spark, "f", 70), "counts2": counts(spark, "s", 60)}
+    seen = []
+    monkeypatch.setattr(omics_queries, "view", lambda s, d, name: views[name])
+    monkeypatch.setattr(omics_queries.pipelines, "integrate", lambda a, b, *n: seen.extend([a, b]) or (a, a, a))
+    omics_queries.joint_clusters(spark, "")
+    assert [t.select("feature").distinct().count() for t in seen] == [70, 60]
