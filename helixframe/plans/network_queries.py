@@ -110,6 +110,12 @@ def id_resolve(s: SparkSession, d: str) -> DataFrame:
     return identifiers.resolve(names, "name", identifiers.dictionaries(_genes(s, d), "ord"))
 
 
+def id_resolve_all(s: SparkSession, d: str) -> DataFrame:
+    """As ``id_resolve`` without its filter: also the names that SQL cannot normalise, so there is no SQL."""
+    names = table(s, d, "kegg_pkn").select(F.explode(F.array("TF", "TG")).alias("name")).where("name IS NOT NULL")
+    return identifiers.resolve(names, "name", identifiers.dictionaries(_genes(s, d), "ord"))
+
+
 def coverage_report(s: SparkSession, d: str) -> DataFrame:
     return identifiers.coverage(identifiers.dictionaries(_genes(s, d), "ord"))
 
@@ -137,7 +143,7 @@ def best_record(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     trrust_edge_rollup, string_edges_scored, undirected_edges, symmetrised_edges, chip_distinct_edges, edge_stats, network_union_provenance, pathway_edge_list, compound_bypass,
     collapse_with_provenance, self_loop_isolate_filter, complex_split, group_expand, relation_classify, lww_compose, symbol_normalise, synonym_explode, alias_first_wins, id_resolve,
-    coverage_report, fallback_lookup, unique_names, layer_pick, best_record,
+    id_resolve_all, coverage_report, fallback_lookup, unique_names, layer_pick, best_record,
 )}
 
 _NORM = lambda c: f"upper(regexp_replace(trim({c}), '[ \\t]', '', 'g'))"

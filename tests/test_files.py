@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from helixframe.functions import scalars, symbols
 from helixframe.operators import genomic, graph, identifiers, matrix, metrics, networks, sampling
 from helixframe.operators.scans import running_sums
+from helixframe.plans import network_queries
 from helixframe.sources import files, sinks
 from helixframe.streaming import peaks
 
@@ -160,3 +161,31 @@ def test_stream(spark, tmp_path):
     one.write.parquet(str(tmp_path / "in/b"))
     got = peaks.run_once(peaks.counts_by_window(peaks.read_stream(spark, str(tmp_path / "in/*"))), "peak_counts", str(tmp_path / "cp"))
     assert [(r["source_id"], r["n"]) for r in got.collect()] == [("s", 2)]
+
+
+def _genes_and(spark, tmp_path, name, pairs):
+    genes = [("910090", "1", "KRÉK", "al|x", "Ensembl:ENSG1"), ("910090", "2", "Bb", "SYN-β", "-"), ("910090", "3", "NFKB1", "-", "-"), ("910090", "7", "Cc", "QM1x", "-"), ("1", "9", "zz", "al", "-")]
+    spark.createDataFrame(genes, "tax_id string, gene_id string, symbol string, synonyms string, dbxrefs string").write.parquet(str(tmp_path / "gene_info.parquet"))
+    spark.createDataFrame(pairs, "TF string, TG string").write.parquet(str(tmp_path / f"{name}.parquet"))
+
+
+def test_id_resolve_all_takes_every_name(spark, tmp_path):
+    import unicodedata
+
+    names = ["KRÉK", "kre\u0301k", "VÅFDU18", "A\u200bl", "B\u00a0b", "\tbb", "syn-β", "NF-kB", "NF-kappaB1", "2-Sep", "ENSG1", "2", "zz", "К1", "θ1", "..", "\u200b"]
+    _genes_and(spark, tmp_path, "kegg_pkn", list(zip(names, [*names[5:], None, "aL", "x", "q", "al"])))
+
+    def norm(x):
+        x = "".join(symbols.GREEK.get(c) or ("".join(y for y in unicodedata.normalize("NFKD", c) if ord(y) < 128)) for c in x.strip(" "))
+        x = {"2-SEP": "SEPT2"}.get(x.upper(), x).replace("NF-kB", "NFKB").replace("NF-kappaB", "NFKB")
+        return x.replace(" ", "").replace("\t", "").upper()
+
+    def brute(x):
+        c = identifiers.CURATED.get(norm(x), norm(x))
+        ids = {"ENSG1": ("KREK", "ensembl"), "2": ("BB", "entrez"), "1": ("KREK", "entrez"), "AL": ("KREK", "alias"), "X": ("KREK", "alias"), "SYN-B": ("BB", "alias"), "QM1X": ("CC", "alias")}
+        return ("", "empty") if not c else (c, "official") if c in ("KREK", "BB", "NFKB1", "CC") else ids.get(c, (c, "self"))
+
+    got = {r["name"]: (r["symbol"], r["how"]) for r in network_queries.id_resolve_all(spark, str(tmp_path)).collect()}
+    assert got == {x: brute(x) for x in {*names, "aL", "x", "q", "al"}}
+    cut = {r["name"] for r in network_queries.id_resolve(spark, str(tmp_path)).collect()}
+    assert {"KRÉK", "VÅFDU18", "\tbb", "NF-kB"} <= set(got) - cut
