@@ -126,6 +126,13 @@ def fallback_lookup(s: SparkSession, d: str) -> DataFrame:
     return identifiers.resolve(names, "name", identifiers.dictionaries(_genes(s, d), "ord"), known)
 
 
+def fallback_lookup_all(s: SparkSession, d: str) -> DataFrame:
+    """As ``fallback_lookup`` for every TF and TG, so that the dictionaries come before the fallback."""
+    names = table(s, d, "string_pkn").select(F.explode(F.array("TF", "TG")).alias("name")).where("name IS NOT NULL")
+    known = table(s, d, "string_pkn").where("startswith(TG, 'QM1')").select(F.col("TG").alias("query"), F.concat(F.lit("F"), F.col("TG")).alias("symbol")).distinct()
+    return identifiers.resolve(names, "name", identifiers.dictionaries(_genes(s, d), "ord"), known)
+
+
 def unique_names(s: SparkSession, d: str) -> DataFrame:
     return scalars.unique_names(table(s, d, "part").select("p_partkey", "p_name"), "p_name", "p_partkey")
 
@@ -143,7 +150,7 @@ def best_record(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     trrust_edge_rollup, string_edges_scored, undirected_edges, symmetrised_edges, chip_distinct_edges, edge_stats, network_union_provenance, pathway_edge_list, compound_bypass,
     collapse_with_provenance, self_loop_isolate_filter, complex_split, group_expand, relation_classify, lww_compose, symbol_normalise, synonym_explode, alias_first_wins, id_resolve,
-    id_resolve_all, coverage_report, fallback_lookup, unique_names, layer_pick, best_record,
+    id_resolve_all, coverage_report, fallback_lookup, fallback_lookup_all, unique_names, layer_pick, best_record,
 )}
 
 _NORM = lambda c: f"upper(regexp_replace(trim({c}), '[ \\t]', '', 'g'))"
@@ -192,6 +199,7 @@ SELECT coalesce(b.src, t.src) AS src, coalesce(b.dst, t.dst) AS dst, b.via, coal
     "id_resolve": f"WITH {_DICTS}, n AS (SELECT DISTINCT name, {_NORM('name')} AS c FROM (SELECT TF AS name FROM kegg_pkn UNION SELECT TG FROM kegg_pkn) WHERE name IS NOT NULL AND NOT regexp_matches(name, '[^ -~]|NF-k')) " + _RESOLVE.format(extra="", how="", join=""),
     "coverage_report": f"WITH {_DICTS} SELECT (SELECT count(*) FROM official) AS n_official, (SELECT count(*) FROM ens) AS n_ensembl, (SELECT count(*) FROM entrez) AS n_entrez, (SELECT count(*) FROM ali) AS n_alias",
     "fallback_lookup": f"WITH {_DICTS}, n AS (SELECT DISTINCT TG AS name, {_NORM('TG')} AS c FROM string_pkn WHERE TG LIKE 'QM%') " + _RESOLVE.format(extra="WHEN c LIKE 'QM1%' THEN 'F' || c", how="WHEN c LIKE 'QM1%' THEN 'fallback'", join=""),
+    "fallback_lookup_all": f"WITH {_DICTS}, n AS (SELECT name, {_NORM('strip_accents(name)')} AS c FROM (SELECT TF AS name FROM string_pkn UNION SELECT TG FROM string_pkn) WHERE name IS NOT NULL) " + _RESOLVE.format(extra="WHEN k.query IS NOT NULL THEN 'F' || c", how="WHEN k.query IS NOT NULL THEN 'fallback'", join="LEFT JOIN (SELECT DISTINCT TG AS query FROM string_pkn WHERE TG LIKE 'QM1%') k ON k.query = c"""),
     "unique_names": "SELECT p_partkey, p_name, CASE WHEN n > 0 THEN p_name || '-' || n ELSE p_name END AS unique_name FROM (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) - 1 AS n FROM part)",
     "layer_pick": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size AS DOUBLE) ELSE p_retailprice END AS value FROM part",
     "best_record": sql("SELECT gene, id FROM (SELECT gene, id, row_number() OVER (PARTITION BY gene ORDER BY CASE WHEN ord % 50 = 0 THEN 0 ELSE 1 END, CASE WHEN id LIKE 'NP%' THEN 0 ELSE 1 END, CASE WHEN id LIKE 'XP%' THEN 1 ELSE 0 END, CASE WHEN description LIKE 'LOW%' THEN 1 ELSE 0 END, n_chars % 1000 DESC, ord) AS r FROM @records WHERE gene IS NOT NULL) WHERE r = 1"),

@@ -189,3 +189,9 @@ def test_id_resolve_all_takes_every_name(spark, tmp_path):
     assert got == {x: brute(x) for x in {*names, "aL", "x", "q", "al"}}
     cut = {r["name"] for r in network_queries.id_resolve(spark, str(tmp_path)).collect()}
     assert {"KRÉK", "VÅFDU18", "\tbb", "NF-kB"} <= set(got) - cut
+
+
+def test_fallback_lookup_all_yields_to_dictionaries(spark, tmp_path):
+    _genes_and(spark, tmp_path, "string_pkn", [("bb", "QM1X"), ("ENSG1", "QM12"), ("2", "al"), (None, "QM2"), ("zz", None)])
+    got = {r["name"]: (r["symbol"], r["how"]) for r in network_queries.fallback_lookup_all(spark, str(tmp_path)).collect()}
+    assert got == {"bb": ("BB", "official"), "QM1X": ("CC", "alias"), "ENSG1": ("KREK", "ensembl"), "QM12": ("FQM12", "fallback"), "2": ("BB", "entrez"), "al": ("KREK", "alias"), "QM2": ("QM2", "self"), "zz": ("ZZ", "self")}
