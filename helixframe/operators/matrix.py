@@ -164,21 +164,26 @@ def lsi(rows: DataFrame, key: str, vector: str, k: int) -> DataFrame:
 def rank_features(counts: DataFrame, clusters: DataFrame) -> DataFrame:
     """``cluster``, ``feature``, ``t``, ``p``, ``p_adj``: each cluster against the rest, variance of the rest overestimated.
 
-    The p-value uses the normal distribution; adjustment is Benjamini-Hochberg within a cluster. Moments include zeros and
-    are folded per (cluster, feature) before any join.
+    Every feature is ranked in every cluster of two cells or more, also where all its values there are zero; without any
+    variance t is 0 for equal means, else infinite. The p-value uses the normal distribution; adjustment is
+    Benjamini-Hochberg within a cluster. Moments include zeros and are folded per (cluster, feature) before any join.
     """
     x = counts.join(clusters, "cell")
     size = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n1"))
     total = clusters.agg(F.count(F.lit(1)).alias("n"))
     per = x.groupBy("cluster", "feature").agg(F.sum("value").alias("a1"), F.sum(F.col("value") * F.col("value")).alias("a2"))
     allf = per.groupBy("feature").agg(F.sum("a1").alias("t1"), F.sum("a2").alias("t2"))
-    r = per.join(allf, "feature").join(size, "cluster").join(F.broadcast(total)).where("n1 > 1 AND n - n1 > 1")
+    grid = allf.crossJoin(F.broadcast(size.crossJoin(total).where("n1 > 1 AND n - n1 > 1")))
+    r = grid.join(per, ["cluster", "feature"], "left").fillna(0, ["a1", "a2"])
     n1, n2 = F.col("n1"), F.col("n") - F.col("n1")
     m1, m2 = F.col("a1") / n1, (F.col("t1") - F.col("a1")) / n2
     v1 = (F.col("a2") - n1 * m1 * m1) / (n1 - 1)
     v2 = (F.col("t2") - F.col("a2") - n2 * m2 * m2) / (n2 - 1)
-    t = F.try_divide(m1 - m2, F.sqrt(v1 / n1 + v2 / n1))
-    r = r.select("cluster", "feature", t.alias("t")).where("t IS NOT NULL AND NOT isnan(t)")
+    real = lambda v, least: F.when(v > least, v).otherwise(0.0)  # noqa: E731  what rounding leaves counts as 0
+    se = F.sqrt(real(v1, 1e-12 * m1 * m1) / n1 + real(v2, 1e-12 * m2 * m2) / n1)
+    diff = F.when(F.abs(m1 - m2) > 1e-12 * F.greatest(F.abs(m1), F.abs(m2)), m1 - m2).otherwise(0.0)
+    t = F.when(se > 0, diff / F.nullif(se, F.lit(0.0))).when(diff == 0, 0.0).otherwise(F.signum(diff) * float("inf"))
+    r = r.select("cluster", "feature", t.alias("t"))
     z = F.abs("t") / F.sqrt(F.lit(2.0))
     k = 1 / (1 + 0.3275911 * z)
     erfc = k * (0.254829592 + k * (-0.284496736 + k * (1.421413741 + k * (-1.453152027 + k * 1.061405429)))) * F.exp(-z * z)

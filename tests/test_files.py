@@ -163,6 +163,26 @@ def test_stream(spark, tmp_path):
     assert [(r["source_id"], r["n"]) for r in got.collect()] == [("s", 2)]
 
 
+def test_rank_features_ranks_every_feature(spark):
+    import math
+
+    cells = {f"c{i}": "a" if i < 4 else "b" for i in range(10)}
+    table = {("c0", "f"): 3.0, ("c1", "f"): 1.0, ("c4", "f"): 2.0, **{(f"c{i}", "only_b"): float(i) for i in range(4, 10)}, **{(c, "same"): 0.1 for c in cells}}
+    got = matrix.rank_features(spark.createDataFrame([(*k, v) for k, v in table.items()], "cell string, feature string, value double"), spark.createDataFrame(list(cells.items()), "cell string, cluster string"))
+    found = {(r["cluster"], r["feature"]): r for r in got.collect()}
+    assert set(found) == {(c, f) for c in "ab" for f in ("f", "only_b", "same")}
+    for (c, f), r in found.items():
+        one, rest = ([table.get((x, f), 0.0) for x, k in cells.items() if (k == c) == same] for same in (True, False))
+        mean, var = lambda v: sum(v) / len(v), lambda v: sum((x - sum(v) / len(v)) ** 2 for x in v) / (len(v) - 1)
+        se = math.sqrt((var(one) + var(rest)) / len(one))
+        t = (mean(one) - mean(rest)) / se if f != "same" else 0.0
+        assert r["t"] == pytest.approx(t) and r["p"] == pytest.approx(math.erfc(abs(t) / math.sqrt(2)), abs=1e-6)
+    for c in "ab":
+        p = sorted(r["p"] for k, r in found.items() if k[0] == c)
+        want = [min(1, *[p[j] * 3 / (j + 1) for j in range(i, 3)]) for i in range(3)]
+        assert sorted(r["p_adj"] for k, r in found.items() if k[0] == c) == pytest.approx(want)
+
+
 def _genes_and(spark, tmp_path, name, pairs):
     genes = [("910090", "1", "KRÉK", "al|x", "Ensembl:ENSG1"), ("910090", "2", "Bb", "SYN-β", "-"), ("910090", "3", "NFKB1", "-", "-"), ("910090", "7", "Cc", "QM1x", "-"), ("1", "9", "zz", "al", "-")]
     spark.createDataFrame(genes, "tax_id string, gene_id string, symbol string, synonyms string, dbxrefs string").write.parquet(str(tmp_path / "gene_info.parquet"))
