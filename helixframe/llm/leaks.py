@@ -225,17 +225,30 @@ def _chain_marks(segs: list[tuple[int, int, int]], agree) -> list[dict[int, int]
     for places, d in cut:
         mine = {j: j + d for j in places}
         grown = None
+        same = grown = None
         for c in chains:
             last = max(c)
+            if d < c[last] - last or (same if d == c[last] - last else grown):
+                continue
             rest = {j: p for j, p in mine.items() if j > last and p > c[last]}
-            if rest and min(rest) - last <= 4 and d > c[last] - last:
-                grown = {**c, **rest}
-                chains.append(grown)
-                break
-        chains.append(mine)
+            if rest and min(rest) - last <= 4:
+                if d == c[last] - last:
+                    same = {**c, **rest}
+                else:
+                    grown = {**c, **rest}
+        chains += [c for c in (same, grown, mine) if c]
     return chains
 
 
+def _whole_diagonals(diags: np.ndarray, doc: np.ndarray, item: np.ndarray) -> list[dict[int, int]]:
+    """As ``_chain_marks``, each diagonal by itself over the item's whole range, however far its hits lie apart."""
+    out = []
+    for d in map(int, diags):
+        a, z = max(0, -d), min(len(item), len(doc) - d)
+        out.append({int(j): int(j) + d for j in a + np.flatnonzero(doc[a + d : z + d] == item[a:z])})
+    return [c for c in out if c]
+
+
 def match_document(ix: Index, text: str | None, min_words: int = 20, one_in: int = 8, reparam: bool = False) -> list[tuple[int, str]]:
     """(item id, 'quoted' or 're-parameterised') for one document."""
     if not text:
@@ -259,7 +272,7 @@ def match_document(ix: Index, text: str | None, min_words: int = 20, one_in: int
             segs += _segments(int(d), np.unique(p[diag == d]), ids, arr, ix.window)
         total = np.bincount(owner)
         quoted = False
-        for c in _chain_marks(segs, lambda j, q: ids[q] == arr[j]):
+        for c in _whole_diagonals(np.unique(diag), ids, arr) + _chain_marks(segs, lambda j, q: ids[q] == arr[j]):
             got = np.bincount(owner[list(c)], minlength=len(total))
             if _best_run(got == total, min_words, one_in):
                 quoted = True
@@ -268,7 +281,7 @@ def match_document(ix: Index, text: str | None, min_words: int = 20, one_in: int
             found.append((item_id, "quoted"))
         elif reparam:
             slots = ix.slot[arr]
-            for c in _chain_marks(segs, lambda j, q: template[q] == slots[j]):
+            for c in _whole_diagonals(np.unique(diag), template, slots) + _chain_marks(segs, lambda j, q: template[q] == slots[j]):
                 got = np.bincount(owner[list(c)], minlength=len(total))
                 if not _best_run(got == total, min_words, one_in):
                     continue

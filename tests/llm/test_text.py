@@ -209,3 +209,19 @@ def test_split_documents(spark):
     assert splitting.split_documents(df.limit(0), 100, 10).count() == 0
     with pytest.raises(ValueError):
         splitting.split_documents(df, 100, 90)
+
+
+def test_leaks_judge_a_diagonal_as_a_whole():
+    item = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(80)]
+    ix = leaks.build_index([(1, " ".join(item[:32])), (2, " ".join(item))], 5)
+
+    def found(n, places, item_id):
+        doc = ["xxq" if i in places else w for i, w in enumerate(item[:n])]
+        return (item_id, "quoted") in leaks.match_document(ix, "pre " + " ".join(doc) + " post")
+
+    assert found(32, (8, 13, 18, 23), 1)  # 4 of 32 replaced, hits too far apart for one stretch
+    assert not found(32, (5, 8, 13, 18, 23, 27), 1)
+    assert found(80, (20, 25, 30, 35, 40, 45, 50, 55, 60, 64), 2)  # 10 of 80, a gap wider than both reaches
+    # one word more between the far halves: parts of the first diagonal still chain to the second
+    doc = [*["xxq" if i in (8, 13, 18, 23) else w for i, w in enumerate(item[:30])], "new", *item[30:50]]
+    assert (2, "quoted") in leaks.match_document(ix, " ".join(doc))
