@@ -7,10 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import finite_or_zero
+from ..functions.scalars import finite_or_zero, parse_peaks
 from ..session import checkpointed
 from ..sources import files, sinks
-from . import graph, matrix, networks, sampling
+from . import genomic, graph, matrix, networks, sampling
 
 
 def rna_qc(counts: DataFrame, mito: Column, min_cells: int = 20, features: tuple[int, int] = (500, 2500), totals: tuple[float, float] = (1000, 5000), max_pct_mt: float = 20.0, keep: DataFrame | None = None, only_variable: bool = False) -> DataFrame:
@@ -26,6 +26,40 @@ def atac_qc(counts: DataFrame, min_cells: int = 10, features: tuple[int, int] =
     return _flagged(kept, matrix.variable_features(kept, "norm", 0.05, 1.5, 0.5), None, only_variable)
 
 
+def atac_clusters(kept: DataFrame, tss: DataFrame, components: int = 50, pcs: int = 50, neighbours: int = 10, graph_pcs: int = 30, upstream: int = 1000, downstream: int = 100, distal_max: int = 200_000) -> dict[str, DataFrame]:
+    """What follows ``atac_qc`` (``kept`` is its result), over the variable peaks and all its cells.
+
+    ``lsi``: ``cell``, ``embedding`` of the tf-idf values without the first component; ``pca``: the same of the scaled ``log1p``
+    (sample sd); ``neighbours``: ``i``, ``j``, ``rank_no`` over the first ``graph_pcs`` coordinates; ``clusters``: ``cell``, ``cluster``
+    (label propagation); ``annotation``: the variable peaks by their genes (peak names are chrom:start-end). No more components
+    are taken than there are variable peaks; none of them is an error.
+    """
+    from pyspark.ml.feature import StandardScaler
+
+    picked = kept.where("variable").select("cell", "feature", "tfidf", "log1p")
+    first = picked.agg(F.min("feature").alias("feature"), F.count_distinct("feature").alias("n"))
+    n = first.first()["n"]
+    if not n:
+        raise ValueError("no variable peaks")
+    # a cell without any variable peak is a row of zeros, not a missing row
+    bare = kept.select("cell").distinct().join(picked, "cell", "left_anti").crossJoin(F.broadcast(first.select("feature"))).select("cell", "feature", F.lit(0.0).alias("tfidf"), F.lit(0.0).alias("log1p"))
+    x = checkpointed(picked.unionByName(bare))
+    lsi = matrix.lsi(checkpointed(matrix.sparse_rows(x, "tfidf")), "cell", "vector", min(components, n))
+    rows = checkpointed(matrix.sparse_rows(x, "log1p"))
+    scaled = StandardScaler(inputCol="vector", outputCol="scaled", withMean=True, withStd=True).fit(rows).transform(rows)
+    emb = checkpointed(matrix.pca(scaled, "cell", "scaled", min(pcs, n)))
+    ids = emb.select("cell", F.slice("embedding", 1, graph_pcs).alias("embedding"), F.xxhash64("cell").alias("id"))
+    knn = checkpointed(graph.nearest_neighbours(ids, ids, "id", "embedding", neighbours))
+    groups = graph.communities(knn.select(F.col("query_id").alias("i"), F.col("neighbour_id").alias("j"), (1.0 / F.col("rank_no")).alias("w")))
+    names = ids.select("cell", "id")
+    pairs = knn.join(names.select(F.col("cell").alias("i"), F.col("id").alias("query_id")), "query_id").join(names.select(F.col("cell").alias("j"), F.col("id").alias("neighbour_id")), "neighbour_id")
+    peaks = parse_peaks(picked.select(F.col("feature").alias("peak_id")).distinct(), "peak_id")
+    return {
+        "lsi": lsi, "pca": emb, "neighbours": pairs.select("i", "j", "rank_no"), "clusters": names.join(groups, F.col("id") == F.col("node")).select("cell", F.col("label").alias("cluster")),
+        "annotation": genomic.annotate_peaks(peaks, tss, upstream, downstream, distal_max),
+    }
+
+
 def _flagged(kept: DataFrame, flags: DataFrame, keep: DataFrame | None, only_variable: bool) -> DataFrame:
     out = kept.join(flags.select("feature", "variable"), "feature", "left")
     if not only_variable:

@@ -78,3 +78,26 @@ def test_joint_clusters_takes_every_feature(spark, monkeypatch):
     monkeypatch.setattr(omics_queries.pipelines, "integrate", lambda a, b, *n: seen.extend([a, b]) or (a, a, a))
     omics_queries.joint_clusters(spark, "")
     assert [t.select("feature").distinct().count() for t in seen] == [70, 60]
+
+
+def test_atac_clusters(spark):
+    import numpy as np
+
+    c = spark.range(40 * 12).selectExpr("concat('c', id % 40) AS cell", "concat('chr1:', id DIV 40 * 1000, '-', id DIV 40 * 1000 + 500) AS feature", "CAST(1 + id * 7 % (5 + id % 3) AS DOUBLE) AS value").where("value <> 2")
+    # every other peak is variable; one cell has none of them
+    kept = pipelines.atac_qc(c, 5, (1, 50), (1, 1000)).withColumn("variable", F.expr("int(regexp_extract(feature, ':([0-9]+)', 1)) % 2000 = 0")).where("NOT (variable AND cell = 'c3')")
+    tss = spark.createDataFrame([(0, "chr1", 4100, "Near"), (1, "chr1", 900_000, "Far")], "ord long, chrom string, tss long, gene string")
+    got = pipelines.atac_clusters(kept, tss, 4, 3, 5)
+    cells = {r[0] for r in kept.select("cell").distinct().collect()}
+    assert "c3" in cells and all({r[0] for r in got[k].select("cell").distinct().collect()} == cells for k in ("lsi", "pca", "clusters"))
+    assert {len(r[0]) for r in got["lsi"].select("embedding").collect()} == {3} and {len(r[0]) for r in got["pca"].select("embedding").collect()} == {3}
+    assert got["neighbours"].count() == 5 * len(cells) and got["neighbours"].where("i = j").count() == 0
+    names, peaks = sorted(cells), sorted({r[0] for r in kept.where("variable").select("feature").collect()})
+    x = np.zeros((len(names), len(peaks)))
+    for r in kept.where("variable").collect():
+        x[names.index(r["cell"]), peaks.index(r["feature"])] = r["log1p"]
+    x = (x - x.mean(0)) / x.std(0, ddof=1)
+    u, s, _ = np.linalg.svd(x, full_matrices=False)
+    mine = {r["cell"]: r["embedding"] for r in got["pca"].collect()}
+    assert np.allclose(np.abs([mine[n] for n in names]), np.abs(u[:, :3] * s[:3]), atol=1e-6)
+    assert {(r["start"], r["gene"], r["peak_type"]) for r in got["annotation"].collect()} == {(p, "Near", "promoter" if p == 4000 else "distal") for p in range(0, 12000, 2000)}
