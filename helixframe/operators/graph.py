@@ -73,21 +73,23 @@ def split_complexes(edges: DataFrame, src: str = "src", dst: str = "dst", sep: s
     return edges.select(F.explode(F.split(src, sep)).alias(src), dst, *rest).select(src, F.explode(F.split(dst, sep)).alias(dst), *rest).where(F.col(src) != F.col(dst)).distinct()
 
 
-def expand_groups(members: DataFrame, roots: DataFrame, max_depth: int = 16) -> DataFrame:
-    """``root``, ``leaf``: all members of a group at any depth that are no groups themselves. Cycles end at ``max_depth``.
+def expand_groups(members: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """``root``, ``leaf``: all members of a group at any depth that are no groups themselves. Pairs met before end a cycle.
 
-    ``members`` has ``parent``, ``child``; ``roots`` has ``root``.
+    ``members`` has ``parent``, ``child``; ``roots`` has ``root``. Groups deeper than ``max_depth``, if given, are an error.
     """
     groups = members.select(F.col("parent").alias("leaf")).distinct()
-    front = roots.select("root", F.col("root").alias("leaf"))
-    done = None
-    for _ in range(max_depth):
-        leaves = front.join(groups, "leaf", "left_anti").select("root", "leaf")
-        done = leaves if done is None else done.union(leaves)
-        front = checkpointed(front.join(members, F.col("leaf") == F.col("parent")).select("root", F.col("child").alias("leaf")).distinct())
+    seen = front = checkpointed(roots.select("root", F.col("root").alias("leaf")).distinct())
+    depth = 0
+    while True:
+        step = front.join(members, F.col("leaf") == F.col("parent")).select("root", F.col("child").alias("leaf")).distinct()
+        front = checkpointed(step.join(seen, ["root", "leaf"], "left_anti"))
         if front.isEmpty():
-            break
-    return done.distinct()
+            return seen.join(groups, "leaf", "left_anti").select("root", "leaf")
+        depth += 1
+        if max_depth is not None and depth > max_depth:
+            raise ValueError(f"groups nested deeper than {max_depth}")
+        seen = seen.union(front)
 
 
 #: Relation subtypes, by priority, and the signal they mean.

@@ -215,3 +215,11 @@ def test_fallback_lookup_all_yields_to_dictionaries(spark, tmp_path):
     _genes_and(spark, tmp_path, "string_pkn", [("bb", "QM1X"), ("ENSG1", "QM12"), ("2", "al"), (None, "QM2"), ("zz", None)])
     got = {r["name"]: (r["symbol"], r["how"]) for r in network_queries.fallback_lookup_all(spark, str(tmp_path)).collect()}
     assert got == {"bb": ("BB", "official"), "QM1X": ("CC", "alias"), "ENSG1": ("KREK", "ensembl"), "QM12": ("FQM12", "fallback"), "2": ("BB", "entrez"), "al": ("KREK", "alias"), "QM2": ("QM2", "self"), "zz": ("ZZ", "self")}
+
+
+def test_expand_groups_at_any_depth(spark):
+    m = spark.createDataFrame([*[(f"g{i}", f"g{i + 1}") for i in range(20)], ("g20", "deep"), ("g20", "g0"), ("g1", "near")], "parent string, child string")
+    roots = spark.createDataFrame([("g0",)], "root string")
+    assert rows(graph.expand_groups(m, roots)) == [("g0", "deep"), ("g0", "near")]
+    with pytest.raises(ValueError, match="deeper"):
+        graph.expand_groups(m, roots, 16)
