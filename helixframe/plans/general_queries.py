@@ -36,7 +36,7 @@ def p1_delimiters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    r = intervals.covered_and_gaps(table(spark, d, "chip_peaks"), ["source_id", "peak_chr"], "peak_start", "peak_end")
+    r = intervals.covered_and_gaps(table(spark, d, "chip_peaks"), ["source_id", "peak_chr"], "peak_start", "peak_end", least=2, longest_gap=2000)
     merged = (F.col("kind") == "covered") & (F.col("n_intervals") >= 2)
     gap = (F.col("kind") == "gap") & (F.col("range_end") - F.col("range_start") <= 2000)
     return r.where(merged | gap).select("source_id", "peak_chr", F.when(F.col("kind") == "gap", "gap").otherwise("merged").alias("kind"), F.col("range_start").cast("int").alias("range_start"), F.col("range_end").cast("int").alias("range_end"))

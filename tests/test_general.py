@@ -99,6 +99,24 @@ def test_intervals_touch_nest_and_empty(spark):
     assert intervals.covered_and_gaps(df.limit(0), ["k"], "s", "e").count() == 0
 
 
+def test_intervals_limits_and_negative_positions(spark):
+    spans = [(-30, -20), (-25, -12), (-12, -3), (40, 55), (41, 43), (90, 95), (90, 95), (300, 310)]
+    df = spark.createDataFrame([("a", a, z) for a, z in spans], "k string, s long, e long")
+    for block in (8, 1_000_000):
+        assert rows(intervals.covered_and_gaps(df, ["k"], "s", "e", block, least=2, longest_gap=43)) == [("a", "covered", -30, -3, 3), ("a", "covered", 40, 55, 2), ("a", "gap", -3, 40, 0), ("a", "gap", 55, 90, 0)]
+    with pytest.raises(TypeError):
+        intervals.covered_and_gaps(df, ["s"], "k", "e")
+
+
+def test_intervals_hot_group_and_long_intervals(spark):
+    """Half of the rows are one interval, and one interval spans every block."""
+    hot = spark.range(20_000).selectExpr("'hot' AS k", "5 AS s", "9 AS e")
+    many = spark.range(20_000).selectExpr("'hot' AS k", "CAST(20 + id * 7 AS INT) AS s", "CAST(25 + id * 7 AS INT) AS e")
+    assert intervals.covered_and_gaps(hot.union(many), ["k"], "s", "e", 500).where("kind = 'gap'").count() == 20_000
+    over = spark.createDataFrame([("hot", 0, 200_000)], "k string, s int, e int")
+    assert rows(intervals.covered_and_gaps(hot.union(many).union(over), ["k"], "s", "e", 500)) == [("hot", "covered", 0, 200_000, 20_002)]
+
+
 # skew
 
 
