@@ -9,11 +9,14 @@ A *source* is one column of one table. A first pass scores every candidate delim
 A delimiter is taken where the product reaches ``threshold``. So a blank separates identifiers but not the words of
 ``weak Activation``. The second pass splits each row at the delimiters taken; text in quotation marks is never cut.
 
-Both passes are JVM expressions. The first shuffles one row per (source, type) and partition and brings one row of
-scores per source to the driver; the second is a narrow transformation.
+Both passes are JVM expressions. Nothing in the scores depends on the digits, so the first pass folds rows to *shapes*
+(quoted values masked, digit runs folded) with their counts before the shuffle, and all candidates meet the distinct
+shapes, not the rows. It brings one row of scores per source to the driver. The second is a narrow transformation: every
+delimiter becomes one reserved character, at which a plain split cuts.
 
 Defined cases: null and blank fields give no row; blank pieces take no position; repeated values keep theirs; a
-quotation mark without its partner is ordinary text; brackets are dropped only where one pair encloses the whole list.
+quotation mark without its partner is ordinary text; brackets are dropped only where one pair encloses the whole list; a
+field that holds one of the two reserved private-use characters is one value; clashing column names do no harm.
 """
 
 from __future__ import annotations
@@ -28,37 +31,39 @@ from ..session import checkpointed
 #: Candidate delimiters: name and Java pattern. The blank comes last: it is judged inside the pieces the others leave.
 CANDIDATES: dict[str, str] = {
     "comma": ",", "semicolon": ";", "pipe": r"\|", "slash": "/", "ampersand": "&", "plus": r"\+", "tab": r"\t", "newline": r"[\r\n]",
-    "wide_comma": "，", "wide_semicolon": "；", "list_comma": "、", "and": r"(?<=\s)and(?=\s)",
+    "wide_comma": "，", "wide_semicolon": "；", "list_comma": "、", "and": r"(?<![^\s\ue000])and(?![^\s\ue000])",
 }
 BLANK = r"[ \u00a0\u2000-\u200a\u202f\u3000]"
-PLAIN = r"^[A-Za-z0-9:._-]+$"
-MARK = "\ue000"  # stands for a quoted value while delimiters are counted
+PLAIN = r"^[A-Za-z0-9:._-]+\z"
+MARK, CUT = "\ue000", "\ue001"  # reserved: a quoted value, and any delimiter
+EDGES = " \t\n\x0b\f\r\u00a0\u3000"  # dropped at both ends of a value
 _EDGE = r"\s,;|/&+，；、"
 _DOUBLE, _SINGLE = r'"[^"]*+(?:""[^"]*+)*+"', r"'[^']*+(?:''[^']*+)*+'"
 QUOTED = rf"(?<![^{_EDGE}])(?:{_DOUBLE}|{_SINGLE})(?![^{_EDGE}])"
 
 
 def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^[\s 　]+|[\s 　]+$", "")
+    return F.btrim(c, F.lit(EDGES))
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` worked out once, however often the body names it."""
-    return F.transform(F.array(value), body)[0]
+def _body(text: Column) -> Column:
+    """The list, already without blanks around it, without one pair of brackets that encloses all of it."""
+    out = F.when(~text.rlike(r"^[\[({]"), text)
+    inner = text.substr(F.lit(2), F.length(text) - 2)
+    for a, b in (("[", "]"), ("(", ")"), ("{", "}")):
+        # not enclosing: the first bracket inside, outside quotation marks, already closes
+        out = out.when(text.startswith(a) & text.endswith(b) & (F.length(text) > 1) & ~F.regexp_replace(inner, QUOTED, "").rlike(rf"(?s)^[^\{a}\{b}]*\{b}"), _strip(inner))
+    return out.otherwise(text)
 
 
-def _body(c: Column) -> Column:
-    """The list without blanks around it and without one pair of brackets that encloses all of it."""
-
-    def bare(text: Column) -> Column:
-        out = F.when(F.lit(False), text)
-        inner = text.substr(F.lit(2), F.length(text) - 2)
-        for a, b in (("[", "]"), ("(", ")"), ("{", "}")):
-            # not enclosing: the first bracket inside, outside quotation marks, already closes
-            out = out.when(text.startswith(a) & text.endswith(b) & (F.length(text) > 1) & ~F.regexp_replace(inner, QUOTED, "").rlike(rf"(?s)^[^\{a}\{b}]*\{b}"), _strip(inner))
-        return out.otherwise(text)
-
-    return _let(_strip(c), bare)
+def _masked(df: DataFrame, value: str) -> DataFrame:
+    """Rows whose ``value`` is not blank with ``_plain`` (one simple value), ``_body`` and ``_m`` (the body, quoted values as MARK)."""
+    v = F.col(value)
+    df = df.where(v.isNotNull()).withColumn("_plain", v.rlike(PLAIN))
+    df = df.withColumn("_t", F.when(F.col("_plain"), v).otherwise(_strip(v))).where("_t <> ''")
+    df = df.withColumn("_body", F.when(F.col("_plain"), F.col("_t")).otherwise(_body(F.col("_t"))))
+    quoted = F.col("_body").contains('"') | F.col("_body").contains("'")
+    return df.withColumn("_m", F.when(F.col("_plain") | ~quoted, F.col("_body")).otherwise(F.regexp_replace("_body", QUOTED, MARK))).drop("_t")
 
 
 def score_delimiters(df: DataFrame, source: str, value: str) -> DataFrame:
@@ -68,22 +73,19 @@ def score_delimiters(df: DataFrame, source: str, value: str) -> DataFrame:
     def pieces(pattern: str) -> Column:
         return F.filter(F.transform(F.split("_m", pattern), _strip), lambda x: x != "")
 
-    base = (
-        df.select(F.col(source).alias("source"), F.when(F.col(value).rlike(PLAIN), F.col(value)).otherwise(F.regexp_replace(_body(F.col(value)), QUOTED, MARK)).alias("_m"))
-        .where(F.col("_m") != "")
-        .withColumn("has", F.when(F.col("_m").rlike(PLAIN), none).otherwise(F.array_compact(F.array(*[F.when(F.col("_m").rlike(p), F.lit(n)) for n, p in CANDIDATES.items()]))))
-    )
+    shapes = _masked(df.select(F.col(source).alias("source"), F.col(value).alias("value")), "value").groupBy("source", F.regexp_replace("_m", r"[0-9]+", "9").alias("_m")).agg(F.count(F.lit(1)).alias("n"))
+    base = checkpointed(shapes).where("_m <> ''").withColumn("has", F.when(F.col("_m").rlike(PLAIN), none).otherwise(F.array_compact(F.array(*[F.when(F.col("_m").rlike(p), F.lit(k)) for k, p in CANDIDATES.items()]))))
     # piece-count consistency
-    cuts = F.array_compact(F.array(*[F.when(F.col("_m").rlike(p), F.struct(F.lit(n).alias("delimiter"), (F.size(pieces(p)) > 1).cast("int").alias("cut"))) for n, p in CANDIDATES.items()]))
-    rows = base.where(F.size("has") > 0).select("source", F.explode(cuts).alias("c")).groupBy("source", "c.delimiter").agg(F.count(F.lit(1)).alias("rows"), F.avg("c.cut").alias("consistency"))
+    cuts = F.array_compact(F.array(*[F.when(F.col("_m").rlike(p), F.struct(F.lit(k).alias("delimiter"), F.when(F.size(pieces(p)) > 1, F.col("n")).otherwise(0).alias("cut"))) for k, p in CANDIDATES.items()]))
+    rows = base.where(F.size("has") > 0).select("source", "n", F.explode(cuts).alias("c")).groupBy("source", "c.delimiter").agg(F.sum("n").alias("rows"), (F.sum("c.cut") / F.sum("n")).alias("consistency"))
     # piece types by the set of delimiters that their row has: a handful of sets and types per source, used four times
-    inner = F.when(F.col("a").rlike(rf"\S{BLANK}+\S"), F.split("a", f"{BLANK}+")).otherwise(F.array().cast("array<string>"))
+    inner = F.when(F.col("a").rlike(rf"\S{BLANK}+\S"), F.split("a", f"{BLANK}+")).otherwise(none)
     parts = F.concat(F.array(F.struct(F.lit(False).alias("sub"), F.col("a").alias("t"))), F.transform(inner, lambda x: F.struct(F.lit(True).alias("sub"), x.alias("t"))))
     types = checkpointed(
-        base.select("source", "has", F.explode(F.when(F.col("_m").rlike(PLAIN), F.array("_m")).otherwise(pieces(any_of))).alias("a"))
-        .select("source", "has", F.explode(parts).alias("p"))
-        .groupBy("source", "has", F.col("p.sub").alias("sub"), F.regexp_replace("p.t", r"\d+", "9").alias("t"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        base.select("source", "n", "has", F.explode(F.when(F.col("_m").rlike(PLAIN), F.array("_m")).otherwise(pieces(any_of))).alias("a"))
+        .select("source", "n", "has", F.explode(parts).alias("p"))
+        .groupBy("source", "has", F.col("p.sub").alias("sub"), F.col("p.t").alias("t"))
+        .agg(F.sum("n").alias("n"))
     )
     per_type = types.where("NOT sub").groupBy("source", "t").agg(F.sum("n").alias("n_all"))
     with_d = types.where("NOT sub").select("source", "t", "n", F.explode("has").alias("delimiter")).groupBy("source", "delimiter", "t").agg(F.sum("n").alias("n_with"))
@@ -100,7 +102,7 @@ def score_delimiters(df: DataFrame, source: str, value: str) -> DataFrame:
         types.where("sub").groupBy("source", "t").agg(F.sum("n").alias("n_sub")).join(per_type, ["source", "t"], "left")
         .groupBy("source").agg(F.sum("n_sub").alias("rows"), (F.sum(F.when(F.col("n_all") > 0, F.col("n_sub")).otherwise(0)) / F.sum("n_sub")).alias("regularity"))
         .select("source", F.lit("blank").alias("delimiter"), "rows", F.lit(1.0).alias("consistency"), "regularity")
-    )
+    )
     scored = rows.join(regular, ["source", "delimiter"], "left").select("source", "delimiter", "rows", "consistency", F.coalesce("regularity", F.lit(0.0)).alias("regularity")).unionByName(blank)
     one = F.struct("delimiter", "rows", "regularity", "consistency", (F.col("regularity") * F.col("consistency")).alias("score"))
     return scored.groupBy("source").agg(F.array_sort(F.collect_list(one)).alias("scores"))
@@ -111,27 +113,31 @@ def infer_delimiters(df: DataFrame, source: str, value: str, threshold: float =
     return {r["source"]: [x["delimiter"] for x in r["scores"] if x["rows"] and x["score"] >= threshold] for r in score_delimiters(df, source, value).collect()}
 
 
-def split_values(value: Column, delimiters: Sequence[str]) -> Column:
-    """The values of one packed field, in order, as an array; null gives null."""
+def _cut(delimiters: Sequence[str]) -> Column:
+    """``_m`` with one CUT in place of the delimiters that follow one another, and of the blanks around them."""
     patterns = [CANDIDATES[d] for d in delimiters if d != "blank"] + ([rf"{BLANK}+"] if "blank" in delimiters else [])
-    cut = "|".join(f"(?:{p})" for p in patterns)
+    if not patterns:
+        return F.col("_m")
+    blanks = r"[\s\u00a0\u3000]"  # the lookbehind lets a run of blanks be tried once, from its start
+    return F.regexp_replace(F.regexp_replace("_m", "|".join(f"(?:{p})" for p in patterns), CUT), f"(?<!{blanks}){blanks}*+(?:{CUT}{blanks}*+)++", CUT)
+
 
-    def plain(text: Column) -> Column:
-        # a word delimiter at the edge of a segment stands next to a quoted value: give it the blank that it needs
-        return F.transform(F.split(F.concat(F.lit(" "), text, F.lit(" ")), cut) if cut else F.array(text), _strip)
+def _values() -> Column:
+    """The values of ``_c``, with what stood in quotation marks in ``_body`` put back."""
+    none = F.array().cast("array<string>")
+    pieces = lambda c: F.array_remove(F.transform(F.split(c, CUT), _strip), "")
 
     def unquoted(q: Column) -> Column:
         inner = q.substr(F.lit(2), F.length(q) - 2)
         return _strip(F.when(q.startswith('"'), F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(F.replace(inner, F.lit("''"), F.lit("'"))))
 
-    none = F.array().cast("array<string>")
-
-    def cut_up(body: Column) -> Column:
-        pairs = F.arrays_zip(F.split(body, QUOTED, -1).alias("p"), F.regexp_extract_all(body, F.lit(QUOTED), F.lit(0)).alias("q"))
-        return F.flatten(F.transform(pairs, lambda x: F.concat(F.coalesce(plain(x["p"]), none), F.when(x["q"].isNotNull(), F.array(unquoted(x["q"]))).otherwise(none))))
-
-    # most fields hold one plain value: no delimiter, quotation mark, bracket or blank to look at
-    return F.when(value.rlike(PLAIN), F.array(value)).otherwise(F.filter(_let(_body(value), cut_up), lambda v: v != ""))
+    pairs = F.arrays_zip(F.split("_c", MARK).alias("p"), F.regexp_extract_all("_body", F.lit(QUOTED), F.lit(0)).alias("q"))
+    whole = F.flatten(F.transform(pairs, lambda x: F.concat(F.coalesce(pieces(x["p"]), none), F.when(x["q"].isNotNull(), F.array(unquoted(x["q"]))).otherwise(none))))
+    return (
+        F.when(F.col("_plain") | F.col("_reserved"), F.array("_body"))
+        .when(~F.col("_c").contains(MARK), F.array_remove(F.split("_c", CUT), ""))
+        .otherwise(F.array_remove(whole, ""))
+    )
 
 
 def explode_packed(df: DataFrame, columns: Mapping[str, Sequence[str]], keep: Sequence[str]) -> DataFrame:
@@ -139,9 +145,15 @@ def explode_packed(df: DataFrame, columns: Mapping[str, Sequence[str]], keep: Se
 
     The columns of one table are split in one scan. Clashing names in ``df`` do no harm: only ``keep`` is carried on.
     """
-    lists = F.array(*[F.struct(F.lit(c).alias("f"), split_values(F.col(c), d).alias("v")) for c, d in columns.items()])
+    ks = [f"_k{i}" for i in range(len(keep))]
+    fields = F.explode(F.array(*[F.struct(F.lit(c).alias("f"), F.col(c).alias("v")) for c in columns]))
+    long = df.select(*[F.col(k).alias(a) for k, a in zip(keep, ks)], fields.alias("_x")).select(*ks, F.col("_x.f").alias("_f"), F.col("_x.v").alias("_v"))
+    long = _masked(long, "_v").withColumn("_reserved", F.col("_v").contains(MARK) | F.col("_v").contains(CUT))
+    cut = F.when(F.col("_plain") | F.col("_reserved"), F.col("_m"))
+    for c, delimiters in columns.items():
+        cut = cut.when(F.col("_f") == c, _cut(delimiters))
+    cut_up = long.withColumn("_c", cut)
     return (
-        df.select(*keep, F.explode(lists).alias("_l"))
-        .select(*keep, F.col("_l.f").alias("field"), F.posexplode("_l.v").alias("_p", "value"))
-        .select(*keep, "field", (F.col("_p") + 1).cast("int").alias("pos"), "value")
+        cut_up.select(*ks, "_f", F.posexplode(_values()).alias("_p", "_v"))
+        .select(*[F.col(a).alias(k) for a, k in zip(ks, keep)], F.col("_f").alias("field"), (F.col("_p") + 1).cast("int").alias("pos"), F.col("_v").alias("value"))
     )
