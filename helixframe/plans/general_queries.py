@@ -8,15 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import intervals, packed, skew, smallfiles
-from ..sources.tables import spread_table, table
+from ..sources.tables import table
 
 PACKED = {"trrust_raw": ("record_id", ["PMIDs"]), "trrust_pkn": ("pkn_id", ["trrust_pmids", "trrust_regulation"])}
 
 
 def _packed_long(spark: SparkSession, d: str) -> DataFrame:
     parts = [
-        spread_table(spark, d, t, key, *cols).select(F.explode(F.array(*[F.struct(F.lit(f"{t}.{c}").alias("source"), F.col(c).alias("value")) for c in cols])).alias("x")).select("x.*")
-        for t, (key, cols) in PACKED.items()
+        table(spark, d, t).select(F.explode(F.array(*[F.struct(F.lit(f"{t}.{c}").alias("source"), F.col(c).alias("value")) for c in cols])).alias("x")).select("x.*")
+        for t, (_, cols) in PACKED.items()
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -25,7 +25,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     taken = packed.infer_delimiters(_packed_long(spark, d), "source", "value")
     out = []
     for t, (key, cols) in PACKED.items():
-        rows = packed.explode_packed(spread_table(spark, d, t, key, *cols), {c: taken.get(f"{t}.{c}", []) for c in cols}, [key])
+        rows = packed.explode_packed(table(spark, d, t), {c: taken.get(f"{t}.{c}", []) for c in cols}, [key])
         out.append(rows.select(F.lit(t).alias("table_name"), F.col(key).alias("row_id"), "field", "pos", "value"))
     return reduce(DataFrame.unionByName, out)
 
@@ -74,13 +74,12 @@ def p7_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Keys with at least a fiftieth of all rows of their table; the total comes from the count that finds heavy keys."""
     out = []
-    for t, key in (("chip_peaks", "source_id"), ("string_pkn", "TF")):
-        per = skew.salted_aggregate(table(spark, d, t), key)
-        total = per.agg(F.sum("rows").alias("total"))
-        out.append(
-            per.where(F.col(key).isNotNull()).join(F.broadcast(total), F.col("rows") * 50 >= F.col("total")).select(F.lit(t).alias("table_name"), F.col(key).alias("key_value"))
-        )
+    for t, key, row_id in (("chip_peaks", "source_id", "peak_row_id"), ("string_pkn", "TF", "link_id")):
+        heavy, total = skew.heavy_keys(table(spark, d, t), key)
+        per = skew.salted_aggregate(table(spark, d, t), key, salt_by=[row_id], heavy=heavy)
+        out.append(per.where(F.col(key).isNotNull() & (F.col("rows") * 50 >= F.lit(total))).select(F.lit(t).alias("table_name"), F.col(key).alias("key_value")))
     return reduce(DataFrame.unionByName, out)
 
 

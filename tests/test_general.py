@@ -28,6 +28,12 @@ CASES = [
     ("(a) ; (b)", ["(a)", "(b)"]),
     ("10 11\t12\n13", ["10", "11", "12", "13"]),
     ("{PMID:14，15；16}", ["PMID:14", "15", "16"]),
+    ("11\n", ["11"]),
+    ("12; ; \t13 ,\u00a014", ["12", "13", "14"]),
+    ("'a' and b and \"c\"", ["a", "b", "c"]),
+    ("and 5 band", ["5", "band"]),
+    ("15\ue00016,17", ["15\ue00016,17"]),
+    (" " * 50_000 + "18 " * 20_000, ["18"] * 20_000),
     ("  ", []),
     ("", []),
     ("[]", []),
@@ -129,7 +135,11 @@ def test_salted_aggregate(spark):
         own = [x for x in data if x[0] == k]
         ms = [x[1] for x in own if x[1] is not None]
         assert got[k] == (len(own), len(ms), sum(ms) if ms else None, min(ms, default=None), max(ms, default=None), len({(d, m) for _, m, d in own if m is not None and d is not None}))
-    assert "hot" in skew.heavy_keys(df, "rows") and None not in skew.heavy_keys(df, "rows")
+    assert "hot" in skew.heavy_keys(df, "rows")[0] and None not in skew.heavy_keys(df, "rows")[0] and skew.heavy_keys(df, "rows")[1] == 3050
+    nulls = spark.range(100).selectExpr("IF(id < 90, NULL, 'a') AS k", "id AS v")
+    assert None in skew.heavy_keys(nulls, "k")[0] and skew.heavy_keys(nulls.limit(0), "k") == ([], 0)
+    for how in ({"salt_by": ["v"]}, {"measures": {"m": "v"}}, {"distinct": ["v"]}, {"heavy": []}):
+        assert {r["k"]: r["rows"] for r in skew.salted_aggregate(nulls, "k", **how).collect()} == {None: 90, "a": 10}
     assert skew.salted_aggregate(df.limit(0), "rows", {"m": "m"}).count() == 0
     assert {r["rows"] for r in skew.salted_aggregate(df.select("rows"), "rows").toDF("key", "rows").collect()} == {v[0] for v in got.values()}
 
