@@ -188,7 +188,8 @@ PATCH = "".join(f"diff --git a/f{n} b/f{n}\n@@ -1,2 +1,2 @@\n" + "".join(f"+line
 @pytest.mark.parametrize("text", [PATCH, "word " * 3000, "x" * 5000, "中文" * 900, "\n" * 3000, "🚀" * 700, "a\r" * 900])
 def test_split_round_trip(text):
     t = load(DEFAULT_RANKS)
-    parts = splitting.split_text(text, t, 100, 10)
+    room = 0.125 if text == PATCH else 0.0
+    parts = splitting.split_text(text, t, 100, 10, room)
     data = text.encode()
     assert b"".join(data[new:z] for _, z, new, *_ in parts) == data and len(parts) > 1
     for (a, z, new, n, _, piece), before in zip(parts, [None, *parts]):
@@ -200,6 +201,19 @@ def test_split_round_trip(text):
         assert all(p[4] not in ("character", "word") for p in parts[:-1])
     if text.startswith("word"):
         assert all(p[4] == "word" for p in parts[:-1])
+    n, parts = len(t.ends(text)), splitting.split_text(text, t, 100, 10)
+    least = splitting.least_pieces(n, 100, 10)
+    assert least <= len(parts) <= least + max(1, least // 32) + 1 and 100 + (least - 2) * 90 < n <= 100 + (least - 1) * 90
+
+
+def test_split_needs_the_least_number_of_pieces():
+    t, rnd = load(DEFAULT_RANKS), random.Random(5)
+    pieces = least = inside = 0
+    for _ in range(60):
+        text = "\n".join(" ".join(rnd.choice("red green blue yellow-ish x1 ___ 中文。".split()) for _ in range(rnd.randint(1, 12))) for _ in range(rnd.randint(20, 300)))
+        parts, n = splitting.split_counted(text, t, 100, 10)
+        pieces, least, inside = pieces + len(parts), least + (n if parts else 0), inside + sum(p[4] == "character" for p in parts)
+    assert pieces <= 1.02 * least and inside <= 0.03 * pieces
 
 
 def test_split_documents(spark):
