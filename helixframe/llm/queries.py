@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import spread_table, table
+from ..sources.tables import table
 from . import leaks, lookalikes, mapping, packing, splitting, topn
 
 NAMED = {"trrust_raw": "record_id", "trrust_pkn": "pkn_id", "kegg_pkn": "edge_id"}
@@ -24,7 +24,7 @@ def _typed(spark: SparkSession, d: str, tables: list[str]) -> DataFrame:
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
-    return spread_table(spark, d, "documents", "doc_id", "text")
+    return table(spark, d, "documents").select("doc_id", "text")
 
 
 def gene_names(genes: DataFrame, taxon: str = TAXON) -> DataFrame:
@@ -91,7 +91,15 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_documents(_documents(spark, d), limit=512, overlap=32)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p4_found, p6_found, p8_containers, p8_fill, p9_found, p9_kinds, p10_pieces)}
+def p10_excess(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and pieces by the number of pieces above the least, and how many pieces end inside words."""
+    first = p10_pieces(spark, d)
+    return first.groupBy((F.col("n_pieces") - F.col("n_least")).alias("excess")).agg(
+        F.count_if(F.col("piece_no") == 1).alias("documents"), F.count(F.lit(1)).alias("pieces"), F.count_if(F.col("ends_at") == "character").alias("inside_words")
+    )
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p4_found, p6_found, p8_containers, p8_fill, p9_found, p9_kinds, p10_pieces, p10_excess)}
 ORACLES = {
     "p6_found": """
 WITH b AS (SELECT TF, TG, max(string_combined_score) AS s FROM string_pkn WHERE TF IS NOT NULL AND string_combined_score IS NOT NULL GROUP BY 1, 2),

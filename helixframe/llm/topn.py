@@ -20,13 +20,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_COLS = ["g", "i", "s"]
+_COLS = ["g", "i", "x", "s"]
 
 
 def _best(t: pa.Table, n: int, by_group_only: bool = False) -> pa.Table:
     """The ``n`` best items of every group, sorted by group, score descending, item ascending."""
-    t = t.group_by(["g", "i"]).aggregate([("s", "max")]).rename_columns(_COLS)
-    t = t.take(pc.sort_indices(t, sort_keys=[("g", "ascending"), ("s", "descending"), ("i", "ascending")]))
+    t = t.group_by(["g", "i"]).aggregate([("x", "max"), ("s", "max")]).rename_columns(_COLS)
+    t = t.set_column(3, "s", pc.if_else(t.column("x"), 0.0, t.column("s")))  # NaN scores are equal
+    t = t.take(pc.sort_indices(t, sort_keys=[("g", "ascending"), ("x", "descending"), ("s", "descending"), ("i", "ascending")]))
     g = t.column("g").combine_chunks().dictionary_encode()
     codes = (g if isinstance(g, pa.DictionaryArray) else g.chunk(0)).indices.to_numpy()
     if not len(codes):
@@ -40,11 +41,11 @@ def top_n(df: DataFrame, group: str, item: str, score: str, n: int = 10, flush_r
     """``group``, ``item``, ``score`` and ``rank_no`` (from 1). Strings compare by their UTF-8 bytes."""
     if n < 1:
         raise ValueError("n must be at least 1")
-    # NaN becomes the largest value of its type for the heaps, whose kernels would skip it
+    # the kernels skip NaN: for the heaps a score is a pair of "is NaN" and a number
     s = F.col(score).cast("double")
-    rows = df.select(F.col(group).alias("g"), F.col(item).alias("i"), F.when(F.isnan(s), F.lit(float("inf"))).otherwise(s).alias("s")).where("g IS NOT NULL AND s IS NOT NULL")
+    rows = df.select(F.col(group).alias("g"), F.col(item).alias("i"), F.isnan(s).alias("x"), F.when(F.isnan(s), 0.0).otherwise(s).alias("s")).where("g IS NOT NULL AND s IS NOT NULL")
     kind = {f.name: f.dataType.simpleString() for f in rows.schema}
-    ddl = f"g {kind['g']}, i {kind['i']}, s double"
+    ddl = f"g {kind['g']}, i {kind['i']}, x boolean, s double"
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -80,4 +81,4 @@ def top_n(df: DataFrame, group: str, item: str, score: str, n: int = 10, flush_r
 
     heaps = rows.mapInArrow(build, ddl)
     out = heaps.repartition("g").sortWithinPartitions("g").mapInArrow(merge, ddl + ", r int")
-    return out.select(F.col("g").alias(group), F.col("i").alias(item), F.col("s").alias(score), F.col("r").alias("rank_no"))
+    return out.select(F.col("g").alias(group), F.col("i").alias(item), F.when(F.col("x"), F.lit(float("nan"))).otherwise(F.col("s")).alias(score), F.col("r").alias("rank_no"))

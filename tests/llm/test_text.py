@@ -97,6 +97,13 @@ def test_top_n(spark, flush):
     assert topn.top_n(df.limit(0), "g", "i", "s").count() == 0
 
 
+def test_top_n_ranks_nan_above_infinity(spark):
+    nan, inf = float("nan"), float("inf")
+    data = [("g", "a", inf), ("g", "b", nan), ("g", "c", 1.0), ("g", "b", 5.0), ("g", "d", nan), ("h", "a", -inf), ("h", None, nan), ("h", None, 2.0)]
+    got = rows(topn.top_n(spark.createDataFrame(data, "g string, i string, s double").repartition(3), "g", "i", "s", 3))
+    assert {(r[0], r[1], str(r[2]), r[3]) for r in got} == {("g", "a", "inf", 3), ("g", "b", "nan", 1), ("g", "d", "nan", 2), ("h", "a", "-inf", 2), ("h", None, "nan", 1)}
+
+
 # packing
 
 
