@@ -47,18 +47,38 @@ def p3_stretches(spark: SparkSession, d: str) -> DataFrame:
     return intervals.covered_and_gaps(table(spark, d, "chip_peaks"), ["source_id", "peak_chr"], "peak_start", "peak_end")
 
 
-def _peak_manifest(spark: SparkSession, d: str) -> DataFrame:
-    frames = smallfiles.frames_of_records(table(spark, d, "chip_peaks"), "file_id", ["source_id", "peak_chr", "peak_start", "peak_end"])
-    return smallfiles.manifest(frames, ["file_id", "frame_no"])
+RECORD = ["source_id", "peak_chr", "peak_start", "peak_end"]
+
+
+def p5_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """Every part of the joined files with its records, length and checksum; where it lies depends on the tasks."""
+    frames = smallfiles.frames_of_records(table(spark, d, "chip_peaks"), "file_id", RECORD)
+    return smallfiles.consolidate(frames, ["file_id", "frame_no", "n_records"]).select("file_id", "frame_no", "n_records", "length", "checksum")
+
+
+def _digests(spark: SparkSession, d: str) -> DataFrame:
+    return smallfiles.file_digests(p5_manifest(spark, d))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return smallfiles.equal_pairs(smallfiles.file_digests(_peak_manifest(spark, d)))
+    return smallfiles.equal_pairs(_digests(spark, d))
+
+
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Contents delivered more than once: the first file, files and links between them."""
+    return smallfiles.equal_files(_digests(spark, d)).select("class_id", "n_files", "n_links")
+
+
+def p5_declared(spark: SparkSession, d: str) -> DataFrame:
+    """Files whose declared number of rows is not the number delivered."""
+    found = table(spark, d, "chip_peaks").where("file_id IS NOT NULL").groupBy("file_id").agg(F.count(F.lit(1)).alias("found"))
+    said = table(spark, d, "chip_files").select("file_id", F.col("n_rows").cast("long").alias("declared"))
+    return said.join(found, "file_id", "left").select("file_id", "declared", F.coalesce("found", F.lit(0)).alias("found")).where("declared IS NULL OR declared <> found")
 
 
 def p5_consolidated(spark: SparkSession, d: str) -> DataFrame:
     """The well-sized files that hold every record once per delivering file: parts, bytes and checksum of each."""
-    frames = smallfiles.frames_of_records(table(spark, d, "chip_peaks"), "file_id", ["source_id", "peak_chr", "peak_start", "peak_end"])
+    frames = smallfiles.frames_of_records(table(spark, d, "chip_peaks"), "file_id", RECORD)
     return smallfiles.concatenate(frames, ["file_id", "frame_no"], target_bytes=16 << 20).select("out_file", "n_parts", "n_bytes", "checksum")
 
 
@@ -83,7 +103,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_delimiters, p3_found, p3_stretches, p5_found, p5_consolidated, p7_found, p7_peaks, p7_scores)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_delimiters, p3_found, p3_stretches, p5_found, p5_manifest, p5_classes, p5_declared, p5_consolidated, p7_found, p7_peaks, p7_scores)}
 
 _ISLANDS = """
 WITH p AS (SELECT DISTINCT source_id, peak_chr, peak_start AS a, peak_end AS z FROM chip_peaks
@@ -104,6 +124,18 @@ ORACLES = {
 WITH r AS (SELECT DISTINCT file_id, source_id, peak_chr, peak_start, peak_end FROM chip_peaks WHERE file_id IS NOT NULL),
 f AS (SELECT file_id, list(struct_pack(s := source_id, c := peak_chr, a := peak_start, z := peak_end) ORDER BY source_id, peak_chr, peak_start, peak_end)::VARCHAR AS c FROM r GROUP BY 1)
 SELECT x.file_id AS file_id_a, y.file_id AS file_id_b FROM f x JOIN f y ON x.c = y.c AND x.file_id < y.file_id""",
+    "p5_manifest": """
+WITH l AS (SELECT DISTINCT file_id, concat_ws(chr(9), coalesce(source_id, '\\N'), coalesce(peak_chr, '\\N'), coalesce(peak_start::VARCHAR, '\\N'), coalesce(peak_end::VARCHAR, '\\N')) AS line
+           FROM chip_peaks WHERE file_id IS NOT NULL),
+f AS (SELECT file_id, CAST(count(*) AS INTEGER) AS n_records, string_agg(line, chr(10) ORDER BY line) || chr(10) AS content FROM l GROUP BY 1)
+SELECT file_id, 0 AS frame_no, n_records, CAST(strlen(content) AS BIGINT) AS length, sha256(content) AS checksum FROM f""",
+    "p5_classes": """
+WITH r AS (SELECT DISTINCT file_id, source_id, peak_chr, peak_start, peak_end FROM chip_peaks WHERE file_id IS NOT NULL),
+f AS (SELECT file_id, list(struct_pack(s := source_id, c := peak_chr, a := peak_start, z := peak_end) ORDER BY source_id, peak_chr, peak_start, peak_end)::VARCHAR AS c FROM r GROUP BY 1)
+SELECT min(file_id) AS class_id, count(*) AS n_files, CAST(count(*) * (count(*) - 1) / 2 AS BIGINT) AS n_links FROM f GROUP BY c HAVING count(*) > 1""",
+    "p5_declared": """
+SELECT file_id, CAST(n_rows AS BIGINT) AS declared, coalesce(n, 0) AS found
+FROM chip_files LEFT JOIN (SELECT file_id, count(*) AS n FROM chip_peaks GROUP BY 1) USING (file_id) WHERE n_rows IS NULL OR n_rows <> coalesce(n, 0)""",
     "p7_found": """
 SELECT 'chip_peaks' AS table_name, source_id AS key_value FROM chip_peaks WHERE source_id IS NOT NULL GROUP BY 2 HAVING count(*) * 50 >= (SELECT count(*) FROM chip_peaks)
 UNION ALL SELECT 'string_pkn', TF FROM string_pkn WHERE TF IS NOT NULL GROUP BY 2 HAVING count(*) * 50 >= (SELECT count(*) FROM string_pkn)""",

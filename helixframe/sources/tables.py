@@ -4,23 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-SMALL_BYTES = 256 << 20
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Scan of one table; projections and filters of the caller reach the scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def spread_table(spark: SparkSession, sf_dir: str, name: str, key: str, *columns: str) -> DataFrame:
-    """``columns`` of a table over all cores, for costly narrow steps.
-
-    A small file is one row group and so one task, however many cores there are. Below ``SMALL_BYTES`` a scan with fewer
-    splits than cores is hashed by ``key``; a larger table is left as its splits are, without a shuffle.
-    """
-    df = table(spark, sf_dir, name).select(key, *[c for c in columns if c != key])
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size < SMALL_BYTES and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, key)
-    return df

@@ -8,6 +8,7 @@ import pytest
 import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from helixframe.operators import intervals, packed, skew, smallfiles
 
@@ -154,6 +155,9 @@ def test_equal_files(spark):
         frames = smallfiles.frames_of_records(df, "f", ["s", "p"], frame_rows)
         pairs = smallfiles.equal_pairs(smallfiles.file_digests(smallfiles.manifest(frames, ["file_id", "frame_no"])))
         assert rows(pairs) == [(1, 2), (1, 8), (2, 8), (3, 4)]
+        digests = smallfiles.file_digests(smallfiles.consolidate(frames, ["file_id", "frame_no"], target_bytes=20))
+        assert rows(smallfiles.equal_pairs(digests, 1)) == [(1, 2), (1, 8), (2, 8), (3, 4)]
+        assert {tuple(r)[1:] for r in smallfiles.equal_files(digests).collect()} == {(1, 3, 3), (3, 2, 1)}
     assert smallfiles.equal_pairs(smallfiles.file_digests(smallfiles.manifest(smallfiles.frames_of_records(df.limit(0), "f", ["s", "p"]), ["file_id", "frame_no"]))).count() == 0
 
 
@@ -176,6 +180,42 @@ def test_headers_and_zstandard():
         smallfiles.join_bytes([b"plain"], "zstd")
 
 
+def test_truncated_frames_are_refused():
+    whole = zstandard.ZstdCompressor(write_checksum=True).compress(bytes(range(256)) * 2000)
+    skippable = (0x184D2A53).to_bytes(4, "little") + (3).to_bytes(4, "little") + b"abc"
+    assert smallfiles.zstd_frames(whole + skippable + zstandard.compress(b"")) == 3 and smallfiles.zstd_frames(b"") == 0
+    for n in (1, 5, 8, len(whole) // 2, len(whole) - 1):
+        with pytest.raises(ValueError):
+            smallfiles.join_bytes([whole[:n]], "zstd")
+    for bad in (b"Plain text", whole + b"x", skippable[:-1]):
+        with pytest.raises(ValueError):
+            smallfiles.join_bytes([bad], "zstd")
+
+
+def test_consolidate_writes_every_record_once(spark, tmp_path):
+    parts = [(i, (f"{i},x\n" * (i % 5)).encode()[: -1 if i % 3 else None] if i % 7 else None) for i in range(60)]
+    df = spark.createDataFrame(parts, "file_id int, content binary").withColumn("offset", F.lit("x"))
+    got = smallfiles.consolidate(df, ["file_id"], target_bytes=100, folder=str(tmp_path)).collect()
+    assert sorted(r["file_id"] for r in got) == list(range(60)) and len({r["out_file"] for r in got}) < 20
+    for r in got:
+        data = (tmp_path / r["out_file"]).read_bytes()[r["offset"] : r["offset"] + r["length"]]
+        want = dict(parts)[r["file_id"]] or b""
+        assert data == (want if want.endswith(b"\n") or not want else want + b"\n") and hashlib.sha256(data).hexdigest() == r["checksum"]
+    assert sum((tmp_path / n).stat().st_size for n in {r["out_file"] for r in got}) == sum(r["length"] for r in got)
+    assert smallfiles.consolidate(df.limit(0), ["file_id"]).count() == 0
+
+
+def test_large_files_are_cut_by_distinct_lines(spark, monkeypatch):
+    data = [(f, f"line {i % 50}") for f in (1, 2) for i in range(300 * f)] + [(3, f"line {i}") for i in range(51)] + [(4, "one")] * 200
+    df = spark.createDataFrame(data, "f int, s string")
+    for bound in (500_000, 0):  # sent to all tasks, or joined with salts
+        monkeypatch.setattr(smallfiles, "BROADCAST_ROWS", bound)
+        frames = smallfiles.frames_of_records(df, "f", ["s"], 10)
+        assert {(r["file_id"], r["n_frames"]) for r in frames.collect()} == {(1, 5), (2, 5), (3, 6), (4, 1)}
+        assert frames.agg(F.sum("n_records")).first()[0] == 152
+        assert rows(smallfiles.equal_pairs(smallfiles.file_digests(smallfiles.consolidate(frames, ["file_id", "frame_no"])))) == [(1, 2)]
+
+
 def test_concatenate_writes_every_record_once(spark, tmp_path):
     parts = [(i, (f"{i},x\n" * (i % 5)).encode() if i % 7 else None) for i in range(60)]
     df = spark.createDataFrame(parts, "file_id int, content binary")
