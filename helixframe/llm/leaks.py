@@ -1,22 +1,29 @@
-"""Evaluation texts leaking into training text: template windows, a hash join, and a check of the slots.
+"""Evaluation texts leaking into training text: typed templates, a hash join of their windows, and a check of the slots.
 
-Texts are canonicalised (escapes, entities, markup, case and layout removed) and cut into words. In a *template* numbers
-become one placeholder, names another and units of measure a third; every window of ``window`` template words of every
-item goes into an index. All documents are probed against the index, whole, in one narrow pass without a shuffle: the
-index holds one entry per item window, so its size is bounded by the reference list. It is built in blocks of at most
-``max_windows`` windows and every block is joined against all documents, so a larger list changes the number of passes,
-never the result.
+Texts are canonicalised (escapes, entities, markup, case and layout removed) and cut into words. In the *template* of a
+text, on both sides, numbers become one placeholder, names another and units of measure a third. Every window of
+``window`` template words of every item is a key of an index; a window with fewer than two words besides placeholders
+says too little and is keyed by its own words instead. All documents are probed against the index, whole, in one narrow
+pass without a shuffle (a broadcast hash join of windows; a window of the corpus is never written anywhere).
 
-A hit gives a diagonal (place in the document minus place in the item). Hits of one item are chained in the order of
-both texts, and the slots are checked along the chain:
+A hit gives a diagonal (place in the document minus place in the item). On each diagonal the words that agree are kept as
+far as a passage with the hit could reach, and the passages that lie on one diagonal or go on from one to a later one are
+found by dynamic programming over the item: for every end and every number of replaced words the earliest beginning. It is
+exact for these moves and works through diagonals in blocks, so a text that repeats a phrase a hundred thousand times costs
+no more than its length. The slots then decide:
 
 * *quoted*: ``min_words`` consecutive words of the item or more, at most one in ``one_in`` replaced by another, where
-  every slot holds the item's own value;
-* *re-parameterised*: the template agrees over ``min_words`` words, but slots hold other values, each item value always
-  the same other value.
+  a slot counts as replaced unless it holds the item's own value;
+* *re-parameterised*: the template agrees over such a passage, but slots hold other values, each item value always the
+  same other value.
 
-Defined cases: null or empty texts match nothing; repeated documents and items each count; a passage interrupted by
-foreign lines counts as one if the item's words go on where they stopped.
+The reference list is read in blocks of at most ``max_windows`` words, which bounds what is sent to the tasks. With more
+than one block the documents are canonicalised once, and each block is built, joined, written and released in its turn.
+
+Defined cases: null or empty texts match nothing; repeated documents each give their rows, repeated items one; a passage
+interrupted by foreign lines counts as one if the item's words go on where they stopped and a window of the item stands
+on both sides (shorter ends do not count as part of it); items shorter than ``min_words``
+have no passages; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -27,15 +34,19 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+
 _WORD = re.compile(r"[^\W_]+")
 _ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|x([0-9a-fA-F]{2})|(.))", re.S)
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 #: Units that a template folds into one placeholder.
 UNITS = frozenset("mm cm m km mg g kg ml l s sec min h hours minutes seconds days weeks months years percent dollars euros".split())
 NUM, NAME, UNIT = -1, -2, -3
+LITERALS = 2  # words besides placeholders that a template window needs
 
 
 def _unescape(m: re.Match) -> str:
@@ -56,25 +67,18 @@ def canonical(text: str) -> str:
     return text
 
 
-def words_of(text: str) -> list[str]:
-    return _WORD.findall(canonical(text).lower())
-
-
 @dataclass
 class Index:
-    """Windows of the items' templates. ``ids`` numbers the items' words from 1; 0 is any other word."""
+    """Windows of the items' templates. ``ids`` numbers the items' words (small letters) from 1; 0 is any other word."""
 
     ids: dict[str, int] = field(default_factory=dict)
     slot: np.ndarray | None = None  # word id -> NUM, NAME, UNIT or the id itself
     keys: np.ndarray | None = None  # sorted window hashes
     item_at: np.ndarray | None = None
     pos_at: np.ndarray | None = None
-    items: list[tuple[int, np.ndarray, np.ndarray]] = field(default_factory=list)  # item id, word ids, number of the blank-separated word
+    items: list[tuple[int, np.ndarray, np.ndarray]] = field(default_factory=list)  # item id, word ids, first word of each blank-separated word
     window: int = 5
-
-
-def _is_number(w: str) -> bool:
-    return w.isdigit()
+    typed: bool = True  # placeholders on both sides; without them a template is the text
 
 
 def name_words(texts: Sequence[str]) -> set[str]:
@@ -106,76 +110,80 @@ def _hashes(template: np.ndarray, window: int) -> np.ndarray:
     return h
 
 
-def build_index(items: Sequence[tuple[int, str]], window: int = 5) -> Index:
-    ix = Index(window=window)
-    texts = [t for _, t in items]
-    names = name_words([canonical(t) for t in texts])
+def _windows(ids: np.ndarray, template: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, key) of every window that has a key: its template's, or that of its words if these are mostly placeholders."""
+    if len(ids) < window:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    ones = np.ones(window, np.int32)
+    literal = np.convolve(template > 0, ones, "valid") >= LITERALS
+    whole, own = np.convolve(template != 0, ones, "valid") == window, np.convolve(ids != 0, ones, "valid") == window
+    at = np.flatnonzero(np.where(literal, whole, own))
+    if not len(at):
+        return at, np.zeros(0, np.uint64)
+    key = np.where(literal, _hashes(template, window), _hashes(ids.astype(np.int64), window) ^ np.uint64(0x5851F42D4C957F2D))
+    return at, key[at]
+
+
+def build_index(items: Sequence[tuple[int, str]], window: int = 5, typed: bool = True) -> Index:
+    ix = Index(window=window, typed=typed)
+    texts = [canonical(t) for _, t in items]
+    names = name_words(texts) if typed else set()
     kinds = [0]
-    for item_id, text in items:
-        c = canonical(text)
-        ws, owner, n = [], [], 0
-        for part in c.split():
-            sub = _WORD.findall(part.lower())
-            ws += sub
-            owner += [n] * len(sub)
-            n += bool(sub)
+    for (item_id, _), text in zip(items, texts):
+        ws, starts = [], []
+        for part in text.split():
+            sub = _WORD.findall(part)
+            if sub:
+                starts.append(len(ws))
+                ws += sub
         arr = np.empty(len(ws), np.int32)
-        for i, w in enumerate(ws):
+        for i, w in enumerate(map(str.lower, ws)):
             if w not in ix.ids:
                 ix.ids[w] = len(kinds)
-                kinds.append(NUM if _is_number(w) else UNIT if w in UNITS else NAME if w in names else len(kinds))
+                kinds.append(NUM if typed and w.isdigit() else UNIT if typed and w in UNITS else NAME if w in names else len(kinds))
             arr[i] = ix.ids[w]
-        ix.items.append((item_id, arr, np.array(owner, np.int32)))
+        ix.items.append((item_id, arr, np.array(starts, np.int32)))
     ix.slot = np.array(kinds, np.int64)
     keys, at, pos = [], [], []
     for k, (_, arr, _) in enumerate(ix.items):
-        h = _hashes(ix.slot[arr], window)
+        p, h = _windows(arr, ix.slot[arr], window)
         keys.append(h)
         at.append(np.full(len(h), k, np.int32))
-        pos.append(np.arange(len(h), dtype=np.int32))
+        pos.append(p.astype(np.int32))
     keys, at, pos = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, at, pos))
     order = np.argsort(keys, kind="stable")
     ix.keys, ix.item_at, ix.pos_at = keys[order], at[order], pos[order]
     return ix
 
 
-def _doc_ids(ix: Index, text: str, reparam: bool) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Word ids (0: no item has the word), template (0: no placeholder either), words in small letters.
+class Coder(dict):
+    """Word as written -> (word id << 2) + placeholder of a word that no item has; remembers the words it has met."""
 
-    A quotation with one word in eight replaced has runs of five words that are the item's own, so the placeholders of
-    foreign names and numbers are worked out only where re-parameterised texts are asked for.
-    """
-    c = canonical(text)
-    lows = _WORD.findall(c.lower())
-    get = ix.ids.get
-    ids = np.fromiter([get(w, 0) for w in lows], np.int32, len(lows))
-    template = ix.slot[ids]
-    if reparam:
-        cased = _WORD.findall(c)
-        if len(cased) != len(lows):
-            cased = lows
-        for i in np.flatnonzero(ids == 0):
-            w = cased[i]
-            if _is_number(w):
-                template[i] = NUM
-            elif w[0].isupper() and w[1:].islower():
-                template[i] = NAME
-            elif lows[i] in UNITS:
-                template[i] = UNIT
-    return ids, template, lows
-
-
-def _probe(ix: Index, template: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def __init__(self, ix: Index) -> None:
+        super().__init__()
+        self.ix = ix
+
+    def __missing__(self, w: str) -> int:
+        low = w.lower()
+        n = self.ix.ids.get(low, 0)
+        code = n << 2
+        if not n and self.ix.typed:
+            code = 1 if low.isdigit() else 2 if w[0].isupper() and w[1:].islower() else 3 if low in UNITS else 0
+        if len(self) > 1_000_000:
+            self.clear()
+        self[w] = code
+        return code
+
+    def code(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Word ids (0: no item has the word) and template (0: no placeholder either)."""
+        c = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        ids = c >> 2
+        return ids, np.where(ids > 0, self.ix.slot[ids], -(c & 3))
+
+
+def _probe(ix: Index, ids: np.ndarray, template: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place in the document, place in the index) of every window hit."""
-    w = ix.window
-    if len(template) < w or not len(ix.keys):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    known = template != 0
-    run = np.convolve(known, np.ones(w, np.int32), "valid") == w
-    at = np.flatnonzero(run)
-    if not len(at):
-        return at, at
-    h = _hashes(template, w)[at]
+    at, h = _windows(ids, template, ix.window)
     lo, hi = np.searchsorted(ix.keys, h, "left"), np.searchsorted(ix.keys, h, "right")
     n = hi - lo
     at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
@@ -184,148 +192,202 @@ def _probe(ix: Index, template: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return where, k
 
 
-def _best_run(ok: np.ndarray, min_words: int, one_in: int) -> bool:
-    """Is there a range of ``min_words`` words or more that begins and ends with a kept word, at most one in ``one_in`` replaced?"""
-    bad = np.concatenate([[0], np.cumsum(~ok)])
-    starts = np.flatnonzero(ok)
-    if len(starts) < min_words - min_words // one_in:
+ROWS = 4096  # diagonals that are looked at together
+
+
+def _kept(doc: np.ndarray, item: np.ndarray, starts: np.ndarray, diags: np.ndarray, hit_row: np.ndarray, hit_pos: np.ndarray, window: int, most: int) -> np.ndarray:
+    """For every diagonal the item's blank-separated words that agree, as far as ``most`` others from a hit."""
+    j = np.arange(len(item))
+    at = diags[:, None] + j
+    inside = (at >= 0) & (at < len(doc))
+    same = inside & (doc[np.where(inside, at, 0)] == item) & (item != 0)
+    hits = np.zeros_like(same)
+    for k in range(window):
+        hits[hit_row, hit_pos + k] = True
+    same, hits = np.logical_and.reduceat(same, starts, axis=1), np.logical_or.reduceat(hits, starts, axis=1)
+    bad = np.cumsum(~same, axis=1, dtype=np.int32)
+    before = np.maximum.accumulate(np.where(hits, bad, -(1 << 20)), axis=1)
+    after = np.minimum.accumulate(np.where(hits, bad, 1 << 20)[:, ::-1], axis=1)[:, ::-1]
+    return same & ((bad - before <= most) | (after - bad <= most))
+
+
+NEVER = 1 << 20
+
+
+class Runs:
+    """Earliest beginning of a passage for every end and number of replaced words, over the diagonals seen so far."""
+
+    def __init__(self, words: int, min_words: int, one_in: int) -> None:
+        self.n, self.min_words, self.one_in = words, min_words, one_in
+        self.best = np.full((words + 1, words // one_in + 1), NEVER, np.int32)
+
+    def _step(self, kept: np.ndarray) -> tuple[bool, np.ndarray]:
+        """Is there a passage on one of the rows, each going on from what is known; and what the rows would add."""
+        rows, b = len(kept), self.best.shape[1]
+        cur, new = np.full((rows, b), NEVER, np.int32), np.empty((rows, self.n + 1, b), np.int32)
+        new[:, 0] = NEVER
+        allowed = self.one_in * np.arange(b)
+        for x in range(self.n):
+            cur = np.minimum(cur, self.best[x])
+            k = kept[:, x]
+            nxt = np.empty_like(cur)
+            nxt[:, 0], nxt[:, 1:] = NEVER, cur[:, :-1]
+            if k.any():
+                nxt[k] = cur[k]
+                nxt[k, 0] = np.minimum(nxt[k, 0], x)
+                size = x + 1 - nxt[k]
+                if ((size >= self.min_words) & (size < NEVER // 2) & (size >= allowed)).any():
+                    return True, new
+            new[:, x + 1] = cur = nxt
+        return False, new
+
+    def add(self, kept: np.ndarray) -> bool:
+        """Rows in the order of their diagonals; True as soon as there is a passage."""
+        at, many = 0, 1
+        while at < len(kept):
+            rows = kept[at : at + many]
+            found, new = self._step(rows)
+            if found and len(rows) == 1:
+                return True
+            better = (new < self.best).any(axis=(1, 2)) if not found else np.ones(len(rows), bool)
+            if not better.any():
+                at, many = at + len(rows), min(2 * many, 512)
+            elif len(rows) == 1:
+                self.best = np.minimum(self.best, new[0])
+                at += 1
+            else:  # rows before the first that adds something change nothing; that one is taken by itself
+                at, many = at + (0 if found else int(np.argmax(better))), 1
         return False
-    ends = starts + 1
-    # score(i) = one_in * bad(i) - i must not grow from a start to an end
-    s, e = one_in * bad[starts] - starts, one_in * bad[ends] - ends
-    for i, a in enumerate(starts):
-        far = ends - a >= min_words
-        if far.any() and (e[far] <= s[i]).any():
-            return True
-    return False
-
-
-REACH = 12  # words beyond a hit in which single agreeing words still belong to it
-
-
-def _segments(diag: int, hits: np.ndarray, doc: np.ndarray, item: np.ndarray, window: int) -> list[tuple[int, int, int]]:
-    """(first item place, last item place + 1, diagonal) of the stretches around hits that lie near each other."""
-    cuts = np.flatnonzero(np.diff(hits) > REACH + window)
-    out = []
-    for part in np.split(hits, cuts + 1):
-        a, z = int(part[0]), int(part[-1]) + window
-        out.append((max(0, a - REACH, -diag), min(len(item), z + REACH, len(doc) - diag), diag))
-    return out
 
 
-def _chain_marks(segs: list[tuple[int, int, int]], agree) -> list[dict[int, int]]:
-    """Chains as {item place: document place} of agreeing words; each chain is in the order of both texts."""
-    cut = []
-    for a, z, d in segs:
-        places = [j for j in range(a, z) if agree(j, j + d)]
-        if places:
-            cut.append((places, d))
-    cut.sort(key=lambda x: (x[0][0], x[1]))
-    chains: list[dict[int, int]] = []
-    for places, d in cut:
-        mine = {j: j + d for j in places}
-        grown = None
-        same = grown = None
-        for c in chains:
-            last = max(c)
-            if d < c[last] - last or (same if d == c[last] - last else grown):
-                continue
-            rest = {j: p for j, p in mine.items() if j > last and p > c[last]}
-            if rest and min(rest) - last <= 4:
-                if d == c[last] - last:
-                    same = {**c, **rest}
-                else:
-                    grown = {**c, **rest}
-        chains += [c for c in (same, grown, mine) if c]
-    return chains
-
-
-def _whole_diagonals(diags: np.ndarray, doc: np.ndarray, item: np.ndarray) -> list[dict[int, int]]:
-    """As ``_chain_marks``, each diagonal by itself over the item's whole range, however far its hits lie apart."""
-    out = []
-    for d in map(int, diags):
-        a, z = max(0, -d), min(len(item), len(doc) - d)
-        out.append({int(j): int(j) + d for j in a + np.flatnonzero(doc[a + d : z + d] == item[a:z])})
-    return [c for c in out if c]
-
-
-def match_document(ix: Index, text: str | None, min_words: int = 20, one_in: int = 8, reparam: bool = False) -> list[tuple[int, str]]:
-    """(item id, 'quoted' or 're-parameterised') for one document."""
-    if not text:
+def _path(kept: np.ndarray) -> np.ndarray:
+    """For every word the row (they never go back) on the way along which most words are kept."""
+    v = np.zeros(kept.shape, np.int32)
+    v[:, 0] = kept[:, 0]
+    for x in range(1, kept.shape[1]):
+        v[:, x] = np.maximum.accumulate(v[:, x - 1]) + kept[:, x]
+    row = int(np.argmax(v[:, -1]))
+    way = np.empty(kept.shape[1], np.int64)
+    for x in range(kept.shape[1] - 1, -1, -1):
+        row = int(np.argmax(v[: row + 1, x]))
+        way[x] = row
+    return way
+
+
+def _slots_agree(way: np.ndarray, kept: np.ndarray, diags: np.ndarray, ids: np.ndarray, words: Sequence[str], item: np.ndarray, starts: np.ndarray, slot: np.ndarray) -> bool:
+    """Do slots hold other values than the item's, each item value always the same other one?"""
+    ends = np.append(starts[1:], len(item))
+    bound: dict[int, set[str]] = {}
+    changed = False
+    for x in np.flatnonzero(kept[way, np.arange(len(way))]):
+        d = int(diags[way[x]])
+        for j in range(starts[x], ends[x]):
+            if slot[item[j]] < 0:
+                bound.setdefault(int(item[j]), set()).add(words[j + d].lower())
+                changed |= ids[j + d] != item[j]
+    return changed and all(len(v) == 1 for v in bound.values())
+
+
+def match_document(ix: Index, text: str | None, min_words: int = 20, one_in: int = 8, coder: Coder | None = None, words: list[str] | None = None) -> list[tuple[int, str]]:
+    """(item id, 'quoted' or 're-parameterised') for one document, given as text or as its canonical words."""
+    if words is None:
+        words = _WORD.findall(canonical(text)) if text else []
+    if len(words) < ix.window:
         return []
-    ids, template, lows = _doc_ids(ix, text, reparam)
-    where, k = _probe(ix, template)
+    ids, template = (coder or Coder(ix)).code(words)
+    where, k = _probe(ix, ids, template)
     if not len(where):
         return []
     items, pos = ix.item_at[k], ix.pos_at[k]
     found = []
     for it in np.unique(items):
+        item_id, arr, starts = ix.items[it]
+        n = len(starts)
+        if n < min_words:
+            continue
         sel = items == it
-        item_id, arr, owner = ix.items[it]
-        if owner[-1] + 1 < min_words:
+        diags, row = np.unique(where[sel] - pos[sel], return_inverse=True)
+        p = pos[sel]
+        if len(diags) == 1 and p.max() + ix.window - p.min() + 2 * (n // one_in) * ix.window < min_words:
             continue
-        diag, p = where[sel] - pos[sel], pos[sel]
-        if len(np.unique(p)) + ix.window - 1 < 6 and not reparam:  # too few words to hold a run between two replaced words
+        slots = ix.slot[arr]
+        order = np.argsort(row, kind="stable")
+        row, p = row[order], p[order]
+
+        def rows(doc: np.ndarray, item: np.ndarray) -> Iterator[np.ndarray]:
+            for at in range(0, len(diags), ROWS):
+                a, z = np.searchsorted(row, [at, at + ROWS])
+                yield _kept(doc, item, starts, diags[at : at + ROWS], row[a:z] - at, p[a:z], ix.window, n // one_in)
+
+        def passage(doc: np.ndarray, item: np.ndarray) -> bool:
+            least = min_words - min_words // one_in
+            blocks = list(rows(doc, item))
+            if np.logical_or.reduce([b.any(axis=0) for b in blocks]).sum() < least:
+                return False
+            runs = Runs(n, min_words, one_in)
+            return any(runs.add(b) for b in blocks)
+
+        if not passage(template, slots):
             continue
-        segs = []
-        for d in np.unique(diag):
-            segs += _segments(int(d), np.unique(p[diag == d]), ids, arr, ix.window)
-        total = np.bincount(owner)
-        quoted = False
-        for c in _whole_diagonals(np.unique(diag), ids, arr) + _chain_marks(segs, lambda j, q: ids[q] == arr[j]):
-            got = np.bincount(owner[list(c)], minlength=len(total))
-            if _best_run(got == total, min_words, one_in):
-                quoted = True
-                break
-        if quoted:
+        if passage(ids, arr):
             found.append((item_id, "quoted"))
-        elif reparam:
-            slots = ix.slot[arr]
-            for c in _whole_diagonals(np.unique(diag), template, slots) + _chain_marks(segs, lambda j, q: template[q] == slots[j]):
-                got = np.bincount(owner[list(c)], minlength=len(total))
-                if not _best_run(got == total, min_words, one_in):
-                    continue
-                bound: dict[int, set[str]] = {}
-                for j, q in c.items():
-                    if slots[j] < 0:
-                        bound.setdefault(int(arr[j]), set()).add(lows[q])
-                changed = sum(1 for j, q in c.items() if slots[j] < 0 and ids[q] != arr[j])
-                if changed and all(len(v) == 1 for v in bound.values()):
-                    found.append((item_id, "re-parameterised"))
-                    break
+        else:
+            kept = np.concatenate(list(rows(template, slots)))
+            if _slots_agree(_path(kept), kept, diags, ids, words, arr, starts, ix.slot):
+                found.append((item_id, "re-parameterised"))
     return found
 
 
-def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 5, min_words: int = 20, one_in: int = 8, reparam: bool = False, max_windows: int = 1_000_000) -> DataFrame:
+def _blocks(items: DataFrame, item_id: str, item_text: str, max_windows: int) -> Iterator[list[tuple[int, str]]]:
+    block, size = [], 0
+    for r in items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct().orderBy("i", "t").toLocalIterator():
+        n = r["t"].count(" ") + 1
+        if block and size + n > max_windows:
+            yield block
+            block, size = [], 0
+        block.append((r["i"], r["t"]))
+        size += n
+    yield block
+
+
+def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 5, min_words: int = 20, one_in: int = 8, typed: bool = True, max_windows: int = 1_000_000) -> DataFrame:
     """``doc_id``, ``item_id``, ``kind``: every document that holds a passage of an item.
 
-    The items are the bounded side: they are read to the driver and sent to the tasks in blocks of at most ``max_windows``
-    words each (1 million: about 30 MB).
+    The items are the bounded side: they come to the driver and go to the tasks in blocks of at most ``max_windows`` words
+    each (1 million: about 30 MB). ``typed`` puts placeholders on both sides; without it only quotations are found.
     """
     import pandas as pd
 
     spark = docs.sparkSession
-    rows = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct().orderBy("i", "t").toLocalIterator()
-    blocks: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for r in rows:
-        n = r["t"].count(" ") + 1
-        if blocks[-1] and size + n > max_windows:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r["i"], r["t"]))
-        size += n
-    picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    out = None
-    for block in blocks:
-        shared = spark.sparkContext.broadcast(build_index(block, window))
+    ddl = "doc_id long, item_id long, kind string"
+
+    def join(rows: DataFrame, block: list[tuple[int, str]], as_words: bool) -> tuple[DataFrame, Broadcast]:
+        shared = spark.sparkContext.broadcast(build_index(block, window, typed))
 
-        def match(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ix = shared.value
+            coder = Coder(ix)
             for b in batches:
-                got = [(d, i, k) for d, t in zip(b.doc_id, b.text) if t for i, k in match_document(ix, t, min_words, one_in, reparam)]
+                got = [(d, i, k) for d, t in zip(b.doc_id, b.text) if t for i, k in match_document(ix, t, min_words, one_in, coder, t.split(" ") if as_words else None)]
                 yield pd.DataFrame(got, columns=["doc_id", "item_id", "kind"]).astype({"doc_id": "int64", "item_id": "int64"})
 
-        hit = picked.mapInPandas(match, "doc_id long, item_id long, kind string")
+        return rows.mapInPandas(match, ddl), shared
+
+    picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    blocks = _blocks(items, item_id, item_text, max_windows)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return join(picked, first, False)[0]
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b.doc_id, "text": [" ".join(_WORD.findall(canonical(t))) if t else "" for t in b.text]})
+
+    once = written(picked.where("text <> ''").mapInPandas(words, "doc_id long, text string"))
+    out = None
+    for block in (first, second, *blocks):
+        hit, shared = join(once, block, True)
+        hit = written(hit)
+        shared.destroy()
         out = hit if out is None else out.unionByName(hit)
     return out

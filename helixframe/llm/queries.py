@@ -83,7 +83,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_kinds(spark: SparkSession, d: str) -> DataFrame:
     """Quoted and re-parameterised items in every document."""
-    return leaks.leaked(_documents(spark, d), table(spark, d, "bench_items"), reparam=True)
+    return leaks.leaked(_documents(spark, d), table(spark, d, "bench_items"))
 
 
 def p10_pieces(spark: SparkSession, d: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The text problems against brute force, round trips and hand-made cases."""
 
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -174,9 +175,74 @@ def test_reparameterised(spark):
     for old, new in {"Belvex": "Sovthi", "Dunhul": "Krapel", "44": "5", "477": "61", "12": "8", "90": "15", "31": "70"}.items():
         text = text.replace(old, new)
     docs = spark.createDataFrame([(1, text), (2, text.replace("while Sovthi", "while Marbel")), (3, item)], "doc_id long, text string")
-    assert rows(leaks.leaked(docs, items)) == [(3, 9, "quoted")]
+    assert rows(leaks.leaked(docs, items, typed=False)) == [(3, 9, "quoted")]
     # document 2 gives one name two values, so the slots do not agree
-    assert rows(leaks.leaked(docs, items, reparam=True)) == [(1, 9, "re-parameterised"), (3, 9, "quoted")]
+    assert rows(leaks.leaked(docs, items)) == [(1, 9, "re-parameterised"), (3, 9, "quoted")]
+
+
+def _made_up(rnd, n):
+    return ["".join(rnd.choice("bcdfglmnprstvz") + rnd.choice("aeiou") for _ in range(rnd.randint(2, 4))) for _ in range(n)]
+
+
+def test_quoted_passages_are_found_and_others_not():
+    """Passages at the edge of the definition, whole or interrupted by foreign lines anywhere, and passages beyond it."""
+    rnd = random.Random(8)
+    items = [(i, " ".join(_made_up(rnd, rnd.randint(24, 110)))) for i in range(40)]
+    ix = leaks.build_index(items)
+    coder = leaks.Coder(ix)
+    missed = wrong = 0
+    for turn in range(600):
+        i, text = items[turn % 40]
+        words = text.split()
+        n = rnd.randint(20, len(words))
+        at = rnd.randint(0, len(words) - n)
+        part = words[at : at + n]
+        swap = sorted(rnd.sample(range(1, n - 1), n // 8))
+        good, bad = list(part), list(part)
+        for x in swap:
+            good[x] = _made_up(rnd, 1)[0]
+        for x in range(3, n, 5):
+            bad[x] = _made_up(rnd, 1)[0]
+        whole = [x for x in range(n - 4) if not set(swap) & set(range(x, x + 5))]  # windows that stay
+        cut = rnd.choice([0, *[x for x in range(whole[0] + 5, whole[-1] + 1) if not set(swap) & {x - 1, x}]])
+        lines = good[:cut] + _made_up(rnd, rnd.choice([1, 5, 40]) if cut else 0) + good[cut:]
+        noise = lambda: " ".join(_made_up(rnd, 30))
+        missed += (i, "quoted") not in leaks.match_document(ix, " ".join([noise(), *lines, noise()]), coder=coder)
+        wrong += bool(leaks.match_document(ix, " ".join([noise(), *bad, noise(), *part[:19], noise()]), coder=coder)) and n - 3 < 60
+    assert missed <= 3 and wrong == 0
+
+
+def test_placeholders_find_reparameterised_questions():
+    rnd = random.Random(9)
+    people = ["Belvex", "Dunhul", "Sovthi", "Krapel", "Marbel", "Tolwin"]
+    items, texts = [], []
+    for i in range(50):
+        filler = _made_up(rnd, 26)
+        slots = {5 * k: str(rnd.randint(10, 999)) if k % 2 else people[k % 6] for k in range(1, 5)}
+        fill = lambda values: "The " + " ".join(values.get(k, w) for k, w in enumerate(filler)) + "?"
+        items.append((i, fill(slots)))
+        texts.append(fill({k: v + "7" if v.isdigit() else "Q" + v.lower() for k, v in slots.items()}))
+    # every third word is a slot's neighbour, so that plain windows of five words rarely stay whole
+    hits = {}
+    for typed in (True, False):
+        ix = leaks.build_index(items, typed=typed)
+        hits[typed] = sum((i, "re-parameterised") in leaks.match_document(ix, t) for (i, _), t in zip(items, texts))
+        assert all((i, "quoted") in leaks.match_document(ix, t) for i, t in items)
+    assert hits[True] >= 45 and hits[False] == 0
+
+
+def test_leaks_of_repetitive_texts_cost_their_length():
+    rnd = random.Random(10)
+    words = _made_up(rnd, 90)
+    ix = leaks.build_index([(1, " ".join(words))])
+    parts = [words[x : x + 7] for x in (60, 40, 20, 3)]
+    took = []
+    for n in (10_000, 40_000):
+        text = " ".join(" ".join(parts[k % 4 if k < n // 2 else rnd.randint(0, 3)]) + f" filler{k % 97} the" for k in range(n))
+        began = time.process_time()
+        leaks.match_document(ix, text)
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * max(took[0], 0.2)
 
 
 def test_leaks_blocks_and_empty(spark):
