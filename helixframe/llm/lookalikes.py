@@ -4,15 +4,20 @@ Three kinds of characters are brought to one form. *Styled* characters (full-wid
 ligatures, combining accents) follow the Unicode compatibility mappings. *Invisible* characters (format characters,
 variation selectors, fillers) are removed and unusual blanks and dashes become the usual ones. *Look-alike* letters of
 other scripts are judged token by token: the dominant script of a token is the one with most of its letters, and only in
-tokens that mix scripts, or whose letters all have Latin twins, are twins substituted. Capital Cyrillic and Greek letters
-and small Cyrillic ones with a twin are never the usual character of a gene name; small Greek letters often are, so these
-are replaced only where the repaired token occurs in the vocabulary of the corpus (tokens of rows without any unusual
-character); the omicron, which nobody can tell from an o, is replaced in any mixed token.
+tokens that mix scripts, or whose letters all have Latin twins, are twins substituted, if the result is in the vocabulary
+of the corpus (tokens of names without any unusual character; case and accents do not matter there).
 
-Rows of plain ASCII never leave the JVM. The vocabulary is a table joined by token, not a set held in memory.
+A name may occur nowhere else, and what a reader sees must still come out. So a token whose result the vocabulary lacks
+gets its twins, too, where no reading as Greek or Cyrillic is left (``beyond_vocabulary``, on unless switched off):
+capital Cyrillic and Greek letters and small Cyrillic ones with a twin are never the usual character of a Latin name.
+Small Greek letters often are; only the vocabulary replaces them, but for the omicron, which nobody can tell from an o.
+
+Rows of plain ASCII never leave the JVM, every distinct other text is repaired once, and the vocabulary is a table joined
+by token, not a set held in memory.
 
 Defined cases: null gives no row; an empty text or one of unusual blanks only comes out empty; a token with a letter that
-has no twin (a Cyrillic word) stays as it is; repairing twice changes nothing.
+has no twin (a Cyrillic word) stays as it is; repairing twice changes nothing; repeated rows each give a row; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,6 +29,8 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+
 #: Letters of other scripts and the Latin letters that they look like.
 CYRILLIC = {
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J",
@@ -102,51 +109,56 @@ def _token(token: str) -> tuple[str, str]:
 _SPLIT = re.compile(r"([^\W_]+)")
 
 
-def repair(text: str) -> tuple[list[str], list[str]]:
-    """Pieces of the text (tokens and what is between them), repaired without and with the vocabulary."""
-    sure, maybe = [], []
-    for piece in _SPLIT.split(_unstyled(text)):
-        a, b = _token(piece) if piece else (piece, piece)
-        sure.append(a)
-        maybe.append(b)
-    return sure, maybe
+def repair(text: str) -> tuple[list[str], list[str], list[str]]:
+    """Pieces of the text (tokens and what is between them): as they are, repaired for sure, and repaired with the vocabulary."""
+    pieces = _SPLIT.split(_unstyled(text))
+    both = [_token(p) if p else (p, p) for p in pieces]
+    return pieces, [a for a, _ in both], [b for _, b in both]
+
+
+def vocabulary_key(token: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", token.lower()) if not unicodedata.combining(c))
 
 
 NON_ASCII = r"[^\x{20}-\x{7e}\t\n\r]"
 
 
-def tokens(col):
-    return F.filter(F.split(F.lower(col), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+def vocabulary(names: DataFrame, name: str) -> DataFrame:
+    """``w``: the tokens, in small letters, of all names without unusual characters."""
+    plain = names.where(~F.col(name).rlike(NON_ASCII)).select(F.lower(name).alias("n")).distinct()
+    return plain.select(F.explode(F.split("n", r"[^\p{L}\p{N}]+")).alias("w")).where("w <> ''")
+
 
+def repair_text(df: DataFrame, key: Sequence[str], text: str, names: DataFrame | None = None, name: str | None = None, beyond_vocabulary: bool = True) -> DataFrame:
+    """``key`` columns, ``text``, ``plain`` and ``n_unknown`` for every row whose text has an invisible or look-alike character.
 
-def repair_text(df: DataFrame, key: Sequence[str], text: str) -> DataFrame:
-    """``key`` columns, ``text`` and ``plain`` for every row whose text has an invisible or look-alike character."""
+    The vocabulary comes from column ``name`` of ``names`` (the texts themselves unless given); ``n_unknown`` is the
+    number of repaired tokens that it lacks.
+    """
     import pandas as pd
 
-    ks = list(key)
-    odd = df.where(F.col(text).rlike(NON_ASCII)).select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(ks)], F.col(text).alias("t"))
-    kinds = odd.dtypes
-    ddl = ", ".join(f"`{n}` {k}" for n, k in kinds) + ", sure array<string>, maybe array<string>"
+    ks = [f"k{i}" for i in range(len(key))]
+    # a text is named by its SHA-256, so that a long one is not carried along with each of its tokens
+    odd = df.where(F.col(text).rlike(NON_ASCII)).select(*[F.col(k).alias(a) for k, a in zip(key, ks)], F.col(text).alias("t"), F.unhex(F.sha2(text, 256)).alias("h"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            pairs = [repair(t) for t in b.t]
-            b["sure"], b["maybe"] = [p[0] for p in pairs], [p[1] for p in pairs]
-            yield b
-
-    fixed = odd.mapInPandas(run, ddl)
-    asked = fixed.where("sure <> maybe").select(F.explode("maybe").alias("m")).select(F.lower("m").alias("w")).distinct()
-    known = df.where(~F.col(text).rlike(NON_ASCII)).select(F.explode(tokens(F.col(text))).alias("w")).join(asked, "w", "left_semi").distinct()
-    # only rows with a small Greek letter inside a token ask the vocabulary
-    cols = [f"k{i}" for i in range(len(ks))]
-    doubtful = (
-        fixed.where("sure <> maybe")
-        .select(*cols, "t", F.posexplode(F.arrays_zip("sure", "maybe")).alias("p", "x"))
-        .select(*cols, "t", "p", "x.sure", "x.maybe", F.lower("x.maybe").alias("w"))
-        .join(known.withColumn("has", F.lit(True)), "w", "left")
-        .groupBy(*cols, "t")
-        .agg(F.array_sort(F.collect_list(F.struct("p", F.when(F.col("has"), F.col("maybe")).otherwise(F.col("sure")).alias("v")))).alias("l"))
-        .select(*cols, "t", F.array_join(F.col("l.v"), "").alias("r"))
+            got = [repair(t) for t in b.t]
+            b["piece"], b["sure"], b["maybe"] = ([g[n] for g in got] for n in range(3))
+            b["w"] = [[vocabulary_key(m) if m != p else "" for p, m in zip(g[0], g[2])] for g in got]
+            yield b[["h", "piece", "sure", "maybe", "w"]]
+
+    texts = "piece array<string>, sure array<string>, maybe array<string>, w array<string>"
+    fixed = written(odd.select("h", "t").distinct().mapInPandas(run, f"h binary, {texts}"))
+    asked = fixed.select(F.explode(F.array_distinct("w")).alias("w")).where("w <> ''").distinct()
+    known = vocabulary(df if names is None else names, text if names is None else name).join(asked, "w", "left_semi").distinct().withColumn("has", F.lit(True))
+    judged = (
+        fixed.select("h", F.posexplode(F.arrays_zip("piece", "sure", "maybe", "w")).alias("p", "x"))
+        .select("h", "p", "x.*")
+        .join(known, "w", "left")
+        .select("h", "p", (F.col("has").isNull() & (F.col("w") != "")).alias("unknown"), F.when(F.col("has"), F.col("maybe")).otherwise(F.col("sure") if beyond_vocabulary else F.col("piece")).alias("v"))
+        .groupBy("h")
+        .agg(F.array_sort(F.collect_list(F.struct("p", "v"))).alias("l"), F.count_if("unknown").alias("n"))
+        .select("h", F.array_join(F.col("l.v"), "").alias("r"), "n")
     )
-    done = fixed.where("sure = maybe").select(*cols, "t", F.array_join("sure", "").alias("r")).unionByName(doubtful)
-    return done.where("r <> t").select(*[F.col(c).alias(k) for c, k in zip(cols, ks)], F.col("t").alias(text), F.regexp_replace("r", r"^\s+|\s+$", "").alias("plain"))
+    return odd.join(judged, "h").where("r <> t").select(*[F.col(a).alias(k) for a, k in zip(ks, key)], F.col("t").alias(text), F.regexp_replace("r", r"^\s+|\s+$", "").alias("plain"), F.col("n").alias("n_unknown"))

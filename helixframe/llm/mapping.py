@@ -12,7 +12,8 @@ Digits are never guessed: a pair must agree in all its digits, since names of on
 closest key wins, among equal distances the name of the better kind; a value whose best keys belong to different targets
 is reported as unmatched.
 
-The join runs over the distinct values (checkpointed: they are asked for three times), so a name typed a million times is one row of it, and hot names cause no skew.
+The join runs over the distinct values (checkpointed: they are asked for three times), so a name typed a million times is
+one row of it. A caller that joins the result back to its rows meets hot names there; adaptive execution splits them.
 
 Defined cases: null values take no part; an empty key (punctuation only) is unmatched; repeated reference rows count
 once; a reference key shared by two targets matches neither unless a better kind decides.

@@ -57,9 +57,25 @@ def p2_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return _mapped(spark, d).where("target IS NULL").groupBy("table_name", "field", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    """Every name of the corpus: those typed, those of string_pkn and those of the reference list."""
+    typed = _typed(spark, d, list(NAMED)).select("value")
+    string = table(spark, d, "string_pkn").select(F.explode(F.array("TF", "TG")).alias("value"))
+    genes = table(spark, d, "gene_info").select(F.explode(F.array("symbol", "locus", "synonyms")).alias("value"))
+    return typed.unionByName(string).unionByName(genes)
+
+
+def _repaired(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.repair_text(_typed(spark, d, ["trrust_raw", "trrust_pkn"]), ["table_name", "row_id", "field"], "value", _names(spark, d), "value")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    fixed = lookalikes.repair_text(_typed(spark, d, ["trrust_raw", "trrust_pkn"]), ["table_name", "row_id", "field"], "value")
-    return fixed.select("table_name", "row_id", "field", "plain")
+    return _repaired(spark, d).select("table_name", "row_id", "field", "plain")
+
+
+def p4_decided(spark: SparkSession, d: str) -> DataFrame:
+    """Repaired fields by the number of their tokens that the vocabulary lacks: 0 where it decides everything."""
+    return _repaired(spark, d).groupBy("table_name", "n_unknown").agg(F.count(F.lit(1)).alias("fields"), F.count_distinct("value").alias("texts"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -99,7 +115,7 @@ def p10_excess(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p4_found, p6_found, p8_containers, p8_fill, p9_found, p9_kinds, p10_pieces, p10_excess)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p4_found, p4_decided, p6_found, p8_containers, p8_fill, p9_found, p9_kinds, p10_pieces, p10_excess)}
 ORACLES = {
     "p6_found": """
 WITH b AS (SELECT TF, TG, max(string_combined_score) AS s FROM string_pkn WHERE TF IS NOT NULL AND string_combined_score IS NOT NULL GROUP BY 1, 2),

@@ -72,6 +72,12 @@ def test_repair(spark):
     # nu inside a token: replaced where the repaired token is in the vocabulary
     assert got == {**PLAIN, "vocab aνb": "vocab avb"}
     assert lookalikes.repair_text(df.limit(0), ["id"], "t").count() == 0
+    # without the vocabulary only styled and invisible characters change
+    strict = {r["t"]: (r["plain"], r["n_unknown"]) for r in lookalikes.repair_text(df, ["id"], "t", df.limit(0), "t", beyond_vocabulary=False).collect()}
+    assert "Fοx1" not in strict and strict["ＫÜＧ５"] == ("KÜG5", 0) and strict["﻿AB​C1"] == ("ABC1", 0)
+    names = spark.createDataFrame([("fox1, kug5",), (None,), ("Dúqc8",)], "n string")
+    strict = {r["t"]: (r["plain"], r["n_unknown"]) for r in lookalikes.repair_text(df.union(df), ["id"], "t", names, "n", beyond_vocabulary=False).collect()}
+    assert strict["Fοx1"] == ("Fox1", 0) and "DUQϹ8" not in strict and lookalikes.repair_text(df.union(df), ["id"], "t", names, "n").where("t = 'Fοx1'").count() == 2
     again = spark.createDataFrame([(i, v) for i, v in enumerate(PLAIN.values())], "id int, t string")
     assert lookalikes.repair_text(again, ["id"], "t").count() == 0
 
