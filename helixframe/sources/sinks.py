@@ -15,9 +15,13 @@ def bed(df: DataFrame, path: str) -> None:
     csv(df, path, "\t", False)
 
 
-def parquet_by(df: DataFrame, path: str, *keys: str) -> None:
-    """Parquet in one folder per key value; rows of a key are brought together first, so there are few files."""
-    (df.repartition(*keys) if keys else df).write.mode("overwrite").partitionBy(*keys).parquet(path)
+def parquet_by(df: DataFrame, path: str, *keys: str, files_per_key: int = 1) -> None:
+    """Parquet in one folder per key value; rows of a key are brought together first, so there are few files.
+
+    With hot keys let ``files_per_key`` tasks write each of them.
+    """
+    spread = [F.pmod(F.xxhash64(*df.columns), F.lit(files_per_key))] if files_per_key > 1 else []
+    (df.repartition(*keys, *spread) if keys else df).write.mode("overwrite").partitionBy(*keys).parquet(path)
 
 
 def graph_tables(nodes: DataFrame, edges: DataFrame, path: str) -> None:

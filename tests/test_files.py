@@ -46,6 +46,7 @@ def test_text_readers(spark, tmp_path):
         with pytest.raises(ValueError):
             files.settings_row(spark, s, bad)
     assert rows(files.count_matrix(spark, write(tmp_path, "m.csv", "g,c1,c2\nA,1,0\nB,0,2.5\n"))) == [("A", "c1", 1.0), ("B", "c2", 2.5)]
+    assert rows(files.count_matrix(spark, write(tmp_path, "q.csv", '"","c 1"\n"A",3\nB,x\n'))) == [("A", "c 1", 3.0)]
     m = files.mtx(spark, write(tmp_path, "x.mtx.gz", "%%MatrixMarket\n%\n2 2 2\n1 2 5\n2 1 7\n"), write(tmp_path, "bc.tsv", "c1\nc2\n"), write(tmp_path, "ft.tsv", "A\tx\nB\ty\n"))
     assert rows(m) == [("A", "c2", 5.0), ("B", "c1", 7.0)]
     assert rows(files.tss_bed(spark, write(tmp_path, "t.bed", "chr1\t5\t6\tA\n")).select("chrom", "tss", "gene")) == [("chr1", 5, "A")]
@@ -122,6 +123,7 @@ def test_nearest_against_brute_force(spark):
             want.add((i, *min(cand)))
     for width in (30, 200_000):
         assert {tuple(r) for r in genomic.nearest(peaks_, tss, width).select("peak_id", "absd", "ord", "gene").collect()} == want
+        assert genomic.nearest(peaks_.union(peaks_), tss, width).count() == 2 * genomic.nearest(peaks_, tss, width).count()
     wide = genomic.annotate_peaks(peaks_, tss.limit(0), keep_intergenic=True)
     assert wide.where("peak_type = 'intergenic'").count() == 120 and genomic.annotate_peaks(peaks_.limit(0), tss).count() == 0
 
@@ -133,6 +135,8 @@ def test_graph_rules(spark):
     assert rows(graph.expand_groups(m, spark.createDataFrame([("g",)], "root string"), 4)) == [("g", "x"), ("g", "y")]
     e = spark.createDataFrame([("A", "x", "p"), ("x", "B", "q"), ("A", "B", "d"), ("B", "A", "d")], "src string, dst string, pathway string")
     assert rows(graph.collapse_compounds(e, spark.createDataFrame([("x",)], "node string"))) == [("A", "B", "x", "p,q"), ("B", "A", None, "d")]
+    star = spark.range(40).selectExpr("CAST(id AS STRING) AS src", "'x' AS dst", "'p' AS pathway").union(spark.range(40).selectExpr("'x'", "CAST(id AS STRING)", "'q'"))
+    assert rows(graph.bypass(star, spark.createDataFrame([("x",)], "node string"), hub=3)) == sorted((str(a), str(b), "x", "p,q") for a in range(40) for b in range(40) if a != b)
     c = graph.communities(spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("a", "c", 1.0), ("x", "y", 1.0)], "i string, j string, w double"))
     lab = {r[0]: r[1] for r in c.collect()}
     assert lab["a"] == lab["b"] == lab["c"] != lab["x"] == lab["y"]
@@ -207,8 +211,6 @@ def test_id_resolve_all_takes_every_name(spark, tmp_path):
 
     got = {r["name"]: (r["symbol"], r["how"]) for r in network_queries.id_resolve_all(spark, str(tmp_path)).collect()}
     assert got == {x: brute(x) for x in {*names, "aL", "x", "q", "al"}}
-    cut = {r["name"] for r in network_queries.id_resolve(spark, str(tmp_path)).collect()}
-    assert {"KRÉK", "VÅFDU18", "\tbb", "NF-kB"} <= set(got) - cut
 
 
 def test_fallback_lookup_all_yields_to_dictionaries(spark, tmp_path):
