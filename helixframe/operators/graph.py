@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import chain
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import checkpointed, written
 
 
 def last_writer_wins(edges: DataFrame, keys: Sequence[str], order: str, attributes: Sequence[str]) -> DataFrame:
@@ -112,17 +113,28 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, key: str, vector:
     """``query_id``, ``neighbour_id``, ``rank_no``: exact Euclidean neighbours of a stated query set against all rows.
 
     Queries go out in blocks of ``block`` vectors (512 floats each: 4 MB) and every task keeps the best ``k`` of its rows, so
-    ``k`` rows per query and task are shuffled, never the pairs. Equal distances go by id.
+    ``k`` rows per query and task are shuffled, never the pairs. Beyond one block each is joined, written and released in
+    its turn. Equal distances go by id.
     """
     import numpy as np
     import pandas as pd
 
     spark = vectors.sparkSession
-    rows, out = list(queries.where(F.col(vector).isNotNull()).select(key, vector).orderBy(key).toLocalIterator()), None
-    for at in range(0, len(rows), block):
-        shared = spark.sparkContext.broadcast((np.array([r[0] for r in rows[at : at + block]]), np.array([r[1] for r in rows[at : at + block]], np.float64)))
 
-        def best(batches, shared=shared):
+    def blocks():
+        held = []
+        for r in queries.where(F.col(vector).isNotNull()).select(key, vector).orderBy(key).toLocalIterator():
+            held.append(r)
+            if len(held) == block:
+                yield held
+                held = []
+        if held:
+            yield held
+
+    def part(rows: list):
+        shared = spark.sparkContext.broadcast((np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)))
+
+        def best(batches):
             ids, q = shared.value
             held = None
             for b in batches:
@@ -138,12 +150,99 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, key: str, vector:
                 f = np.isfinite(held[0])
                 yield pd.DataFrame({"query_id": np.repeat(ids, held[0].shape[1])[f.ravel()], "neighbour_id": held[1][f], "d": held[0][f]})
 
-        part = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("v")).mapInPandas(best, "query_id long, neighbour_id long, d double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+        return vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("v")).mapInPandas(best, "query_id long, neighbour_id long, d double"), shared
+
+    todo = blocks()
+    first, second = next(todo, None), next(todo, None)
+    if first is None:
         return spark.createDataFrame([], "query_id long, neighbour_id long, rank_no int")
+    if second is None:
+        return _closest(part(first)[0], k)
+    out = None
+    for rows in chain((first, second), todo):
+        found, shared = part(rows)
+        found = written(_closest(found, k))
+        shared.destroy()
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _closest(pairs: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy("d", "neighbour_id")
-    return out.withColumn("rank_no", F.row_number().over(w)).where(F.col("rank_no") <= k).select("query_id", "neighbour_id", "rank_no")
+    return pairs.withColumn("rank_no", F.row_number().over(w)).where(F.col("rank_no") <= k).select("query_id", "neighbour_id", "rank_no")
+
+
+def _centres(x, lists: int, rounds: int = 8):
+    """Centres of ``lists`` groups of the sampled vectors (Lloyd's algorithm from evenly taken rows)."""
+    import numpy as np
+
+    c = x[np.linspace(0, len(x) - 1, lists).astype(int)].copy()
+    for _ in range(rounds):
+        near = np.concatenate([np.argmin((c * c).sum(1) - 2 * p @ c.T, axis=1) for p in np.array_split(x, max(1, len(x) * lists // 10_000_000))])
+        size = np.bincount(near, minlength=lists)
+        order = np.argsort(near, kind="stable")
+        starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+        used = size > 0
+        c[used] = np.add.reduceat(x[order], starts[used], axis=0) / size[used, None]
+    return c
+
+
+def neighbour_graph(vectors: DataFrame, key: str, vector: str, k: int = 10, probes: int = 12, sample_rows: int = 50_000, most_lists: int = 4096, slice_rows: int = 4096) -> DataFrame:
+    """``query_id``, ``neighbour_id``, ``rank_no``: Euclidean neighbours of *every* row, by an index of inverted lists.
+
+    Centres are fitted on at most ``sample_rows`` rows (those with the least hashes of their keys; the one sample taken),
+    about the square root of the rows in number, ``most_lists`` at most. Every row is put into the list of its nearest centre
+    and looks for neighbours in the ``probes`` nearest lists, exactly there. A list longer than ``slice_rows`` is cut on both
+    sides, so no task holds more than two slices. A row whose lists hold fewer than ``k`` others has fewer neighbours; with
+    no more lists than probes the result is exact. Equal distances go by id; null vectors take no part.
+    """
+    import numpy as np
+    import pandas as pd
+
+    spark = vectors.sparkSession
+    rows = vectors.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    n = rows.count()
+    if not n:
+        return spark.createDataFrame([], "query_id long, neighbour_id long, rank_no int")
+    lists = int(min(most_lists, max(1, round(n**0.5))))
+    sample = np.array([r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).toLocalIterator()], np.float64)
+    shared = spark.sparkContext.broadcast(_centres(sample, min(lists, len(sample))))
+
+    def assign(batches):
+        c = shared.value
+        most = min(probes, len(c))
+        for b in batches:
+            x = np.stack(b["v"].to_numpy()).astype(np.float64)
+            d = (c * c).sum(1)[None, :] - 2 * x @ c.T
+            near = np.argpartition(d, most - 1, axis=1)[:, :most]
+            own = d.argmin(1)
+            yield pd.DataFrame({"id": b["id"], "v": b["v"], "own": own.astype(np.int32), "near": list(near.astype(np.int32))})
+
+    placed = checkpointed(rows.mapInPandas(assign, "id long, v array<double>, own int, near array<int>"))
+    slices = lambda name: F.ceil(F.count(F.lit(1)) / F.lit(slice_rows)).cast("int").alias(name)
+    asked = placed.select("id", "v", F.explode("near").alias("list"))
+    sizes = placed.groupBy(F.col("own").alias("list")).agg(slices("ms")).join(asked.groupBy("list").agg(slices("qs")), "list")
+    spread = lambda own, other, a, b: (F.pmod(F.xxhash64("id"), own).cast("int").alias(a), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(b))
+    members = placed.select("id", "v", F.col("own").alias("list")).join(sizes, "list").select("list", "id", "v", *spread(F.col("ms"), "qs", "m", "q"))
+    queries = asked.join(sizes, "list").select("list", F.col("id").alias("qid"), F.col("v").alias("qv"), *spread(F.col("qs"), "ms", "q", "m"))
+    queries, members = queries.toDF("ql", "qid", "qv", "qq", "qm"), members.toDF("ml", "id", "v", "mm", "mq")
+
+    def search(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(q) and len(m):
+            x, ids = np.stack(m["v"].to_numpy()).astype(np.float64), m["id"].to_numpy()
+            for at in range(0, len(q), 512):
+                y, me = np.stack(q["qv"].iloc[at : at + 512].to_numpy()).astype(np.float64), q["qid"].iloc[at : at + 512].to_numpy()
+                d = np.round((y * y).sum(1)[:, None] - 2 * y @ x.T + (x * x).sum(1)[None, :], 6)
+                d[me[:, None] == ids[None, :]] = np.inf
+                o = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
+                d, nn = np.take_along_axis(d, o, 1), ids[o]
+                f = np.isfinite(d)
+                out.append(pd.DataFrame({"query_id": np.repeat(me, d.shape[1])[f.ravel()], "neighbour_id": nn[f], "d": d[f]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "neighbour_id": np.zeros(0, np.int64), "d": np.zeros(0)})
+
+    found = queries.groupBy("ql", "qm", "qq").cogroup(members.groupBy("ml", "mm", "mq")).applyInPandas(search, "query_id long, neighbour_id long, d double")
+    return _closest(found, k)
 
 
 def communities(edges: DataFrame) -> DataFrame:

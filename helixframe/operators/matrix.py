@@ -123,44 +123,6 @@ def scale(counts: DataFrame, value: str = "value") -> DataFrame:
     return counts.join(m.select("feature", "mean", sd.alias("sd")), "feature").withColumn("scaled", (F.col(value) - F.col("mean")) / F.col("sd")).drop("mean", "sd")
 
 
-def sparse_rows(counts: DataFrame, value: str = "value") -> DataFrame:
-    """``cell`` and ``vector`` (sparse over features numbered in their own order). The list of features goes to the driver."""
-    from pyspark.ml.feature import StringIndexer
-    from pyspark.ml.functions import array_to_vector
-
-    ix = StringIndexer(inputCol="feature", outputCol="_i", stringOrderType="alphabetAsc").fit(counts)
-    n = len(ix.labels)
-    pairs = ix.transform(counts).groupBy("cell").agg(F.map_from_entries(F.collect_list(F.struct(F.col("_i").cast("int"), F.col(value).cast("double")))).alias("m"))
-    return pairs.select("cell", array_to_vector(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)))).alias("vector"))
-
-
-def pca(rows: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """``key`` and ``embedding``: coordinates on the first ``k`` principal components of the centred vectors; signs are free."""
-    from pyspark.ml.feature import PCA, StandardScaler
-    from pyspark.ml.functions import vector_to_array
-
-    centred = StandardScaler(inputCol=vector, outputCol="_c", withMean=True, withStd=False).fit(rows).transform(rows)
-    return PCA(k=k, inputCol="_c", outputCol="_p").fit(centred).transform(centred).select(key, vector_to_array("_p").alias("embedding"))
-
-
-def lsi(rows: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """Truncated SVD of the (tf-idf) vectors without its first component: ``key``, ``embedding`` of ``k - 1`` coordinates."""
-    from pyspark.ml.linalg import DenseMatrix
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    plain = rows.select(vector).rdd.map(lambda r: Vectors.dense(r[0].toArray()))
-    svd = RowMatrix(plain).computeSVD(k)
-    v, s = svd.V.toArray(), svd.s.toArray()
-    axes = (v / s)[:, 1:]
-    lit_axes = [F.array(*[F.lit(float(x)) for x in axes[:, c]]) for c in range(axes.shape[1])]
-    from pyspark.ml.functions import vector_to_array
-
-    arr = rows.select(key, vector_to_array(vector).alias("_a"))
-    dot = lambda a: F.aggregate(F.zip_with("_a", a, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
-    return arr.select(key, F.array(*[dot(a) for a in lit_axes]).alias("embedding"))
-
-
 def rank_features(counts: DataFrame, clusters: DataFrame) -> DataFrame:
     """``cluster``, ``feature``, ``t``, ``p``, ``p_adj``: each cluster against the rest, variance of the rest overestimated.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import finite_or_zero, parse_peaks
 from ..session import checkpointed
 from ..sources import files, sinks
-from . import genomic, graph, matrix, networks, sampling
+from . import factors, genomic, graph, matrix, networks, sampling
 
 
 def rna_qc(counts: DataFrame, mito: Column, min_cells: int = 20, features: tuple[int, int] = (500, 2500), totals: tuple[float, float] = (1000, 5000), max_pct_mt: float = 20.0, keep: DataFrame | None = None, only_variable: bool = False) -> DataFrame:
@@ -34,8 +34,6 @@ def atac_clusters(kept: DataFrame, tss: DataFrame, components: int = 50, pcs: in
     (label propagation); ``annotation``: the variable peaks by their genes (peak names are chrom:start-end). No more components
     are taken than there are variable peaks; none of them is an error.
     """
-    from pyspark.ml.feature import StandardScaler
-
     picked = kept.where("variable").select("cell", "feature", "tfidf", "log1p")
     first = picked.agg(F.min("feature").alias("feature"), F.count_distinct("feature").alias("n"))
     n = first.first()["n"]
@@ -44,12 +42,12 @@ def atac_clusters(kept: DataFrame, tss: DataFrame, components: int = 50, pcs: in
     # a cell without any variable peak is a row of zeros, not a missing row
     bare = kept.select("cell").distinct().join(picked, "cell", "left_anti").crossJoin(F.broadcast(first.select("feature"))).select("cell", "feature", F.lit(0.0).alias("tfidf"), F.lit(0.0).alias("log1p"))
     x = checkpointed(picked.unionByName(bare))
-    lsi = matrix.lsi(checkpointed(matrix.sparse_rows(x, "tfidf")), "cell", "vector", min(components, n))
-    rows = checkpointed(matrix.sparse_rows(x, "log1p"))
-    scaled = StandardScaler(inputCol="vector", outputCol="scaled", withMean=True, withStd=True).fit(rows).transform(rows)
-    emb = checkpointed(matrix.pca(scaled, "cell", "scaled", min(pcs, n)))
+    rows, width = factors.sparse_rows(x, "tfidf")
+    lsi = factors.lsi(checkpointed(rows), "cell", width, components)
+    rows, width = factors.sparse_rows(x, "log1p")
+    emb = checkpointed(factors.pca(checkpointed(rows), "cell", width, pcs, scale=True))
     ids = emb.select("cell", F.slice("embedding", 1, graph_pcs).alias("embedding"), F.xxhash64("cell").alias("id"))
-    knn = checkpointed(graph.nearest_neighbours(ids, ids, "id", "embedding", neighbours))
+    knn = checkpointed(graph.neighbour_graph(ids, "id", "embedding", neighbours))
     groups = graph.communities(knn.select(F.col("query_id").alias("i"), F.col("neighbour_id").alias("j"), (1.0 / F.col("rank_no")).alias("w")))
     names = ids.select("cell", "id")
     pairs = knn.join(names.select(F.col("cell").alias("i"), F.col("id").alias("query_id")), "query_id").join(names.select(F.col("cell").alias("j"), F.col("id").alias("neighbour_id")), "neighbour_id")
@@ -70,7 +68,7 @@ def _flagged(kept: DataFrame, flags: DataFrame, keep: DataFrame | None, only_var
     return out.join(named, "feature", "left").where("variable OR _keep").drop("_keep")
 
 
-def integrate(rna: DataFrame, atac: DataFrame, factors: int = 15, neighbours: int = 15) -> tuple[DataFrame, DataFrame, DataFrame]:
+def integrate(rna: DataFrame, atac: DataFrame, components: int = 15, neighbours: int = 15) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Cells of both modalities, guarded features, joint components, neighbour graph, clusters and ranked features.
 
     The components are those of the joined modalities (in place of a joint factor model: coordinates differ from it).
@@ -79,9 +77,10 @@ def integrate(rna: DataFrame, atac: DataFrame, factors: int = 15, neighbours: in
     a, b = matrix.intersect_cells(rna.select("cell", F.concat(F.lit("rna:"), "feature").alias("feature"), finite_or_zero(F.col("value").cast("double")).alias("value")), atac.select("cell", F.concat(F.lit("atac:"), "feature").alias("feature"), finite_or_zero(F.col("value").cast("double")).alias("value")))
     both = a.unionByName(b)
     both = checkpointed(both.join(matrix.feature_guard(both).select("feature"), "feature", "left_semi"))
-    emb = checkpointed(matrix.pca(matrix.sparse_rows(both), "cell", "vector", factors))
+    rows, width = factors.sparse_rows(both)
+    emb = checkpointed(factors.pca(checkpointed(rows), "cell", width, components))
     ids = emb.select("cell", "embedding", F.xxhash64("cell").alias("id"))
-    knn = graph.nearest_neighbours(ids, ids, "id", "embedding", neighbours)
+    knn = checkpointed(graph.neighbour_graph(ids, "id", "embedding", neighbours))
     groups = graph.communities(knn.select(F.col("query_id").alias("i"), F.col("neighbour_id").alias("j"), (1.0 / F.col("rank_no")).alias("w")))
     clusters = ids.join(groups, F.col("id") == F.col("node")).select("cell", F.col("label").alias("cluster"))
     return emb, clusters, matrix.rank_features(both, clusters)

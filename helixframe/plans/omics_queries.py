@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import genomic, graph, matrix, metrics, pipelines, sampling
+from ..operators import factors, genomic, graph, matrix, metrics, pipelines, sampling
+from ..session import checkpointed
 from ..sources.tables import table
 from .views import sql, view
 
@@ -141,18 +142,12 @@ def scaled_counts(s: SparkSession, d: str) -> DataFrame:
     return matrix.scale(_counts(s, d)).select("cell", "feature", F.round("scaled", 6).alias("scaled"))
 
 
-def _vectors(s: SparkSession, d: str) -> DataFrame:
-    from pyspark.ml.functions import array_to_vector
-
-    return table(s, d, "embeddings").select("vec_id", "label", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-
-
 def pca_embed(s: SparkSession, d: str) -> DataFrame:
-    return matrix.pca(_vectors(s, d), "vec_id", "v", 5)
+    return factors.pca(factors.dense_rows(table(s, d, "embeddings"), "vec_id", "embedding"), "vec_id", 64, 5)
 
 
 def lsi_embed(s: SparkSession, d: str) -> DataFrame:
-    return matrix.lsi(_vectors(s, d), "vec_id", "v", 6)
+    return factors.lsi(factors.dense_rows(table(s, d, "embeddings"), "vec_id", "embedding"), "vec_id", 64, 6)
 
 
 def knn_exact(s: SparkSession, d: str) -> DataFrame:
@@ -163,7 +158,7 @@ def knn_exact(s: SparkSession, d: str) -> DataFrame:
 def cluster(s: SparkSession, d: str) -> DataFrame:
     """Communities of the nearest-neighbour graph of all embeddings."""
     e = table(s, d, "embeddings")
-    knn = graph.nearest_neighbours(e, e, "vec_id", "embedding", 15)
+    knn = checkpointed(graph.neighbour_graph(e, "vec_id", "embedding", 15))
     return graph.communities(knn.select(F.col("query_id").alias("i"), F.col("neighbour_id").alias("j"), (1.0 / F.col("rank_no")).alias("w")))
 
 

@@ -1,8 +1,9 @@
 """Composite pipelines on small inputs."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from helixframe.operators import pipelines
+from helixframe.operators import factors, graph, pipelines
 from helixframe.plans import omics_queries
 
 from .conftest import rows
@@ -101,3 +102,53 @@ def test_atac_clusters(spark):
     mine = {r["cell"]: r["embedding"] for r in got["pca"].collect()}
     assert np.allclose(np.abs([mine[n] for n in names]), np.abs(u[:, :3] * s[:3]), atol=1e-6)
     assert {(r["start"], r["gene"], r["peak_type"]) for r in got["annotation"].collect()} == {(p, "Near", "promoter" if p == 4000 else "distal") for p in range(0, 12000, 2000)}
+
+
+def test_factors_against_numpy(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(factors, "BLOCK", 7)
+    monkeypatch.setattr(factors, "CHUNK", 50)
+    rnd = np.random.default_rng(4)
+    x = (rnd.random((60, 90)) < 0.2) * rnd.random((60, 90)) @ np.diag(np.linspace(3, 0.1, 90))
+    x[:, 5] = 0  # an empty feature has no number
+    x[7] = 0
+    x[7, 3] = 1e-3
+    data = [(f"c{i:02d}", f"f{j:02d}", float(x[i, j])) for i, j in zip(*np.nonzero(x))]
+    df = spark.createDataFrame(data, "cell string, feature string, value double").repartition(4)
+    rows_, n = factors.sparse_rows(df)
+    x = np.delete(x, np.flatnonzero(~x.any(0)), axis=1)
+    assert n == x.shape[1]
+    for scale, extra in ((False, 54), (True, 12)):
+        z = x - x.mean(0)
+        z = z / np.where(x.std(0, ddof=1) > 0, x.std(0, ddof=1), 1) if scale else z
+        u, s, _ = np.linalg.svd(z, full_matrices=False)
+        axes, off, top = factors.decompose(rows_, "cell", n, 4, True, scale, extra=extra)
+        assert np.allclose(top, s[:4], rtol=1e-6) and np.allclose(np.abs(x @ axes - off), np.abs(u[:, :4] * s[:4]), atol=1e-3)
+    u, s, _ = np.linalg.svd(x, full_matrices=False)
+    got = {r["cell"]: r["embedding"] for r in factors.lsi(rows_, "cell", n, 4).collect()}
+    assert np.allclose(np.abs([got[f"c{i:02d}"] for i in range(60)]), np.abs(u[:, 1:4]), atol=1e-4)
+    assert factors.pca(rows_.limit(0), "cell", n, 3).count() == 0
+    with pytest.raises(ValueError):
+        factors.decompose(rows_, "cell", n, 4, most_bytes=100)
+
+
+def test_neighbour_graph_recall(spark):
+    """The index against brute force: at least 0.9 of the neighbours, every row asked, hot lists cut."""
+    import numpy as np
+
+    rnd = np.random.default_rng(6)
+    x = np.concatenate([rnd.normal(size=(900, 12)), rnd.normal(size=(300, 12)) * 0.05 + 3]).round(4)
+    data = [(i, [float(v) for v in x[i]]) for i in range(1200)] + [(5000, None)]
+    df = spark.createDataFrame(data, "id long, v array<double>").repartition(3)
+    d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(2).round(6)
+    np.fill_diagonal(d, np.inf)
+    best = np.argsort(d, axis=1, kind="stable")[:, :10]
+    want = {(i, int(j)) for i in range(1200) for j in best[i]}
+    got = {(r[0], r[1]) for r in graph.neighbour_graph(df, "id", "v", 10, slice_rows=100).collect()}
+    assert len(got) == 12_000 and len(got & want) >= 0.9 * len(want)
+    exact = {(r[0], r[1]) for r in graph.neighbour_graph(df, "id", "v", 10, probes=50).collect()}
+    assert len(exact & want) >= 0.999 * len(want)
+    few = df.where("id < 30")
+    assert {tuple(r) for r in graph.nearest_neighbours(few, few, "id", "v", 5, block=7).collect()} == {tuple(r) for r in graph.nearest_neighbours(few, few, "id", "v", 5).collect()}
+    assert graph.neighbour_graph(df.limit(0), "id", "v").count() == 0
