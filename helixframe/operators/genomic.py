@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import add_chr, interval_distance
+from .sampling import ticket
 
 
 def range_join(intervals: DataFrame, points: DataFrame, point: str = "tss", before: int = 0, after: int = 0, width: int = 10_000) -> DataFrame:
@@ -93,8 +94,10 @@ def first_window(fragments: DataFrame, chrom: str = "chr1", width: int = 1_000_0
     return fragments.where((F.col("chrom") == chrom) & (F.col("start") < F.col("end"))).select(lo.alias("w")).agg(F.min("w").alias("window"))
 
 
-def nucleosome_signal(fragments: DataFrame, barcode: str = "barcode") -> DataFrame:
-    """Fragments of 147 to 293 bases per fragment shorter than 147, by barcode."""
+def nucleosome_signal(fragments: DataFrame, barcode: str = "barcode", first: int | None = None, order: str = "ord") -> DataFrame:
+    """Fragments of 147 to 293 bases per fragment shorter than 147, by barcode; asked for, of the ``first`` ones by ``order`` only."""
+    if first is not None:
+        fragments = fragments.orderBy(order).limit(first)
     n = F.col("end") - F.col("start")
     r = fragments.groupBy(barcode).agg(F.count_if((n >= 147) & (n < 294)).alias("mono"), F.count_if(n < 147).alias("free"))
     return r.withColumn("signal", F.try_divide("mono", "free"))
@@ -107,3 +110,13 @@ def tss_profile(fragments: DataFrame, tss: DataFrame, group: str, flank: int = 1
     counts = near.withColumn("offset", (F.floor((mid - F.col("tss")) / step) * step).cast("long")).where(F.abs(F.col("offset")) <= flank).groupBy(group, "offset").agg(F.count(F.lit(1)).alias("n"))
     outer = counts.where(F.abs(F.col("offset")) >= flank - step).groupBy(group).agg(F.avg("n").alias("base"))
     return counts.join(outer, group, "left").select(group, "offset", "n", F.try_divide("n", "base").alias("enrichment"))
+
+
+def sample_sites(tss: DataFrame, n: int = 500, seed: int = 11, key: str = "ord") -> DataFrame:
+    """``n`` sites drawn by a hash of their key and the seed (a report over some sites; sampling is the feature)."""
+    return tss.orderBy(ticket(key, seed), key).limit(n)
+
+
+def in_region(fragments: DataFrame, chrom: str, start: int, end: int) -> DataFrame:
+    """Fragments that overlap a half-open range; over Parquet sorted by position the row groups outside are skipped."""
+    return fragments.where((F.col("chrom") == chrom) & (F.col("start") < end) & (F.col("end") > start))

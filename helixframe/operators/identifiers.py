@@ -81,3 +81,39 @@ def coverage(dicts: dict[str, DataFrame]) -> DataFrame:
     for n in ("ensembl", "entrez", "alias"):
         out = out.join(F.broadcast(c[n]))
     return out
+
+
+class Canonicaliser:
+    """Gene names to canonical symbols, from an annotation (``gene_id``, ``gene_name``, ``ord``) and a gene table.
+
+    Later sources win where they name the same identifier, as if they had been loaded one after the other.
+    """
+
+    def __init__(self, annotation: DataFrame | None = None, genes: DataFrame | None = None, order: str = "ord", fallback: DataFrame | None = None, ensembl_prefix: str = "ENS") -> None:
+        if annotation is None and genes is None:
+            raise ValueError("an annotation or a gene table is needed")
+        self.fallback, self.prefix = fallback, ensembl_prefix
+        self.dicts = dictionaries(genes, order) if genes is not None else None
+        if annotation is not None:
+            a = annotation.select(F.substring_index("gene_id", ".", 1).alias("id"), normalise_symbol(F.col("gene_name")).alias("symbol"), "ord").where("symbol IS NOT NULL AND symbol <> ''")
+            own = {"official": a.select("symbol").distinct(), "ensembl": id_last_wins(a, "id", "symbol", "ord")}
+            if self.dicts is None:
+                none = a.limit(0)
+                self.dicts = {**own, "entrez": none.select("id", "symbol"), "alias": none.select(F.col("id").alias("alias"), "symbol")}
+            else:
+                later = self.dicts["ensembl"]
+                self.dicts["ensembl"] = later.unionByName(own["ensembl"].join(later, "id", "left_anti"))
+                self.dicts["official"] = self.dicts["official"].union(own["official"]).distinct()
+
+    def series(self, values: DataFrame, column: str) -> DataFrame:
+        """Distinct ``column`` with ``symbol`` and ``how`` it was found."""
+        return resolve(values, column, self.dicts, self.fallback, self.prefix)
+
+    def table(self, edges: DataFrame, tf: str = "TF", tg: str = "TG") -> tuple[DataFrame, int]:
+        """The table with both columns resolved and without rows that have an empty end; and how many these were."""
+        named = edges.withColumnsRenamed({tf: "TF", tg: "TG"})
+        out = standardise_edges(named, self.dicts, self.fallback)
+        return out.withColumnsRenamed({"TF": tf, "TG": tg}).select(edges.columns), named.count() - out.count()
+
+    def coverage(self) -> DataFrame:
+        return coverage(self.dicts)

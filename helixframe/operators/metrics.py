@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sampling import ticket
 from .scans import running_sums
 
 
@@ -95,3 +96,57 @@ def random_baseline(df: DataFrame, seed: int = 42) -> DataFrame:
     rng = df.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
     u = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1 << 30)) / float(1 << 30)
     return df.join(F.broadcast(rng)).select("id", "label", (F.col("lo") + u * (F.col("hi") - F.col("lo"))).alias("score"))
+
+
+def permuted(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """``label``, ``score``: the scores dealt out anew among the rows, in an order drawn by hashes of the unique ``key``.
+
+    Labels are numbered in one drawn order and scores in another, both by range-partitioned running sums.
+    """
+    rows = df.where("score IS NOT NULL AND label IS NOT NULL")
+    one = F.lit(1).alias("_one")
+    labels = running_sums(rows.select("label", ticket(key, seed).alias("_t"), one), "_t", ["_one"], ["_rank"]).select("label", "_rank")
+    scores = running_sums(rows.select("score", ticket(key, seed + 1).alias("_t"), one), "_t", ["_one"], ["_rank"]).select("score", "_rank")
+    return labels.join(scores, "_rank").select("label", "score")
+
+
+def classification_metrics(df: DataFrame, key: str, threshold: float = 0.5, seed: int = 42) -> DataFrame:
+    """One row with all measures of a classifier and the areas of a random one (``rand_``: its scores dealt out anew).
+
+    ``auroc``, ``auprc``, ``rand_auroc``, ``rand_auprc`` (null with a single class), ``accuracy``, ``precision``,
+    ``early_precision`` (10,000 best), ``recall``, ``f1``, ``n_edges``, ``n_pos``, ``n_neg``, ``score_threshold``.
+    """
+    rows = df.where("score IS NOT NULL AND label IS NOT NULL")
+    drawn = permuted(rows, key, seed)
+    out = confusion(rows, threshold).select("accuracy", "precision", "recall", "f1", (F.col("n_pos") + F.col("n_neg")).alias("n_edges"), "n_pos", "n_neg", F.lit(float(threshold)).alias("score_threshold"))
+    parts = [auroc(rows), average_precision(rows).withColumnRenamed("average_precision", "auprc"), auroc(drawn).withColumnRenamed("auroc", "rand_auroc"), average_precision(drawn).withColumnRenamed("average_precision", "rand_auprc"), early_precision(rows, key, threshold)]
+    for p in parts:  # one row each
+        out = out.crossJoin(F.broadcast(p))
+    return out
+
+
+def curves(df: DataFrame, kind: str = "both", key: str = "id", seed: int = 42) -> DataFrame:
+    """``curve`` ('roc' or 'prc'), ``model`` ('scores' or 'random'), ``x``, ``y``, ``score``: what a figure of the curves shows.
+
+    The random model has uniform scores between the least and the greatest. Another ``kind`` than 'both', 'roc' or 'prc' is
+    an error.
+    """
+    if kind not in ("both", "roc", "prc"):
+        raise ValueError("kind must be 'both', 'roc' or 'prc'")
+    out = None
+    for model, rows in (("scores", df), ("random", random_baseline(df.withColumn("id", F.col(key)), seed))):
+        for name, points, x, y in (("roc", roc_points, "fpr", "tpr"), ("prc", pr_points, "recall", "precision")):
+            if kind in ("both", name):
+                part = points(rows).select(F.lit(name).alias("curve"), F.lit(model).alias("model"), F.col(x).alias("x"), F.col(y).alias("y"), "score")
+                out = part if out is None else out.unionByName(part)
+    return out
+
+
+def score_panel(df: DataFrame, kind: str = "kde", n_bins: int = 75, balance: bool = True, key: str = "id", seed: int = 42) -> DataFrame:
+    """Histogram ('hist') or density ('kde') of the scores by class, over balanced classes unless ``balance`` is off."""
+    from .sampling import balance_classes
+
+    if kind not in ("hist", "kde"):
+        raise ValueError("kind must be 'hist' or 'kde'")
+    rows = balance_classes(df, "label", key, seed) if balance else df
+    return histogram(rows, n_bins) if kind == "hist" else kde(rows)

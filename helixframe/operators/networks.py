@@ -69,3 +69,18 @@ def peak_edges(peaks: DataFrame) -> DataFrame:
     """Distinct ``source_id``, ``peak_id`` (chrom:start-end): made distinct on the coordinates, spelt out late."""
     d = peaks.select("source_id", "peak_chr", "peak_start", "peak_end").distinct()
     return d.select("source_id", F.concat(F.col("peak_chr"), F.lit(":"), F.col("peak_start").cast("string"), F.lit("-"), F.col("peak_end").cast("string")).alias("peak_id"))
+
+
+def association_graph(edges: DataFrame, as_directed: bool = False, order: str | None = None) -> DataFrame:
+    """The edges of a graph of associations, one per pair of ends, the last by ``order`` (any, if none) with its scores.
+
+    Directed: every edge and its reverse; else keyed on the lesser and the greater end.
+    """
+    from .graph import symmetrised
+
+    scores = [c for c in edges.columns if c.startswith("string_")]
+    e = edges.where("TF IS NOT NULL AND TG IS NOT NULL").withColumn("_o", F.col(order) if order else F.monotonically_increasing_id())
+    if as_directed:
+        e = symmetrised(e, "TF", "TG")
+    ends = [F.col("TF"), F.col("TG")] if as_directed else [F.least("TF", "TG").alias("TF"), F.greatest("TF", "TG").alias("TG")]
+    return e.groupBy(*ends).agg(F.max_by(F.struct(*scores), "_o").alias("_s")).select("TF", "TG", "_s.*")

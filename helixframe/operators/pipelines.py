@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import finite_or_zero, parse_peaks
+from ..functions.scalars import finite_or_zero, parse_peaks, species_of, strip_prefix
 from ..session import checkpointed
 from ..sources import files, sinks
 from . import factors, genomic, graph, matrix, networks, sampling
@@ -86,6 +86,30 @@ def integrate(rna: DataFrame, atac: DataFrame, components: int = 15, neighbours:
     return emb, clusters, matrix.rank_features(both, clusters)
 
 
+def one_species(peaks: DataFrame, species: str = "hg38", columns: tuple[str, ...] = ("feature", "gene_ids", "interval")) -> DataFrame:
+    """Peaks of a mixed experiment: those of one species (``interval`` up to its first dot), its prefix taken off the names.
+
+    A table whose intervals name no species comes back as it is.
+    """
+    if peaks.where(F.col("feature").contains(species)).isEmpty():
+        return peaks
+    own = peaks.where(species_of(F.col("interval")) == species)
+    return own.withColumns({c: strip_prefix(F.col(c), f"{species}.") for c in columns if c in peaks.columns})
+
+
+def save_processed(rna: DataFrame, atac: DataFrame, folder: str) -> dict[str, str]:
+    """Both modalities as long Parquet tables (``feature``, ``cell``, ``value`` float; the first layer there is of log1p, counts, value).
+
+    RNA names come in upper case. Features by cells as columns are for small exports (``matrix.pivot_wide``).
+    """
+    paths = {"rna": f"{folder}/scRNA_seq_processed", "atac": f"{folder}/scATAC_seq_processed"}
+    for name, table in (("rna", rna), ("atac", atac)):
+        layer = next(c for c in ("log1p", "counts", "value") if c in table.columns)
+        feature = F.upper("feature") if name == "rna" else F.col("feature")
+        table.select(feature.alias("feature"), "cell", F.col(layer).cast("float").alias("value")).write.mode("overwrite").parquet(paths[name])
+    return paths
+
+
 def metacells(connectivities: DataFrame, rna: DataFrame, atac: DataFrame, hops: int = 2) -> tuple[DataFrame, DataFrame]:
     """Both modalities smoothed over the cell graph; RNA features collapsed to symbols afterwards."""
     w = checkpointed(matrix.diffusion_weights(connectivities, hops))

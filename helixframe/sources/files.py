@@ -48,16 +48,28 @@ def count_matrix(spark: SparkSession, path: str) -> DataFrame:
     return long.where("n > 0").select(unquoted("feature").alias("feature"), "n", F.expr("try_cast(trim(x) AS double)").alias("value")).where("value <> 0").join(cells, "n").select("feature", "cell", "value")
 
 
+def line_place():
+    """The place of a line in the order of file names, splits and lines (Spark itself reads larger files first)."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``value``, ``no``: the lines of a text with their number from 1, counted in ranges and not in one task."""
+    from ..operators.scans import running_sums
+
+    lines = spark.read.text(path).withColumns({"_at": line_place(), "_one": F.lit(1)})
+    return running_sums(lines, "_at", ["_one"], ["no"]).select("value", F.col("no").cast("long").alias("no"))
+
+
 def mtx(spark: SparkSession, matrix: str, barcodes: str, features: str) -> DataFrame:
     """Matrix Market triple to ``feature``, ``cell``, ``value``; rows are features, columns cells."""
-    lines = spark.read.text(matrix).where("NOT startswith(value, '%')").withColumn("n", F.monotonically_increasing_id())
+    lines = spark.read.text(matrix).withColumn("n", line_place()).where("NOT startswith(value, '%')")
     head = lines.agg(F.min("n").alias("h"))
     f = F.split(F.trim("value"), r"\s+")
     e = lines.join(F.broadcast(head), F.col("n") != F.col("h")).select(f[0].cast("long").alias("r"), f[1].cast("long").alias("c"), f[2].cast("double").alias("value"))
 
     def names(path: str, name: str) -> DataFrame:
-        d = spark.read.text(path, wholetext=True)
-        return d.select(F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n"))).select((F.col("pos") + 1).cast("long").alias(f"{name}_no"), F.split("col", "\t")[0].alias(name))
+        return numbered_lines(spark, path).select(F.col("no").alias(f"{name}_no"), F.split("value", "\t")[0].alias(name))
 
     return e.join(names(features, "feature"), F.col("r") == F.col("feature_no")).join(names(barcodes, "cell"), F.col("c") == F.col("cell_no")).select("feature", "cell", "value")
 
@@ -188,6 +200,41 @@ def graphml_edges(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", "edge").schema("_source STRING, _target STRING").load(path).select(F.col("_source").alias("src"), F.col("_target").alias("dst"))
 
 
+def graphml_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes (``id``, ``attributes``) and edges (``src``, ``dst``, ``attributes``) of a graph that ``sinks.graphml_graph`` wrote."""
+    data = "data ARRAY<STRUCT<_key: STRING, _VALUE: STRING>>"
+    attributes = F.map_from_entries(F.transform(F.coalesce("data", F.array().cast("array<struct<_key:string,_VALUE:string>>")), lambda x: F.struct(x["_key"], x["_VALUE"]))).alias("attributes")
+    read = lambda tag, ends: spark.read.format("xml").option("rowTag", tag).option("ignoreSurroundingSpaces", False).schema(f"{ends}, {data}").load(f"{path}/{tag}s")
+    return read("node", "_id STRING").select(F.col("_id").alias("id"), attributes), read("edge", "_source STRING, _target STRING").select(F.col("_source").alias("src"), F.col("_target").alias("dst"), attributes)
+
+
+def zip_member(spark: SparkSession, path: str, member: str) -> DataFrame:
+    """``file``, ``value``: the text lines of one member of every ZIP file; a file without it gives no rows. Archives fit in a task."""
+
+    def lines(batches):
+        import io
+        import zipfile
+
+        import pandas as pd
+
+        for b in batches:
+            for name, data in zip(b["path"], b["content"]):
+                with zipfile.ZipFile(io.BytesIO(data)) as z:
+                    if member in z.namelist():
+                        text = z.read(member).decode("utf-8").splitlines()
+                        yield pd.DataFrame({"file": [name] * len(text), "value": text})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(lines, "file string, value string")
+
+
+def attribute_table(spark: SparkSession, path: str) -> DataFrame:
+    """An exported table of sites (gene name, chromosome, start; with header) as ``name``, ``chrom``, ``start``."""
+    d = spark.read.option("sep", "\t").option("header", True).csv(path)
+    if len(d.columns) < 3:
+        raise ValueError(f"{path}: three columns are needed")
+    return d.toDF("name", "chrom", "start", *d.columns[3:]).select("name", "chrom", F.col("start").try_cast("int").alias("start"))
+
+
 def best_records(records: DataFrame) -> DataFrame:
     """Per gene the best protein record: selected, then NP, then not XP, then not low quality, then longest, then first.
 

@@ -36,5 +36,17 @@ def graphml(edges: DataFrame, path: str) -> None:
     edges.select(F.col("src").alias("_source"), F.col("dst").alias("_target")).write.mode("overwrite").format("xml").option("rowTag", "edge").option("rootTag", "graph").save(path)
 
 
+def graphml_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """Nodes (``id`` and attributes) and edges (``src``, ``dst`` and attributes) as XML; null attributes become "0"."""
+
+    def put(df: DataFrame, tag: str, ends: dict[str, str]) -> None:
+        rest = [c for c in df.columns if c not in ends]
+        data = F.array(*[F.struct(F.lit(c).alias("_key"), F.coalesce(F.col(c).cast("string"), F.lit("0")).alias("_VALUE")) for c in rest]).alias("data")
+        df.select(*[F.col(c).alias(a) for c, a in ends.items()], *([data] if rest else [])).write.mode("overwrite").format("xml").option("rowTag", tag).option("rootTag", "graph").save(f"{path}/{tag}s")
+
+    put(nodes, "node", {"id": "_id"})
+    put(edges, "edge", {"src": "_source", "dst": "_target"})
+
+
 def fasta(records: DataFrame, path: str) -> None:
     records.select(F.concat(F.lit(">"), F.col("id"), F.lit(" "), F.col("description"), F.lit("\n"), F.col("seq")).alias("value")).write.mode("overwrite").text(path)

@@ -225,3 +225,37 @@ def test_expand_groups_at_any_depth(spark):
     assert rows(graph.expand_groups(m, roots)) == [("g0", "deep"), ("g0", "near")]
     with pytest.raises(ValueError, match="deeper"):
         graph.expand_groups(m, roots, 16)
+
+
+def test_zip_members_tables_and_finished_folders(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("data/protein.faa", ">x\nMA\n")
+    with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
+        z.writestr("other", "no")
+    assert [r["value"] for r in files.zip_member(spark, str(tmp_path / "*.zip"), "data/protein.faa").collect()] == [">x", "MA"]
+    t = write(tmp_path, "t.tsv", "Gene name\tChromosome\tStart\nA\t1\t5\n\tMT\tx\n")
+    assert rows(files.attribute_table(spark, t)) == [(None, "MT", None), ("A", "1", 5)]
+    with pytest.raises(ValueError):
+        files.attribute_table(spark, write(tmp_path, "u.tsv", "a\tb\n1\t2\n"))
+    assert files.present(spark, t) and not files.present(spark, str(tmp_path / "none"))
+    spark.range(1).write.parquet(str(tmp_path / "p"))
+    assert files.present(spark, str(tmp_path / "p"))
+    (tmp_path / "p" / "_SUCCESS").unlink()
+    assert not files.present(spark, str(tmp_path / "p"))
+
+
+def test_graph_files_keep_attributes(spark, tmp_path):
+    nodes = spark.createDataFrame([("a & b", "gene", None), ("c", "<x>", 2)], "id string, kind string, n int")
+    edges = spark.createDataFrame([("a & b", "c", None, "p,q")], "src string, dst string, signal string, pathways string")
+    sinks.graphml_graph(nodes, edges, str(tmp_path / "g"))
+    n, e = files.graphml_graph(spark, str(tmp_path / "g"))
+    assert {r["id"]: r["attributes"] for r in n.collect()} == {"a & b": {"kind": "gene", "n": "0"}, "c": {"kind": "<x>", "n": "2"}}
+    assert [tuple(r) for r in e.collect()] == [("a & b", "c", {"signal": "0", "pathways": "p,q"})]
+
+
+def test_lines_are_numbered_in_the_order_of_names(spark, tmp_path):
+    write(tmp_path, "n/a.txt", "1\n2\n")
+    write(tmp_path, "n/b.txt", "\n".join(str(i) for i in range(3, 500)))
+    assert {(int(r["value"]), r["no"]) for r in files.numbered_lines(spark, str(tmp_path / "n")).collect()} == {(i, i) for i in range(1, 500)}

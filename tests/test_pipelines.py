@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.operators import factors, graph, pipelines
+from helixframe.operators import factors, graph, identifiers, metrics, pipelines
 from helixframe.plans import omics_queries
 
 from .conftest import rows
@@ -152,3 +152,45 @@ def test_neighbour_graph_recall(spark):
     few = df.where("id < 30")
     assert {tuple(r) for r in graph.nearest_neighbours(few, few, "id", "v", 5, block=7).collect()} == {tuple(r) for r in graph.nearest_neighbours(few, few, "id", "v", 5).collect()}
     assert graph.neighbour_graph(df.limit(0), "id", "v").count() == 0
+
+
+def test_classifier_entry_points(spark):
+    df = spark.createDataFrame([(i, i % 3 == 0, (i * 37 % 100) / 100) for i in range(200)], "id int, y boolean, score double").select("id", F.col("y").cast("int").alias("label"), "score")
+    r = metrics.classification_metrics(df, "id").first().asDict()
+    assert set(r) == {"auroc", "auprc", "rand_auroc", "rand_auprc", "accuracy", "precision", "early_precision", "recall", "f1", "n_edges", "n_pos", "n_neg", "score_threshold"}
+    assert r["n_edges"] == 200 and r["n_pos"] == 67 and r["early_precision"] == r["precision"] and abs(r["rand_auroc"] - 0.5) < 0.2
+    drawn = metrics.permuted(df, "id")
+    assert rows(drawn.select("score")) == rows(df.select("score")) and drawn.agg(F.sum("label")).first()[0] == 67
+    one = metrics.classification_metrics(df.where("label = 1"), "id").first()
+    assert one["auroc"] is None and one["rand_auprc"] is None and one["precision"] == 1.0
+    assert {(x[0], x[1]) for x in metrics.curves(df).select("curve", "model").distinct().collect()} == {(c, m) for c in ("roc", "prc") for m in ("scores", "random")}
+    assert {x[0] for x in metrics.curves(df, "roc").select("curve").distinct().collect()} == {"roc"}
+    assert metrics.score_panel(df, "hist", 11).agg(F.sum("n")).first()[0] == 134 and metrics.score_panel(df, balance=False).count() == 100
+    for bad in (lambda: metrics.curves(df, "pie"), lambda: metrics.score_panel(df, "pie")):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_species_layers_and_saved_tables(spark, tmp_path):
+    peaks = spark.createDataFrame([("hg38.chr1:1-2", "hg38.g", "hg38.chr1:1-2"), ("mm10.chr1:1-2", "mm10.g", "mm10.chr1:1-2")], "feature string, gene_ids string, interval string")
+    assert rows(pipelines.one_species(peaks)) == [("chr1:1-2", "g", "chr1:1-2")]
+    assert pipelines.one_species(peaks.where("feature LIKE 'mm10%'")).count() == 1
+    rna = spark.createDataFrame([("gata1", "c1", 3.0, 0.5)], "feature string, cell string, counts double, log1p double")
+    at = pipelines.save_processed(rna, rna.drop("log1p"), str(tmp_path))
+    assert rows(spark.read.parquet(at["rna"])) == [("GATA1", "c1", 0.5)] and rows(spark.read.parquet(at["atac"])) == [("gata1", "c1", 3.0)]
+
+
+def test_canonicaliser(spark):
+    genes = spark.createDataFrame([("1", "KRÉK", "al|x", "Ensembl:ENSG1", 0), ("2", "Bb", "-", "-", 1)], "gene_id string, symbol string, synonyms string, dbxrefs string, ord int")
+    gtf = spark.createDataFrame([("ENSG1.4", "old", 0), ("ENSG7.1", "Dd", 1), ("ENSG8", None, 2)], "gene_id string, gene_name string, ord int")
+    c = identifiers.Canonicaliser(gtf, genes)
+    got = {r["v"]: r["symbol"] for r in c.series(spark.createDataFrame([(x,) for x in ("ensg1", "ENSG7", "al", "2", "dd", "zz", "")], "v string"), "v").collect()}
+    assert got == {"ensg1": "KREK", "ENSG7": "DD", "al": "KREK", "2": "BB", "dd": "DD", "zz": "ZZ", "": ""}
+    e = spark.createDataFrame([("al", "2", 1), ("..", "", 2), (None, "x", 3), ("Bb", "zz", 4)], "a string, b string, n int")
+    out, dropped = c.table(e, "a", "b")
+    assert out.columns == ["a", "b", "n"] and dropped == 2 and rows(out.select("a", "b")) == [("BB", "ZZ"), ("KREK", "BB")]
+    assert tuple(c.coverage().first()) == (4, 2, 2, 2)
+    only = identifiers.Canonicaliser(gtf)
+    assert rows(only.series(spark.createDataFrame([("ENSG7",)], "v string"), "v")) == [("ENSG7", "DD", "ensembl")]
+    with pytest.raises(ValueError):
+        identifiers.Canonicaliser()
