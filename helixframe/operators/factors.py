@@ -83,7 +83,7 @@ def _gathered(rows: DataFrame, n: int, width: int, fold) -> np.ndarray:  # noqa:
     return out
 
 
-def decompose(rows: DataFrame, key: str, n: int, k: int, centre: bool = True, scale: bool = False, extra: int = 54, tolerance: float = 1e-9, most_passes: int = 60, most_bytes: int = 512 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def decompose(rows: DataFrame, key: str, n: int, k: int, centre: bool = True, scale: bool = False, extra: int = 54, tolerance: float = 1e-6, most_passes: int = 60, most_bytes: int = 512 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(axes, offsets, singular values): ``val @ axes[idx] - offsets`` are a row's coordinates, ``k`` of them at most."""
     width = min(n, k + extra)
     if n * width * 8 > most_bytes:

@@ -123,30 +123,48 @@ def stability_samples(tables: list[DataFrame], fraction: float = 0.7, repeats: i
     return [[t.join(sampling.exact_fraction(cells, "cell", fraction, seed), "cell", "left_semi") for t in shared] for seed in range(repeats)]
 
 
-#: Names of nodes, in upper case, that stand for a whole pathway.
-PATHWAY_NODES = r"^(PATH:|TITLE:|(MMU|HSA|KO)\d{5}$)"
+#: Fixed value: names of nodes, in upper case, that stand for a whole pathway.
+PATHWAY_NODES = r"^(PATH:|MMU\d{5}|HSA\d{5}|KO\d{5})$"
 
 
 def pathway_network(tables: dict[str, DataFrame], names: DataFrame | None = None) -> DataFrame:
-    """``src``, ``dst``, ``signal``, ``pathway``, ``ord`` of pathway XML: no pathway nodes, compounds bypassed and removed.
+    """``src``, ``dst``, ``signal``, ``pathway``, ``ord`` of pathway XML, from files to one network of genes.
 
-    A bypass has signal '0' and replaces a direct edge of the same ends. It is made once, over all pathways: that holds
-    every bypass within one pathway, with its provenance. Only genes are bypassed to; other neighbours of a compound go with it.
+    Within a pathway the genes of an entry are one node. There every gene, compound, gene path becomes an edge with signal
+    '0' over an existing one; then nodes are split at '-' (entries of several genes, and symbols with a hyphen), each part
+    getting all edges, and self loops go. The pathways are put together, the last one's signal counting; nodes that stand for
+    pathways go. At last compounds are bypassed over all pathways, between genes that are an entry of their own, and removed;
+    a bypass replaces a direct edge and has the pathways of both hops.
     """
-    edges = checkpointed(files.kgml_edges(tables, names, ordered=True))
-    typed = files.kgml_nodes(tables, names)
+    edges = checkpointed(files.kgml_edges(tables, names, ordered=True, joined=True))
+    typed = checkpointed(files.kgml_nodes(tables, names, joined=True).select("pathway", "node", "type").distinct())
     x = tables["reactions"]
-    made = x.select(F.explode("substrates").alias("node")).union(x.select(F.explode("products")))
-    genes = typed.where("type = 'gene'").select("node").distinct()
-    compounds = checkpointed(typed.where("type = 'compound' OR rlike(upper(node), '^CPD:C[0-9]{5}$')").select("node").union(made).distinct().join(genes, "node", "left_anti"))
-    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    edges = graph.without_pathway_nodes(nodes, edges, "node", "src", "dst", PATHWAY_NODES)[1]
-    both = genes.union(compounds)
-    hop = lambda a, b: edges.join(compounds, F.col(a) == F.col("node"), "left_semi").join(both, F.col(b) == F.col("node"), "left_semi")
-    plain = edges.join(compounds, F.col("src") == F.col("node"), "left_anti").join(compounds, F.col("dst") == F.col("node"), "left_anti")
-    edges = checkpointed(plain.unionByName(hop("src", "dst")).unionByName(hop("dst", "src")))
+    made = x.select("pathway", F.explode("substrates").alias("node")).union(x.select("pathway", F.explode("products")))
+    genes = typed.where("type = 'gene'").select("pathway", "node").distinct()
+    compounds = typed.where("type = 'compound'").select("pathway", "node").union(made).distinct().join(genes, ["pathway", "node"], "left_anti")
+
+    def within(end: str, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+        return rows.join(nodes.select("pathway", F.col("node").alias(end)), ["pathway", end], "left_semi")
+
+    into = within("dst", compounds, within("src", genes, edges)).select("pathway", F.col("src").alias("a"), F.col("dst").alias("via")).distinct()
+    out = within("src", compounds, within("dst", genes, edges)).select("pathway", F.col("src").alias("via"), F.col("dst").alias("b")).distinct()
+    place = F.struct("pathway", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("n"))
+    local = into.join(out, ["pathway", "via"]).where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("0").alias("signal"), "pathway", place.alias("ord")).distinct()
+    rows = edges.select("src", "dst", "signal", "pathway", "ord").unionByName(local)
+    # the edges of split nodes are put over those that were there before
+    complex_ = (F.col("src").contains("-") | F.col("dst").contains("-")).alias("split")
+    rows = rows.withColumn("ord", F.struct("pathway", complex_, F.col("ord.kind").alias("kind"), F.col("ord.n").alias("n")))
+    rows = checkpointed(graph.split_complexes(rows))
+    nodes = rows.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    rows = graph.without_pathway_nodes(nodes, rows, "node", "src", "dst", PATHWAY_NODES)[1]
+    one = genes.where("NOT contains(node, '-')").select("node").distinct()
+    gone = checkpointed(compounds.select("node").union(nodes.where("rlike(node, '^CPD:C[0-9]{5}$')")).distinct().join(one, "node", "left_anti"))
+    both = one.union(gone)
+    hop = lambda a, b: rows.join(gone, F.col(a) == F.col("node"), "left_semi").join(both, F.col(b) == F.col("node"), "left_semi")
+    plain = rows.join(gone, F.col("src") == F.col("node"), "left_anti").join(gone, F.col("dst") == F.col("node"), "left_anti")
+    kept = checkpointed(plain.unionByName(hop("src", "dst")).unionByName(hop("dst", "src")))
     signals = graph.last_writer_wins(plain, ["src", "dst"], "ord", ["signal"])
-    whole = graph.collapse_compounds(edges, compounds).join(signals, ["src", "dst"], "left")
+    whole = graph.collapse_compounds(kept, gone).join(signals, ["src", "dst"], "left")
     signal = F.when(F.col("via").isNotNull(), "0").otherwise(F.col("signal"))
     return whole.select("src", "dst", signal.alias("signal"), F.explode(F.split("pathways", ",")).alias("pathway"), F.lit(0).alias("ord"))
 

@@ -165,7 +165,8 @@ def cluster(s: SparkSession, d: str) -> DataFrame:
 def rank_features(s: SparkSession, d: str) -> DataFrame:
     n = matrix.normalise_total(_counts(s, d))
     clusters = n.select("cell").distinct().select("cell", (F.substring("cell", 2, 9).cast("int") % 4).alias("cluster"))
-    return matrix.rank_features(n.select("cell", "feature", F.col("log1p").alias("value")), clusters)
+    r = matrix.rank_features(n.select("cell", "feature", F.col("log1p").alias("value")), clusters)
+    return r.select("cluster", "feature", *[F.round(c, 6).alias(c) for c in ("t", "p", "p_adj")])
 
 
 def rna_pipeline(s: SparkSession, d: str) -> DataFrame:
@@ -268,6 +269,21 @@ SELECT k.barcode_group, offset_bp, n, round(n / b, 6) AS enrichment FROM k LEFT
     "qc_filtered": sql("""WITH q AS (SELECT cell FROM @counts GROUP BY 1 HAVING count(*) FILTER (value > 0) BETWEEN 10 AND 60 AND sum(value) BETWEEN 200 AND 2000
  AND sum(CASE WHEN CAST(substr(feature, 2) AS INT) % 20 = 0 THEN value ELSE 0 END) * 100.0 / sum(value) <= 8), f AS (SELECT feature FROM @counts GROUP BY 1 HAVING count(*) FILTER (value > 0) >= 20)
 SELECT cell, feature, CAST(value AS BIGINT) AS value FROM @counts WHERE cell IN (SELECT cell FROM q) AND feature IN (SELECT feature FROM f)"""),
+    "rna_pipeline": sql(f"""WITH q AS (SELECT cell FROM @counts GROUP BY 1 HAVING count(*) FILTER (value > 0) BETWEEN 10 AND 60 AND sum(value) BETWEEN 200 AND 2000
+ AND sum(CASE WHEN CAST(substr(feature, 2) AS INT) % 20 = 0 THEN value ELSE 0 END) * 100.0 / sum(value) <= 8), f AS (SELECT feature FROM @counts GROUP BY 1 HAVING count(*) FILTER (value > 0) >= 20),
+ k AS (SELECT cell, feature, value FROM @counts WHERE cell IN (SELECT cell FROM q) AND feature IN (SELECT feature FROM f)),
+ x AS (SELECT cell, feature, value * 10000.0 / CAST(sum(value) OVER (PARTITION BY cell) AS DOUBLE) AS v, (SELECT count(DISTINCT cell) FROM k) AS n FROM k),
+ m AS (SELECT feature, sum(v) / n AS mean, {_VAR} AS var FROM x GROUP BY feature, n), l AS (SELECT feature, ln(1 + mean) AS mean_log, CASE WHEN mean > 0 AND var > 0 THEN ln(var / mean) END AS dispersion FROM m),
+ r AS (SELECT *, CASE WHEN max(mean_log) OVER () = min(mean_log) OVER () THEN 0 ELSE least(floor((mean_log - min(mean_log) OVER ()) * 20 / (max(mean_log) OVER () - min(mean_log) OVER ())), 19) END AS bin FROM l),
+ z AS (SELECT *, CASE WHEN stddev_samp(dispersion) OVER (PARTITION BY bin) IS NULL AND dispersion IS NOT NULL THEN 1.0 ELSE (dispersion - avg(dispersion) OVER (PARTITION BY bin)) / nullif(stddev_samp(dispersion) OVER (PARTITION BY bin), 0) END AS z FROM r)
+SELECT cell, x.feature, round(v, 5) AS norm, round(ln(1 + v), 6) AS log1p, coalesce(mean_log > 0.02 AND mean_log < 4 AND z > 0.5, false) AS variable FROM x JOIN z ON x.feature = z.feature"""),
+    "rank_features": sql("""WITH x AS (SELECT cell, feature, CAST(substr(cell, 2) AS INT) % 4 AS cluster, ln(1 + value * 10000.0 / CAST(sum(value) OVER (PARTITION BY cell) AS DOUBLE)) AS v FROM @counts),
+ s AS (SELECT cluster, count(DISTINCT cell) AS n1, (SELECT count(DISTINCT cell) FROM x) AS n FROM x GROUP BY 1), t AS (SELECT feature, sum(v) AS t1, sum(v * v) AS t2 FROM x GROUP BY 1), a AS (SELECT cluster, feature, sum(v) AS a1, sum(v * v) AS a2 FROM x GROUP BY 1, 2),
+ m AS (SELECT s.cluster, t.feature, n1, n - n1 AS n2, coalesce(a1, 0) / n1 AS m1, (t1 - coalesce(a1, 0)) / (n - n1) AS m2, coalesce(a2, 0) AS a2, t2 - coalesce(a2, 0) AS r2 FROM s CROSS JOIN t LEFT JOIN a ON a.cluster = s.cluster AND a.feature = t.feature),
+ w AS (SELECT *, (m1 - m2) / sqrt(((a2 - n1 * m1 * m1) / (n1 - 1) + (r2 - n2 * m2 * m2) / (n2 - 1)) / n1) AS t, 1 / (1 + 0.3275911 * abs(t) / sqrt(2)) AS k FROM m),
+ p AS (SELECT cluster, feature, t, least(k * (0.254829592 + k * (-0.284496736 + k * (1.421413741 + k * (-1.453152027 + k * 1.061405429)))) * exp(-t * t / 2), 1) AS p FROM w),
+ o AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY p, feature) AS rank, count(*) OVER (PARTITION BY cluster) AS m FROM p)
+SELECT cluster, feature, round(t, 6) AS t, round(p, 6) AS p, round(least(min(p * m / rank) OVER (PARTITION BY cluster ORDER BY rank DESC ROWS UNBOUNDED PRECEDING), 1), 6) AS p_adj FROM o"""),
     "lib_normalise": sql("SELECT cell, feature, round(value * 10000.0 / t, 5) AS norm, round(ln(1 + value * 10000.0 / t), 6) AS log1p FROM (SELECT *, CAST(sum(value) OVER (PARTITION BY cell) AS DOUBLE) AS t FROM @counts)"),
     "tfidf": sql("SELECT cell, feature, round(ln(1 + value * 10000.0 / c) * ln(1 + n / f), 6) AS tfidf FROM (SELECT *, CAST(sum(value) OVER (PARTITION BY cell) AS DOUBLE) AS c, CAST(sum(value) OVER (PARTITION BY feature) AS DOUBLE) AS f, (SELECT count(DISTINCT cell) FROM @counts) AS n FROM @counts)"),
     "hvg": sql(f"""WITH x AS (SELECT feature, value * 10000.0 / CAST(sum(value) OVER (PARTITION BY cell) AS DOUBLE) AS v, (SELECT count(DISTINCT cell) FROM @counts) AS n FROM @counts),

@@ -153,26 +153,31 @@ def kgml(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     }
 
 
-def kgml_nodes(tables: dict[str, DataFrame], names: DataFrame | None = None) -> DataFrame:
-    """``pathway``, ``id``, ``node``, ``type``: one row per name of every plain entry.
+def kgml_nodes(tables: dict[str, DataFrame], names: DataFrame | None = None, joined: bool = False) -> DataFrame:
+    """``pathway``, ``id``, ``node``, ``type``: one row per name of every plain entry, or with ``joined`` one per entry.
 
     Codes of the pathway's organism and of ``ko`` go through the dictionary (``code``, ``name``), paths lose their prefix,
-    all other names (compounds) stay as they are; so does a code that the dictionary lacks.
+    all other names (compounds) stay as they are; so does a code that the dictionary lacks. Commas are dropped. A joined
+    name has its genes with '-' between them, other names as they stand in the file.
     """
-    plain = tables["entries"].select("pathway", "id", "type", F.explode("names").alias("raw"))
+    plain = tables["entries"].select("pathway", "id", "type", F.posexplode("names").alias("pos", "raw"))
     own = F.substring_index("raw", ":", 1).isin("ko", "path") | (F.substring_index("raw", ":", 1) == F.regexp_extract("pathway", "^[a-z]+", 0))
-    genes = plain.withColumn("code", F.when(own, F.substring_index("raw", ":", -1)).otherwise(F.col("raw")))
-    if names is None:
-        return genes.select("pathway", "id", F.col("code").alias("node"), "type")
-    one = names.groupBy("code").agg(F.max("name").alias("named"))
-    return genes.join(one, "code", "left").select("pathway", "id", F.coalesce("named", "code").alias("node"), "type")
+    genes = plain.withColumn("own", own).withColumn("code", F.when(F.col("own"), F.substring_index("raw", ":", -1)).otherwise(F.col("raw")))
+    if names is not None:
+        genes = genes.join(names.groupBy("code").agg(F.max("name").alias("named")), "code", "left").withColumn("code", F.coalesce("named", "code"))
+    each = genes.select("pathway", "id", "type", "pos", "own", F.replace("code", F.lit(","), F.lit("")).alias("node"))
+    if not joined:
+        return each.select("pathway", "id", "node", "type")
+    whole = each.groupBy("pathway", "id", "type").agg(F.array_sort(F.collect_list(F.struct("pos", "own", "node"))).alias("l"))
+    return whole.select("pathway", "id", F.when(F.col("l")[0]["own"], F.array_join(F.col("l.node"), "-")).otherwise(F.array_join(F.col("l.node"), " ")).alias("node"), "type")
 
 
-def kgml_edges(tables: dict[str, DataFrame], names: DataFrame | None = None, ordered: bool = False) -> DataFrame:
+def kgml_edges(tables: dict[str, DataFrame], names: DataFrame | None = None, ordered: bool = False, joined: bool = False) -> DataFrame:
     """Edges of pathway XML: relations over group members at any depth and gene names, reactions over substrates and products.
 
     ``src``, ``dst``, ``signal``, ``kind``, ``pathway``; a name that the dictionary (``code``, ``name``) lacks stays. With
-    ``ordered`` also ``ord``: files by name, relations before reactions, each in the order of its file.
+    ``ordered`` also ``ord``: files by name, relations before reactions, each in the order of its file; with ``joined`` the
+    genes of an entry are one node (see ``kgml_nodes``).
     """
     from ..operators.graph import expand_groups, relation_signal
 
@@ -181,7 +186,7 @@ def kgml_edges(tables: dict[str, DataFrame], names: DataFrame | None = None, ord
     place = lambda kind: F.struct("pathway", F.lit(kind).alias("kind"), "n").alias("ord")
     members = m.select(key("parent").alias("parent"), key("child").alias("child"))
     leaves = expand_groups(members, members.select(F.col("parent").alias("root")).distinct())
-    nodes = kgml_nodes(tables, names).select("pathway", "id", "node")
+    nodes = kgml_nodes(tables, names, joined).select("pathway", "id", "node")
     inner = leaves.select("root.pathway", F.col("root.id").alias("id"), F.col("leaf.id").alias("child")).join(nodes.withColumnRenamed("id", "child"), ["pathway", "child"]).select("pathway", "id", "node")
     grouped = m.select("pathway", F.col("parent").alias("id")).distinct()
     g = nodes.join(grouped, ["pathway", "id"], "left_anti").unionByName(inner)

@@ -68,7 +68,8 @@ def test_build_networks_bypasses_compounds(spark, tmp_path):
         str(tmp_path / "k"), str(tmp_path / "out"), genes=write(tmp_path, "g.tsv", "mmu:1\tCDS\t1\tGa, Gz; x\nmmu:2\tCDS\t1\tGb; y\nmmu:3\tCDS\t1\tGc; z\n"), orthologs=write(tmp_path, "ko.txt", "D      K00009  KOA, KOB; w\n"),
     )
     both = "mmu00010,mmu00011"
-    want = [("GA", "GB", 0, both), ("GA", "GC", 0, both), ("GA", "KOA", 0, both), ("GC", "GA", 1, both), ("KOA", "GA", 1, both)]
+    # Gc and KOA share an entry: they are bypassed to as that entry, within the pathway, and not over all pathways
+    want = [("GA", "GB", 0, both), ("GA", "GC", 0, "mmu00010"), ("GA", "KOA", 0, "mmu00010"), ("GC", "GA", 1, both), ("KOA", "GA", 1, both)]
     assert rows(got["kegg"].select("TF", "TG", "kegg_signal", "kegg_pathways")) == want
 
 
@@ -123,7 +124,7 @@ def test_factors_against_numpy(spark, monkeypatch):
         z = x - x.mean(0)
         z = z / np.where(x.std(0, ddof=1) > 0, x.std(0, ddof=1), 1) if scale else z
         u, s, _ = np.linalg.svd(z, full_matrices=False)
-        axes, off, top = factors.decompose(rows_, "cell", n, 4, True, scale, extra=extra)
+        axes, off, top = factors.decompose(rows_, "cell", n, 4, True, scale, extra=extra, tolerance=1e-10)
         assert np.allclose(top, s[:4], rtol=1e-6) and np.allclose(np.abs(x @ axes - off), np.abs(u[:, :4] * s[:4]), atol=1e-3)
     u, s, _ = np.linalg.svd(x, full_matrices=False)
     got = {r["cell"]: r["embedding"] for r in factors.lsi(rows_, "cell", n, 4).collect()}
@@ -194,3 +195,23 @@ def test_canonicaliser(spark):
     assert rows(only.series(spark.createDataFrame([("ENSG7",)], "v string"), "v")) == [("ENSG7", "DD", "ensembl")]
     with pytest.raises(ValueError):
         identifiers.Canonicaliser()
+
+
+NESTED = """<pathway><entry id="1" name="mmu:1 mmu:2" type="gene" reaction="rn:R1"/><entry id="2" name="mmu:3" type="gene" reaction="rn:R2"/>
+<entry id="3" name="mmu:4" type="gene"/><entry id="4" name="undefined" type="group"><component id="1"/></entry><entry id="5" name="undefined" type="group"><component id="4"/><component id="3"/></entry>
+<entry id="6" name="path:mmu00099" type="map"/><entry id="7" name="cpd:C00005" type="compound"/>
+<relation entry1="5" entry2="2" type="PPrel"><subtype name="inhibition"/></relation><relation entry1="6" entry2="2" type="maplink"/>
+<relation entry1="3" entry2="2" type="PPrel"><subtype name="activation"/></relation>
+<reaction name="rn:R1"><substrate name="cpd:C00004"/><product name="cpd:C00005"/></reaction><reaction name="rn:R2"><substrate name="cpd:C00005"/><product name="cpd:C00006"/></reaction></pathway>"""
+
+
+def test_pathway_network_groups_hyphens_and_compounds(spark, tmp_path):
+    """A group of a group, a symbol with a hyphen, a path over a compound; signals by file and relation order."""
+    from helixframe.sources import files
+
+    write(tmp_path, "k/mmu00020.xml", NESTED)
+    names = spark.createDataFrame([("1", "A"), ("2", "B"), ("3", "H-X"), ("4", "D")], "code string, name string")
+    got = rows(pipelines.pathway_network(files.kgml(spark, str(tmp_path / "k")), names).select("src", "dst", "signal", "pathway"))
+    # A and B reach H-X as members of the nested group and over the compound, whose bypass comes over the relation
+    want = [(a, b, "0", "mmu00020") for a in "AB" for b in "HX"] + [("D", b, "a", "mmu00020") for b in "HX"]
+    assert got == sorted(want)
