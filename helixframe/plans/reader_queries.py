@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars, symbols
-from ..operators import factors, genomic, identifiers, matrix, metrics, networks, sampling
+from ..operators import factors, genomic, identifiers, matrix, metrics, networks, pipelines, sampling
 from ..session import checkpointed, shared_folder
 from ..sources import files, sinks
 from ..sources.tables import table
+from . import network_queries
 from .views import sql, view
 
 TAXON = "910090"
@@ -30,6 +31,41 @@ def string_from_files(s: SparkSession, d: str) -> DataFrame:
     return networks.association_edges(files.protein_links(s, f"{at}/links"), files.protein_info(s, f"{at}/info"), 800)
 
 
+def regulation_from_tsv(s: SparkSession, d: str) -> DataFrame:
+    """Pairs with repeated terms and ids through a headerless TSV, rolled up."""
+    at = _folder(s)
+    term = F.element_at(F.array(*map(F.lit, ("Activation", "Repression", "Unknown", "activation"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    pairs = table(s, d, "part").select(F.lower("p_brand").alias("TF"), "p_type", term.alias("Regulation"), F.concat_ws(", ", F.col("p_size").cast("string"), (F.col("p_partkey") % 7).cast("string")).alias("PMIDs"))
+    sinks.csv(pairs, at, "\t", False)
+    return networks.regulation_edges(files.regulation_tsv(s, at), "upper")
+
+
+def codes_from_text(s: SparkSession, d: str) -> DataFrame:
+    """The four kinds of code lists: flat hierarchy, two columns, organism genes, pathways; and the list of TFs."""
+    at, p = _folder(s), table(s, d, "part").select(F.format_string("K%05d", "p_partkey").alias("code"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("name"))
+    p.select(F.explode(F.array(F.concat(F.lit("D      "), "code", F.lit("  "), "name", F.lit(", ALT; text")), F.lit("C    00010 group"))).alias("v")).write.text(f"{at}/flat")
+    p.select("code", "name").write.option("sep", "\t").csv(f"{at}/two")
+    p.select(F.concat_ws("\t", F.concat(F.lit("mmu:"), "code"), F.lit("CDS"), F.lit("1"), F.concat("name", F.lit(", ALT; text"))).alias("v")).write.text(f"{at}/organism")
+    p.select(F.concat_ws("\t", F.concat(F.lit("path:"), "code"), "name").alias("v")).write.text(f"{at}/pathways")
+    table(s, d, "nation").select(F.concat(F.lit("  "), F.lower("n_name"), F.lit(" ")).alias("source_id")).write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{at}/tfs")
+    parts = {"flat": files.flat_hierarchy(s, f"{at}/flat"), "two": files.code_names(s, f"{at}/two"), "organism": files.organism_genes(s, f"{at}/organism"), "pathways": files.pathway_list(s, f"{at}/pathways").withColumn("name", F.lit(None).cast("string")), "tfs": files.tf_list(s, f"{at}/tfs").select(F.col("source_id").alias("code"), F.lit(None).cast("string").alias("name"))}
+    return reduce(DataFrame.unionByName, [x.select(F.lit(k).alias("kind"), "code", "name") for k, x in parts.items()])
+
+
+def species_peaks(s: SparkSession, d: str) -> DataFrame:
+    """Peaks of a mixed experiment, those of one species kept and named without it."""
+    name = F.concat_ws(".", F.when(F.col("pstart") % 3 == 0, "mm10").otherwise("hg38"), scalars.peak_name(F.col("chrom"), F.col("pstart"), F.col("pend")))
+    p = view(s, d, "peaks").select(name.alias("feature"), name.alias("interval"))
+    return pipelines.one_species(p).select("feature", "interval")
+
+
+def saved_tables(s: SparkSession, d: str) -> DataFrame:
+    """Both modalities saved and read again."""
+    at = _folder(s)
+    paths = pipelines.save_processed(view(s, d, "versioned").withColumnRenamed("value", "counts"), view(s, d, "counts2"), at)
+    return reduce(DataFrame.unionByName, [s.read.parquet(p).groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.sum("value").cast("long").alias("total")).withColumn("modality", F.lit(k)) for k, p in paths.items()])
+
+
 def peaks_from_bed(s: SparkSession, d: str) -> DataFrame:
     at = _folder(s)
     sinks.bed(view(s, d, "peaks"), at)
@@ -157,7 +193,7 @@ def region_fragments(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    string_from_files, peaks_from_bed, sites_from_bed, counts_from_mtx, counts_from_csv, genes_from_text, canonical_table, graph_round_trip, partitioned_round_trip, fasta_round_trip,
+    regulation_from_tsv, codes_from_text, species_peaks, saved_tables, string_from_files, peaks_from_bed, sites_from_bed, counts_from_mtx, counts_from_csv, genes_from_text, canonical_table, graph_round_trip, partitioned_round_trip, fasta_round_trip,
     mito_share, symbol_forms, directed_associations, undirected_associations, stability_samples, classifier_report, balanced_histogram, sampled_sites, region_fragments,
 )}
 
@@ -168,6 +204,16 @@ a{n} AS (SELECT (CAST(sum(p) AS DOUBLE) * sum(n) - sum(CAST(p AS DOUBLE) * fp) +
 _GREEK = ", ".join(f"('{k}', '{v}')" for k, v in symbols.GREEK.items())
 _SYMBOL = "upper(replace(strip_accents(symbol), ' ', ''))"
 ORACLES = {
+    "regulation_from_tsv": """WITH r AS (SELECT lower(p_brand) AS TF, p_type AS TG, ['Activation', 'Repression', 'Unknown', 'activation'][CAST(p_partkey % 4 + 1 AS INT)] AS g, p_size AS x, p_partkey % 7 AS y FROM part),
+ i AS (SELECT TF, TG, array_to_string(list_sort(list(DISTINCT CAST(v AS VARCHAR))), ',') AS ids FROM (SELECT TF, TG, unnest([x, y]) AS v FROM r) GROUP BY 1, 2)
+SELECT upper(r.TF) AS TF, upper(r.TG) AS TG, CAST(max(CASE WHEN upper(g) = 'ACTIVATION' THEN 1 WHEN upper(g) = 'REPRESSION' THEN -1 ELSE 0 END) AS INTEGER) AS trrust_sign, string_agg(DISTINCT g, ';' ORDER BY g) AS trrust_regulation, max(ids) AS trrust_pmids, count(*) AS trrust_support_n
+FROM r JOIN i ON r.TF = i.TF AND r.TG = i.TG GROUP BY 1, 2""",
+    "codes_from_text": """WITH p AS (SELECT 'K' || lpad(CAST(p_partkey AS VARCHAR), 5, '0') AS code, replace(p_name, ' ', '_') AS name FROM part)
+SELECT 'flat' AS kind, * FROM p UNION ALL SELECT 'two', * FROM p UNION ALL SELECT 'organism', * FROM p UNION ALL SELECT 'pathways', code, NULL FROM p UNION ALL SELECT DISTINCT 'tfs', upper(n_name), NULL FROM nation""",
+    "species_peaks": sql("SELECT chrom || ':' || pstart || '-' || pend AS feature, chrom || ':' || pstart || '-' || pend AS \"interval\" FROM @peaks WHERE pstart % 3 <> 0"),
+    "saved_tables": sql("SELECT upper(feature) AS feature, count(*) AS n, CAST(sum(value) AS BIGINT) AS total, 'rna' AS modality FROM @versioned GROUP BY 1 UNION ALL SELECT feature, count(*), CAST(sum(value) AS BIGINT), 'atac' FROM @counts2 GROUP BY 1"),
+    "canonical_table": f"WITH {network_queries._DICTS}, n AS (SELECT name, {network_queries._NORM('strip_accents(name)')} AS c FROM (SELECT TF AS name FROM string_pkn UNION SELECT TG FROM string_pkn) WHERE name IS NOT NULL), r AS (" + network_queries._RESOLVE.format(extra="", how="", join="") + """)
+SELECT a.symbol AS TF, b.symbol AS TG, count(*) AS n FROM string_pkn s JOIN r a ON s.TF = a.name JOIN r b ON s.TG = b.name WHERE a.symbol <> '' AND b.symbol <> '' GROUP BY 1, 2""",
     "string_from_files": sql("SELECT upper(a.preferred_name) AS TF, upper(b.preferred_name) AS TG, combined_score / 1000.0 AS string_combined_score FROM @links_raw l JOIN @names a ON a.id = protein1 JOIN @names b ON b.id = protein2 WHERE combined_score >= 800"),
     "peaks_from_bed": sql("SELECT chrom AS peak_chr, pstart AS peak_start, pend AS peak_end FROM @peaks"),
     "sites_from_bed": sql("SELECT chrom, tss, gene FROM @tss"),
