@@ -206,7 +206,7 @@ _SYMBOL = "upper(replace(strip_accents(symbol), ' ', ''))"
 ORACLES = {
     "regulation_from_tsv": """WITH r AS (SELECT lower(p_brand) AS TF, p_type AS TG, ['Activation', 'Repression', 'Unknown', 'activation'][CAST(p_partkey % 4 + 1 AS INT)] AS g, p_size AS x, p_partkey % 7 AS y FROM part),
  i AS (SELECT TF, TG, array_to_string(list_sort(list(DISTINCT CAST(v AS VARCHAR))), ',') AS ids FROM (SELECT TF, TG, unnest([x, y]) AS v FROM r) GROUP BY 1, 2)
-SELECT upper(r.TF) AS TF, upper(r.TG) AS TG, CAST(max(CASE WHEN upper(g) = 'ACTIVATION' THEN 1 WHEN upper(g) = 'REPRESSION' THEN -1 ELSE 0 END) AS INTEGER) AS trrust_sign, string_agg(DISTINCT g, ';' ORDER BY g) AS trrust_regulation, max(ids) AS trrust_pmids, count(*) AS trrust_support_n
+SELECT upper(r.TF) AS TF, upper(r.TG) AS TG, CAST(max(CASE WHEN g = 'Activation' THEN 1 WHEN g = 'Repression' THEN -1 ELSE 0 END) AS INTEGER) AS trrust_sign, string_agg(DISTINCT g, ';' ORDER BY g) AS trrust_regulation, max(ids) AS trrust_pmids, count(*) AS trrust_support_n
 FROM r JOIN i ON r.TF = i.TF AND r.TG = i.TG GROUP BY 1, 2""",
     "codes_from_text": """WITH p AS (SELECT 'K' || lpad(CAST(p_partkey AS VARCHAR), 5, '0') AS code, replace(p_name, ' ', '_') AS name FROM part)
 SELECT 'flat' AS kind, * FROM p UNION ALL SELECT 'two', * FROM p UNION ALL SELECT 'organism', * FROM p UNION ALL SELECT 'pathways', code, NULL FROM p UNION ALL SELECT DISTINCT 'tfs', upper(n_name), NULL FROM nation""",
