@@ -97,14 +97,13 @@ def name_words(texts: Sequence[str]) -> set[str]:
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0x2545F4914F6CDD1D, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
-def _hashes(template: np.ndarray, window: int) -> np.ndarray:
-    if len(template) < window:
-        return np.zeros(0, np.uint64)
-    t = (template.astype(np.int64) + 7).astype(np.uint64)
-    h = np.zeros(len(t) - window + 1, np.uint64)
+def _hashes(words: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """Keys of the windows that begin at the places ``at``."""
+    t = (words.astype(np.int64) + 7).astype(np.uint64)
+    h = np.zeros(len(at), np.uint64)
     with np.errstate(over="ignore"):
         for k in range(window):
-            x = (t[k : len(t) - window + 1 + k] + np.uint64(k + 1)) * _MIX[k % len(_MIX)]
+            x = (t[at + k] + np.uint64(k + 1)) * _MIX[k % len(_MIX)]
             x ^= x >> np.uint64(29)
             h = h * np.uint64(0x100000001B3) + x
     return h
@@ -112,16 +111,27 @@ def _hashes(template: np.ndarray, window: int) -> np.ndarray:
 
 def _windows(ids: np.ndarray, template: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """(place, key) of every window that has a key: its template's, or that of its words if these are mostly placeholders."""
-    if len(ids) < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    ones = np.ones(window, np.int32)
-    literal = np.convolve(template > 0, ones, "valid") >= LITERALS
-    whole, own = np.convolve(template != 0, ones, "valid") == window, np.convolve(ids != 0, ones, "valid") == window
-    at = np.flatnonzero(np.where(literal, whole, own))
-    if not len(at):
-        return at, np.zeros(0, np.uint64)
-    key = np.where(literal, _hashes(template, window), _hashes(ids.astype(np.int64), window) ^ np.uint64(0x5851F42D4C957F2D))
-    return at, key[at]
+    none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    n = len(ids) - window + 1
+    if n < 1:
+        return none
+    known = np.flatnonzero(template)
+    # windows without an unknown word: places whose word begins a run of known ones that is long enough
+    ends = known[window - 1 :]
+    whole = known[: len(ends)][ends - known[: len(ends)] == window - 1] if len(ends) else known[:0]
+    if not len(whole):
+        return none
+    literal, own = np.zeros(len(whole), np.int8), np.ones(len(whole), bool)
+    for k in range(window):
+        literal += template[whole + k] > 0
+        own &= ids[whole + k] != 0
+    told = literal >= LITERALS
+    at = whole[told | own]
+    told = told[told | own]
+    key = np.empty(len(at), np.uint64)
+    key[told] = _hashes(template, at[told], window)
+    key[~told] = _hashes(ids, at[~told], window) ^ np.uint64(0x5851F42D4C957F2D)
+    return at, key
 
 
 def build_index(items: Sequence[tuple[int, str]], window: int = 5, typed: bool = True) -> Index:
