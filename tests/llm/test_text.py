@@ -215,7 +215,7 @@ def test_quoted_passages_are_found_and_others_not():
         noise = lambda: " ".join(_made_up(rnd, 30))
         missed += (i, "quoted") not in leaks.match_document(ix, " ".join([noise(), *lines, noise()]), coder=coder)
         wrong += bool(leaks.match_document(ix, " ".join([noise(), *bad, noise(), *part[:19], noise()]), coder=coder)) and n - 3 < 60
-    assert missed <= 3 and wrong == 0
+    assert missed == 0 and wrong == 0
 
 
 def test_placeholders_find_reparameterised_questions():
