@@ -82,11 +82,18 @@ def pathway_number(c: Column) -> Column:
 
 
 def unique_names(df: DataFrame, name: str, order: str) -> DataFrame:
-    """Adds ``unique_name``: repeated names get ``-1``, ``-2`` ... by ``order``."""
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
-    return df.withColumn("unique_name", F.when(n > 0, F.concat_ws("-", name, n.cast("string"))).otherwise(F.col(name)))
+    """Adds ``unique_name``: repeated names get ``-1``, ``-2`` ... by ``order``; null stays null.
+
+    Rows are numbered by name and order in ranges, and a name's first number is taken from its others, so a name that a
+    third of the rows have is not one task.
+    """
+    from ..operators.scans import running_sums
+
+    ranked = running_sums(df.withColumns({"_at": F.struct(name, order), "_one": F.lit(1)}), "_at", ["_one"], ["_no"])
+    first = ranked.groupBy(F.col(name).alias("_name")).agg(F.min("_no").alias("_first"))
+    n = F.col("_no") - F.col("_first")
+    joined = ranked.join(first, F.col(name).eqNullSafe(F.col("_name")))
+    return joined.select(*df.columns, F.when(F.col(name).isNotNull() & (n > 0), F.concat_ws("-", name, n.cast("string"))).otherwise(F.col(name)).alias("unique_name"))
 
 
 def first_layer(df: DataFrame, names: tuple[str, ...] = ("log1p", "counts", "x")) -> Column:

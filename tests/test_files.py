@@ -259,3 +259,10 @@ def test_lines_are_numbered_in_the_order_of_names(spark, tmp_path):
     write(tmp_path, "n/a.txt", "1\n2\n")
     write(tmp_path, "n/b.txt", "\n".join(str(i) for i in range(3, 500)))
     assert {(int(r["value"]), r["no"]) for r in files.numbered_lines(spark, str(tmp_path / "n")).collect()} == {(i, i) for i in range(1, 500)}
+
+
+def test_unique_names_with_nulls_and_a_hot_name(spark):
+    df = spark.createDataFrame([("hot", i) for i in range(50)] + [("b", 1), (None, 1), (None, 2)], "name string, ord int").repartition(5)
+    got = {(r["name"], r["ord"]): r["unique_name"] for r in scalars.unique_names(df, "name", "ord").collect()}
+    assert got == {**{("hot", i): f"hot-{i}" if i else "hot" for i in range(50)}, ("b", 1): "b", (None, 1): None, (None, 2): None}
+    assert scalars.unique_names(df.limit(0), "name", "ord").count() == 0
