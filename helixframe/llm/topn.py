@@ -23,6 +23,11 @@ from pyspark.sql import functions as F
 _COLS = ["g", "i", "x", "s"]
 
 
+def _held(b: pa.RecordBatch) -> pa.Table:
+    """The batch with every column nullable, as folded tables are: tables of unlike schemas can't be put together."""
+    return pa.Table.from_arrays(b.columns, names=_COLS)
+
+
 def _best(t: pa.Table, n: int, by_group_only: bool = False) -> pa.Table:
     """The ``n`` best items of every group, sorted by group, score descending, item ascending."""
     t = t.group_by(["g", "i"]).aggregate([("x", "max"), ("s", "max")]).rename_columns(_COLS)
@@ -51,7 +56,7 @@ def top_n(df: DataFrame, group: str, item: str, score: str, n: int = 10, flush_r
         held: list[pa.Table] = []
         rows_in = kept = 0
         for b in batches:
-            held.append(pa.Table.from_batches([b]))
+            held.append(_held(b))
             rows_in += b.num_rows
             if rows_in < max(200_000, 2 * kept):
                 continue
@@ -69,7 +74,7 @@ def top_n(df: DataFrame, group: str, item: str, score: str, n: int = 10, flush_r
         for b in batches:
             if not b.num_rows:
                 continue
-            t = pa.Table.from_batches([b])
+            t = _held(b)
             t = t if held is None else pa.concat_tables([held, t])
             best = _best(t, n)
             last = t.column("g")[t.num_rows - 1]

@@ -104,6 +104,14 @@ def test_top_n(spark, flush):
     assert topn.top_n(df.limit(0), "g", "i", "s").count() == 0
 
 
+@pytest.mark.parametrize("flush", [50_000, 1_000_000])
+def test_top_n_of_a_task_of_many_rows(spark, flush):
+    # one task folds several times: 20 items in each of 10,000 groups, then the same with better scores, then worse ones
+    df = spark.range(0, 600_000, 1, 1).selectExpr("concat('g', id % 10000) AS g", "concat('i', lpad(id DIV 10000 % 20, 2, '0')) AS i", "CAST(id DIV 10000 % 20 + array(0, 100, 50)[int(id DIV 200000)] AS DOUBLE) AS s")
+    got = topn.top_n(df, "g", "i", "s", 3, flush)
+    assert {tuple(r) for r in got.groupBy("i", "s", "rank_no").count().collect()} == {("i19", 119.0, 1, 10_000), ("i18", 118.0, 2, 10_000), ("i17", 117.0, 3, 10_000)}
+
+
 def test_top_n_ranks_nan_above_infinity(spark):
     nan, inf = float("nan"), float("inf")
     data = [("g", "a", inf), ("g", "b", nan), ("g", "c", 1.0), ("g", "b", 5.0), ("g", "d", nan), ("h", "a", -inf), ("h", None, nan), ("h", None, 2.0)]
