@@ -193,7 +193,8 @@ def neighbour_graph(vectors: DataFrame, key: str, vector: str, k: int = 10, prob
     Centres are fitted on at most ``sample_rows`` rows (those with the least hashes of their keys; the one sample taken),
     about the square root of the rows in number, ``most_lists`` at most. Every row is put into the list of its nearest centre
     and looks for neighbours in the ``probes`` nearest lists, exactly there. A list longer than ``slice_rows`` is cut on both
-    sides, so no task holds more than two slices. A row whose lists hold fewer than ``k`` others has fewer neighbours; with
+    sides, so no task holds more than two slices. The k-th nearest of the own list bounds what the others may send and which
+    of them are asked at all, which loses nothing. A row whose lists hold fewer than ``k`` others has fewer neighbours; with
     no more lists than probes the result is exact. Equal distances go by id; null vectors take no part.
     """
     import numpy as np
@@ -218,40 +219,78 @@ def neighbour_graph(vectors: DataFrame, key: str, vector: str, k: int = 10, prob
             own = d.argmin(1)
             yield pd.DataFrame({"id": b["id"], "v": b["v"], "own": own.astype(np.int32), "near": list(near.astype(np.int32))})
 
-    placed = checkpointed(rows.mapInPandas(assign, "id long, v array<double>, own int, near array<int>"))
+    def nearest(y, me, x, ids, bound=None):
+        """(row of ``y``, id, squared distance to six digits) of its ``k`` nearest others; no farther than ``bound``."""
+        parts = []
+        xx = (x * x).sum(1)[None, :]
+        for at in range(0, len(y), 128):
+            q, own = y[at : at + 128], me[at : at + 128]
+            d = -2 * q @ x.T
+            d += xx
+            d += (q * q).sum(1)[:, None]
+            # of all only those near the k-th (a row may meet itself) are rounded and put in order
+            far = np.partition(d, k, axis=1)[:, k] if d.shape[1] > k + 1 else np.full(len(q), np.inf)
+            if bound is not None:
+                far = np.minimum(far, bound[at : at + 128])
+            i, j = np.nonzero(d <= far[:, None] + 2e-6)
+            other = ids[j] != own[i]
+            i, j = i[other], j[other]
+            v = np.round(d[i, j], 6)
+            o = np.lexsort((ids[j], v, i))
+            i, j, v = i[o], j[o], v[o]
+            starts = np.searchsorted(i, np.arange(len(q)))
+            first = np.arange(len(i)) - starts[i] < k
+            parts.append((i[first] + at, ids[j[first]], v[first]))
+        return [np.concatenate(c) for c in zip(*parts, strict=True)]
+
+    def bounded(pdf: pd.DataFrame) -> pd.DataFrame:
+        """How far the k-th nearest is at most, by a slice of the own list, and the lists that may hold nearer ones."""
+        c, x, ids = shared.value, np.stack(pdf["v"].to_numpy()).astype(np.float64), pdf["id"].to_numpy()
+        i, _, d = nearest(x, ids, x, ids)
+        last = np.searchsorted(i, np.arange(len(x)), "right") - 1
+        bound = np.where(np.bincount(i, minlength=len(x)) == k, d[np.maximum(last, 0)] if len(d) else np.inf, np.inf)
+        near, own = np.stack(pdf["near"].to_numpy()), pdf["own"].to_numpy()
+        # a list's rows lie on the far side of the plane midway between its centre and the own one
+        away = ((x[:, None, :] - c[near]) ** 2).sum(2) - ((x - c[own]) ** 2).sum(1)[:, None]
+        apart = 2 * np.sqrt(((c[own][:, None, :] - c[near]) ** 2).sum(2))
+        kept = (near == own[:, None]) | (away <= apart * np.sqrt(np.maximum(bound, 0) + 1e-5)[:, None] * (1 + 1e-9) + 1e-9)
+        return pd.DataFrame({"id": ids, "v": pdf["v"], "own": own, "near": [n[f] for n, f in zip(near, kept, strict=True)], "bound": bound})
+
+    placed = written(rows.mapInPandas(assign, "id long, v array<double>, own int, near array<int>"))
     slices = lambda name: F.ceil(F.count(F.lit(1)) / F.lit(slice_rows)).cast("int").alias(name)
-    asked = placed.select("id", "v", F.explode("near").alias("list"))
+    own_slices = placed.groupBy("own").agg(slices("ms"))
+    placed = written(placed.join(own_slices, "own").withColumn("m", F.pmod(F.xxhash64("id"), "ms")).groupBy("own", "m").applyInPandas(bounded, "id long, v array<double>, own int, near array<int>, bound double"))
+    asked = placed.select("id", "v", "bound", F.explode("near").alias("list"))
     sizes = placed.groupBy(F.col("own").alias("list")).agg(slices("ms")).join(asked.groupBy("list").agg(slices("qs")), "list")
     spread = lambda own, other, a, b: (F.pmod(F.xxhash64("id"), own).cast("int").alias(a), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(b))
     members = placed.select("id", "v", F.col("own").alias("list")).join(sizes, "list").select("list", "id", "v", *spread(F.col("ms"), "qs", "m", "q"))
-    queries = asked.join(sizes, "list").select("list", F.col("id").alias("qid"), F.col("v").alias("qv"), *spread(F.col("qs"), "ms", "q", "m"))
-    queries, members = queries.toDF("ql", "qid", "qv", "qq", "qm"), members.toDF("ml", "id", "v", "mm", "mq")
+    queries = asked.join(sizes, "list").select("list", F.col("id").alias("qid"), F.col("v").alias("qv"), "bound", *spread(F.col("qs"), "ms", "q", "m"))
+    queries, members = queries.toDF("ql", "qid", "qv", "bound", "qq", "qm"), members.toDF("ml", "id", "v", "mm", "mq")
 
     def search(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(q) and len(m):
-            x, ids = np.stack(m["v"].to_numpy()).astype(np.float64), m["id"].to_numpy()
-            for at in range(0, len(q), 512):
-                y, me = np.stack(q["qv"].iloc[at : at + 512].to_numpy()).astype(np.float64), q["qid"].iloc[at : at + 512].to_numpy()
-                d = np.round((y * y).sum(1)[:, None] - 2 * y @ x.T + (x * x).sum(1)[None, :], 6)
-                d[me[:, None] == ids[None, :]] = np.inf
-                o = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
-                d, nn = np.take_along_axis(d, o, 1), ids[o]
-                f = np.isfinite(d)
-                out.append(pd.DataFrame({"query_id": np.repeat(me, d.shape[1])[f.ravel()], "neighbour_id": nn[f], "d": d[f]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "neighbour_id": np.zeros(0, np.int64), "d": np.zeros(0)})
+        if not len(q) or not len(m):
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "neighbour_id": np.zeros(0, np.int64), "d": np.zeros(0)})
+        y, me = np.stack(q["qv"].to_numpy()).astype(np.float64), q["qid"].to_numpy()
+        i, ids, d = nearest(y, me, np.stack(m["v"].to_numpy()).astype(np.float64), m["id"].to_numpy(), q["bound"].to_numpy())
+        return pd.DataFrame({"query_id": me[i], "neighbour_id": ids, "d": d})
 
     found = queries.groupBy("ql", "qm", "qq").cogroup(members.groupBy("ml", "mm", "mq")).applyInPandas(search, "query_id long, neighbour_id long, d double")
     return _closest(found, k)
 
 
-def communities(edges: DataFrame) -> DataFrame:
+def communities(edges: DataFrame, most_nodes: int = 4_000_000) -> DataFrame:
     """``node``, ``label``: weighted label propagation over ``i``, ``j``, ``w`` (in place of a modularity method; labels differ from it).
 
     Ties go to the least label, and each round is checkpointed. It ends when no label moves any more, or when a round
     gives labels that an earlier round gave (told by a fingerprint of all of them), since they would go round for ever.
+    Votes are compared to nine digits, so that a tie is one in any order of adding. Up to ``most_nodes`` whole-numbered
+    nodes are sent to the tasks with their labels in each round, 12 bytes each; else rounds are joins. Labels are the same.
     """
-    both = checkpointed(edges.select("i", "j", "w").union(edges.select("j", "i", "w")).where("i <> j"))
+    both = written(edges.select("i", "j", "w").union(edges.select("j", "i", "w")).where("i <> j"))
+    if both.schema["i"].dataType.simpleString() in ("bigint", "int"):
+        nodes = both.select(F.col("i").alias("node")).distinct()
+        if nodes.count() <= most_nodes:
+            return _communities_by_number(both, nodes)
     labels = strength = both.groupBy(F.col("i").alias("node")).agg(F.max("w").alias("w")).withColumn("label", F.col("node"))
     labels = labels.select("node", "label")
     met = set()
@@ -259,10 +298,96 @@ def communities(edges: DataFrame) -> DataFrame:
         votes = both.join(labels, F.col("j") == F.col("node")).groupBy(F.col("i").alias("node"), "label").agg(F.sum("w").alias("w"))
         # a node's own label votes like its strongest neighbour, so that pairs do not swap for ever
         own = labels.join(strength.select("node", "w"), "node").select("node", "label", "w")
-        votes = votes.unionByName(own).groupBy("node", "label").agg(F.sum("w").alias("w"))
+        votes = votes.unionByName(own).groupBy("node", "label").agg(F.round(F.sum("w"), 9).alias("w"))
         best = votes.groupBy("node").agg(F.max("w").alias("top"))
         labels = checkpointed(votes.join(best, "node").where("w = top").groupBy("node").agg(F.min("label").alias("label")))
         mark = labels.agg(F.sum(F.xxhash64("node", "label").cast("decimal(38,0)"))).first()[0]
         if mark in met:
             return labels
         met.add(mark)
+
+
+def _communities_by_number(both: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``communities`` where the labels of all nodes fit a task: every task keeps its nodes' edges, packed, from round to round."""
+    import hashlib
+
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+
+    spark = both.sparkSession
+    sc = spark.sparkContext
+    names = np.sort(nodes.toArrow()["node"].to_numpy())
+    shared = sc.broadcast(names)
+
+    def pack(batches):
+        """Edges come sorted by ``i``: rows of nodes, number of edges of each, other ends and weights, as bytes."""
+
+        def row(t):
+            i, j = (np.searchsorted(shared.value, t[c]).astype(np.int32) for c in "ij")
+            node, n = np.unique(i, return_counts=True)
+            w = t["w"].astype(np.float64)
+            return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (node, n.astype(np.int32), j, w)], ["n", "c", "j", "w"])
+
+        held = None
+        for b in batches:
+            t = {c: b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in "ijw"}
+            held = t if held is None else {c: np.concatenate([held[c], t[c]]) for c in "ijw"}
+            if len(held["i"]) >= 200_000:
+                cut = np.searchsorted(held["i"], held["i"][-1])  # the last node may go on
+                if cut:
+                    yield row({c: x[:cut] for c, x in held.items()})
+                    held = {c: x[cut:] for c, x in held.items()}
+        if held is not None and len(held["i"]):
+            yield row(held)
+
+    packed = written(both.repartition(2 * sc.defaultParallelism, "i").sortWithinPartitions("i").mapInArrow(pack, "n binary, c binary, j binary, w binary"))
+    labels = np.arange(len(names), dtype=np.int32)
+    moved = np.ones(len(names), bool)
+    met = set()
+    while True:
+        sent = sc.broadcast((labels, moved))
+
+        def vote(batches, sent=sent):
+            labels, moved = sent.value
+            for b in batches:
+                for r in range(b.num_rows):
+                    node, c, j, w = (np.frombuffer(b.column(x)[r].as_buffer(), t) for x, t in enumerate((np.int32, np.int32, np.int32, np.float64)))
+                    # only a node that moved, or has a neighbour that did, may move now
+                    at = np.concatenate([[0], np.cumsum(c)])
+                    live = np.logical_or.reduceat(moved[j], at[:-1]) | moved[node]
+                    node, top = node[live], np.maximum.reduceat(w, at[:-1])[live]
+                    if not len(node):
+                        continue
+                    edge = np.repeat(live, c)
+                    of = np.concatenate([np.repeat(np.arange(len(node)), c[live]), np.arange(len(node))])
+                    key = of.astype(np.int64) << 32 | np.concatenate([labels[j[edge]], labels[node]])
+                    o = np.argsort(key, kind="stable")
+                    key, w = key[o], np.concatenate([w[edge], top])[o]
+                    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                    key, w = key[first], np.round(np.add.reduceat(w, first), 9)
+                    of = key >> 32
+                    best = np.maximum.reduceat(w, np.searchsorted(of, np.arange(len(node))))
+                    key = key[w == best[of]]  # still in order: the first of a node has the least label
+                    label = (key[np.searchsorted(key >> 32, np.arange(len(node)))] & 0xFFFFFFFF).astype(np.int32)
+                    changed = label != labels[node]
+                    yield pa.RecordBatch.from_arrays([pa.array([node[changed].tobytes()], pa.binary()), pa.array([label[changed].tobytes()], pa.binary())], ["n", "l"])
+
+        labels, moved = labels.copy(), np.zeros(len(names), bool)
+        for r in packed.mapInArrow(vote, "n binary, l binary").toLocalIterator():
+            n = np.frombuffer(bytes(r["n"]), np.int32)
+            moved[n], labels[n] = True, np.frombuffer(bytes(r["l"]), np.int32)
+        sent.destroy()
+        mark = hashlib.sha256(labels.tobytes()).digest()
+        if mark in met or not moved.any():
+            break
+        met.add(mark)
+    last = sc.broadcast(labels)
+
+    def named(batches):
+        for b in batches:
+            label = last.value[np.searchsorted(shared.value, b["node"].to_numpy())]
+            yield pd.DataFrame({"node": b["node"], "label": shared.value[label]})
+
+    kind = nodes.schema["node"].dataType.simpleString()
+    return nodes.mapInPandas(named, f"node {kind}, label {kind}")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite_or_zero, parse_peaks, species_of, strip_prefix
-from ..session import checkpointed
+from ..session import checkpointed, written
 from ..sources import files, sinks
 from . import factors, genomic, graph, matrix, networks, sampling
 
@@ -74,11 +74,15 @@ def integrate(rna: DataFrame, atac: DataFrame, components: int = 15, neighbours:
     The components are those of the joined modalities (in place of a joint factor model: coordinates differ from it).
     Returns ``cell, embedding``; ``cell, cluster``; ranked features per cluster.
     """
-    a, b = matrix.intersect_cells(rna.select("cell", F.concat(F.lit("rna:"), "feature").alias("feature"), finite_or_zero(F.col("value").cast("double")).alias("value")), atac.select("cell", F.concat(F.lit("atac:"), "feature").alias("feature"), finite_or_zero(F.col("value").cast("double")).alias("value")))
-    both = a.unionByName(b)
-    both = checkpointed(both.join(matrix.feature_guard(both).select("feature"), "feature", "left_semi"))
-    rows, width = factors.sparse_rows(both)
-    emb = checkpointed(factors.pca(checkpointed(rows), "cell", width, components))
+    named = [t.where("cell IS NOT NULL").select("cell", F.lit(name).alias("kind"), F.concat(F.lit(name), "feature").alias("feature"), finite_or_zero(F.col("value").cast("double")).alias("value")) for name, t in (("rna:", rna), ("atac:", atac))]
+    # every cell becomes one row, once: each modality is read, and its rows are shuffled, a single time
+    cells = reduce(DataFrame.unionByName, named).groupBy("cell").agg(F.collect_list(F.struct("feature", "value")).alias("l"), (F.max(F.col("kind") == "rna:") & F.max(F.col("kind") == "atac:")).alias("both"))
+    folded = written(cells.where("both").select("cell", "l"))
+    both = folded.select("cell", F.inline("l"))
+    guard = checkpointed(matrix.feature_guard(both).where("feature IS NOT NULL").select("feature"))
+    features = [r[0] for r in guard.orderBy("feature").toLocalIterator()]
+    emb = written(factors.pca(written(factors.folded_rows(folded, features)), "cell", len(features), components))
+    both = both.join(guard, "feature", "left_semi").select("cell", "feature", "value")
     ids = emb.select("cell", "embedding", F.xxhash64("cell").alias("id"))
     knn = checkpointed(graph.neighbour_graph(ids, "id", "embedding", neighbours))
     groups = graph.communities(knn.select(F.col("query_id").alias("i"), F.col("neighbour_id").alias("j"), (1.0 / F.col("rank_no")).alias("w")))

@@ -1,5 +1,7 @@
 """Composite pipelines on small inputs."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,6 +136,24 @@ def test_factors_against_numpy(spark, monkeypatch):
         factors.decompose(rows_, "cell", n, 4, most_bytes=100)
 
 
+def test_factors_of_a_flat_spectrum_take_few_passes(spark, monkeypatch):
+    import numpy as np
+
+    x = np.random.default_rng(1).standard_normal((400, 150))
+    rows_ = spark.createDataFrame([(i, list(range(150)), [float(v) for v in r]) for i, r in enumerate(x)], "cell long, idx array<int>, val array<double>").repartition(2)
+    passes, gathered = [], factors._gathered
+    monkeypatch.setattr(factors, "_gathered", lambda *a: passes.append(1) or gathered(*a))
+    top = factors.decompose(rows_, "cell", 150, 5)[2]
+    assert len(passes) <= 12 and np.allclose(top, np.linalg.svd(x - x.mean(0), compute_uv=False)[:5], rtol=1e-5)
+
+
+def test_communities_are_the_same_by_joins(spark):
+    rnd = random.Random(3)
+    data = [(i * 7, j * 7, 1.0 / r) for i in range(60) for r, j in enumerate(rnd.sample([n for n in range(i - i % 12, i - i % 12 + 12) if n != i], 4) + [rnd.randrange(60)], 1)]
+    edges = spark.createDataFrame(data, "i long, j long, w double").repartition(3)
+    assert rows(graph.communities(edges)) == rows(graph.communities(edges, most_nodes=0))
+
+
 def test_neighbour_graph_recall(spark):
     """The index against brute force: at least 0.9 of the neighbours, every row asked, hot lists cut."""
     import numpy as np
